@@ -7,19 +7,51 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import byte_bpe
 from .line_dedup import dedup_lines
+from .sharding import shard_by_bytes, text_size
+from .url_filter import filter_urls
+
+#: The listed URLs of op1: (host, path, verdict).
+URL_LIST = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    listed = spark.createDataFrame(URL_LIST, "host string, path string, verdict string")
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` without the lines that five or more documents share."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of eight, by bytes, and its place there."""
+    out = shard_by_bytes(table(spark, sf_dir, "documents"), shards=8, tolerance=0.02)
+    crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return out.select("doc_id", text_size(F.col("text")).alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None, pattern: str | None = None) -> DataFrame:
+    """Digests of every document's ids and of the bytes decoded from them."""
+    import public_tokenizers
+
+    vocabulary, pattern = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern).drop("text")
+    out = byte_bpe.decode(ids, vocabulary, pattern)
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(byte_bpe.ids_text("ids"), "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_line_dedup": op2_line_dedup,
+    "op6_sharding": op6_sharding,
+    "op10_byte_bpe": op10_byte_bpe,
 }
