@@ -28,7 +28,46 @@ FROM (SELECT lines.doc_id, i, line, gone.keep FROM lines LEFT JOIN gone ON lines
 GROUP BY doc_id
 """
 
+OP5 = r"""
+WITH v AS (
+  SELECT vec_id, [floor(64 * x::DOUBLE) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 20
+"""
+
+OP3 = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM words
+), classes AS (
+  SELECT list_sort(s) AS s, min(doc_id) AS id, len(any_value(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY 1
+), items AS (
+  SELECT id, n, unnest(s) AS x FROM classes
+), links AS (
+  SELECT a.id AS u, b.id AS v FROM items a JOIN items b ON a.x = b.x AND a.id < b.id
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), two_way AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT id, id AS to_id FROM classes UNION SELECT r.id, b.v FROM reach r JOIN two_way b ON r.to_id = b.u
+), component AS (
+  SELECT id, min(to_id) AS c FROM reach GROUP BY id
+)
+SELECT sets.doc_id, len(sets.s)::BIGINT AS n_shingles, coalesce(c, sets.doc_id) AS component_id, coalesce(c, sets.doc_id) = sets.doc_id AS kept
+FROM sets LEFT JOIN classes ON list_sort(sets.s) = classes.s LEFT JOIN component USING (id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filter": OP1,
     "op2_line_dedup": OP2,
+    "op3_near_dedup": OP3,
+    "op5_topk": OP5,
 }
