@@ -136,3 +136,21 @@ def probe_udf(words: np.ndarray, spark):
         return pa.array(might_contain(sent.value, h.fill_null(0).to_numpy(zero_copy_only=False)), pa.bool_())
 
     return probe
+
+
+def drop_ids(docs: DataFrame, doc_id: str, gone: DataFrame, broadcast_rows: int = 500_000, filter_bytes: int = 64 << 20) -> DataFrame:
+    """``docs`` without the rows whose id is in the one column of ``gone``; null ids stay.
+
+    A few ids (8 bytes each, counted) are sent to all tasks. Otherwise a Bloom filter of them
+    does the first cut, so that only rows that it holds back meet the ids in an exchange.
+    """
+    from .common import col, row_count_bound
+
+    ids = gone.select(gone[gone.columns[0]].alias("__gone")).where("__gone IS NOT NULL")
+    own = col(docs, doc_id)
+    if row_count_bound(ids, broadcast_rows) is not None:
+        return docs.join(F.broadcast(ids), own == F.col("__gone"), "left_anti")
+    n = ids.count()
+    maybe = probe_udf(build(ids.select(F.xxhash64("__gone").alias("h")), blocks_for(n, 12, filter_bytes)), docs.sparkSession)
+    held = maybe(F.xxhash64(own))
+    return docs.where(~held | own.isNull()).unionByName(docs.where(held & own.isNotNull()).join(ids, own == F.col("__gone"), "left_anti"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import byte_bpe, token_file, toxicity
 from .common import Workspace
+from .decontaminate import find_items
 from .html_text import extract_text
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
@@ -72,6 +73,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item, with the item: (doc_id, item_id, lcs, cosine, answer, at)."""
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     out = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"), "html", "text")
@@ -83,8 +89,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = Non
     import public_tokenizers
 
     vocabulary, pattern = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern).drop("text")
-    out = byte_bpe.decode(ids, vocabulary, pattern)
+    out = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, pattern, decoded="decoded")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.encode(byte_bpe.ids_text("ids"), "UTF-8"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -96,6 +101,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_topk": op5_topk,
     "op6_sharding": op6_sharding,
     "op7_toxicity": op7_toxicity,
+    "op8_decontaminate": op8_decontaminate,
     "op9_html_text": op9_html_text,
     "op10_byte_bpe": op10_byte_bpe,
 }
