@@ -254,7 +254,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None, mi
 
 def find_items(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", answer: str | None = None, *,
-    dims: int = 128, cosine: float = 0.35, cover: float = 0.3, full: float = 0.8, partial: float = 0.5, max_df: float = 0.2, min_words: int = 8, items_per_pass: int = 4000,
+    dims: int = 256, cosine: float = 0.35, cover: float = 0.3, full: float = 0.8, partial: float = 0.5, max_df: float = 0.2, min_words: int = 8, items_per_pass: int = 4000,
 ) -> DataFrame:
     """One row for each document and benchmark item found in it: (doc_id, item_id, lcs, cosine, answer, at)."""
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "decontaminate")
@@ -316,7 +316,9 @@ def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limi
     matrix = []
     for i, x in enumerate(pieces):
         terms, counts = np.unique(np.array(x), return_counts=True)
-        matrix.append((i, terms.tolist(), (counts * idf[terms]).astype(float).tolist()))
+        weights = counts * idf[terms]
+        # rows of length 1, so that a short passage has as much of the space as a long one
+        matrix.append((i, terms.tolist(), (weights / max(float(np.sqrt((weights**2).sum())), 1e-9)).astype(float).tolist()))
     a = spark.createDataFrame(matrix, "row long, terms array<int>, weights array<double>")
     basis, _ = randomized_svd(a, m, min(dims, len(matrix)), ws)
     space = spark.sparkContext.broadcast(Space(known, idf, basis, *limits))
