@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
@@ -131,17 +131,10 @@ def _likely(least: float):
     return likely
 
 
-def _overlaps(percent: int):
-    @F.arrow_udf("boolean")
-    def overlaps(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * both >= percent * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
-
-    return overlaps
+def _overlaps(a: Column, b: Column, percent: int) -> Column:
+    """On the full sets; arrays of distinct hashes."""
+    both = F.size(F.array_intersect(a, b)).cast("long")
+    return 100 * both >= percent * (F.size(a) + F.size(b) - both)
 
 
 class Verifier:
@@ -149,7 +142,7 @@ class Verifier:
 
     def __init__(self, source: DataFrame, classes: DataFrame, ws: Workspace, words: int, percent: int, slack: float, filter_bytes: int):
         self.source, self.classes, self.ws, self.words, self.percent, self.filter_bytes = source, classes, ws, words, percent, filter_bytes
-        self.likely, self.overlaps = _likely(percent / 100 - slack), _overlaps(percent)
+        self.likely = _likely(percent / 100 - slack)
 
     def sets(self, ids: DataFrame, name: str) -> DataFrame:
         """The full sets of the classes in ``ids``: a Bloom filter of them spares the other texts the exchange."""
@@ -161,11 +154,11 @@ class Verifier:
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     b = whole.slice(at, 512)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], ["id", "set"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))], ["id", "set"])
 
         few = self.source.where(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi")
         # equal ids with different texts: the class holds the row whose digest it has
-        return self.ws.cut(few.mapInArrow(run, "id long, set binary").groupBy("id").agg(F.min("set").alias("set")), name)
+        return self.ws.cut(few.mapInArrow(run, "id long, set array<long>").groupBy("id").agg(F.min("set").alias("set")), name)
 
     def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
         sig = self.classes.select("id", "sig", "n")
@@ -174,7 +167,7 @@ class Verifier:
         near = self.ws.cut(near, f"{name}-near")
         sets = self.sets(near.select(F.explode(F.array("u", "v")).alias("id")).distinct(), f"{name}-sets")
         left, right = (sets.select(F.col("id").alias(x), F.col("set").alias(f"set_{x}")) for x in "uv")
-        links = self.ws.cut(near.join(left, "u").join(right, "v").where(self.overlaps("set_u", "set_v")).select("u", "v"), name)
+        links = self.ws.cut(near.join(left, "u").join(right, "v").where(_overlaps(F.col("set_u"), F.col("set_v"), self.percent)).select("u", "v"), name)
         self.ws.drop(f"{name}-near", f"{name}-sets")
         return links
 
