@@ -1,83 +1,20 @@
-"""Shared plumbing: lineage cuts in the shared folder, safe column handling, hashing."""
+"""Shared plumbing: safe column handling, hashing, and lineage cuts from the library."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import Workspace, hadoop_path, remove, shared_dir
+
+__all__ = ["Workspace", "col", "fresh", "hadoop_path", "lower_ascii", "mix64", "remove", "row_count_bound", "shared_dir"]
+
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where it is unset and the master is local (tests), a temporary folder is made and set;
-    on a cluster an unset folder is an error, since a machine-local one would not survive
-    the loss of its machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="sparkwell-")
-    atexit.register(shutil.rmtree, made, True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{made}")
-    return f"file://{made}"
-
-
-class Workspace:
-    """Intermediate tables of one run, written below the shared folder.
-
-    ``cut`` writes a plan as Parquet and reads it again, so that later stages neither
-    recompute it nor depend on any executor's local disk. ``drop`` removes a table once
-    nothing reads it; whatever is left goes when the process ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/sparkwell/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._quietly_drop_all)
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def cut(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def drop(self, *names: str) -> None:
-        for name in names or ("",):
-            remove(self.spark, self.path(name) if name else self.root)
-
-    def _quietly_drop_all(self) -> None:
-        if self.spark.sparkContext._jsc is not None:
-            try:
-                self.drop()
-            except Exception:  # the session has ended before the process
-                pass
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    p, fs = hadoop_path(spark, path)
-    fs.delete(p, True)
-
-
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have, so that helper columns never clash."""
     taken, name = {c.lower() for c in df.columns}, f"__{stem}"
@@ -107,11 +44,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def utf8_list(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
-    """The UTF-8 bytes of each text of an Arrow string column."""
-    return column.cast(pa.binary()).to_pylist() if column.type in (pa.string(), pa.binary()) else column.cast(pa.large_binary()).to_pylist()
-
-
 def row_count_bound(df: DataFrame, bound: int) -> int | None:
     """Rows of ``df`` if there are at most ``bound``, else None. Counts no further than the bound."""
     n = df.limit(bound + 1).count()
