@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from heapq import heappop, heappush
 
 import numpy as np
@@ -30,9 +31,9 @@ from pyspark.sql import types as T
 from .common import col, fresh
 
 TOUCHING = re.compile(r"\s (?:\s|\Z)|  ")
-#: Words and longer units that a worker keeps at most, of less than 64 characters each.
-WORDS, UNITS = 400_000, 50_000
-BIT = [1 << i for i in range(256)]
+#: Strings of less than 64 characters that a worker holds at most, of either kind.
+HELD = 500_000
+END_MARKS = frozenset(".,;:!?")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,39 +41,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-class RankQueue:
-    """The smallest rank with waiting positions, by find-first-set over two levels of 256-bit words."""
+class _Spaced(dict):
+    """A table that learns what it lacks."""
 
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 8) + 1)
-        self.top = 0
-        self.buckets: list[list[int] | None] = [None] * (ranks + 1)
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
 
-    def push(self, rank: int, position: int) -> None:
-        if bucket := self.buckets[rank]:
-            heappush(bucket, position)
-        else:
-            self.buckets[rank] = [position]
-            i = rank >> 8
-            self.low[i] |= BIT[rank & 255]
-            self.top |= 1 << i
-
-    def pop(self) -> tuple[int, int]:
-        """The lowest rank that has positions, and its leftmost position; (-1, -1) if none has."""
-        if not self.top:
-            return -1, -1
-        i = (self.top & -self.top).bit_length() - 1
-        word = self.low[i]
-        bit = word & -word
-        rank = (i << 8) + bit.bit_length() - 1
-        bucket = self.buckets[rank]
-        if len(bucket) > 1:
-            return rank, heappop(bucket)
-        self.buckets[rank] = None
-        self.low[i] = word = word ^ bit
-        if not word:
-            self.top &= self.top - 1
-        return rank, bucket[0]
+    def __missing__(self, key: str) -> bytes:
+        return self.learn(key)
 
 
 class ByteBPE:
@@ -82,17 +59,23 @@ class ByteBPE:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
-        self.queue = RankQueue(max(ranks.values()) + 1)
-        #: (left id, right id) -> the id of both together, which is also the rank of the merge
-        self.pairs: dict[int, int] = {}
+        size = max(ranks.values()) + 1
+        #: the queue, empty between calls: which words of ``low`` aren't 0 is for ``merge`` to know
+        self.low, self.buckets = [0] * ((size >> 8) + 1), [None] * size
+        self.bits = [1 << i for i in range(max(256, len(self.low)))]
+        #: left id -> right id -> the id of both together, which is also the rank of the merge
+        none: dict[int, int] = {}
+        self.pairs = [none] * size
         for token, rank in ranks.items():
             for i in range(1, len(token)):
                 if (a := ranks.get(token[:i])) is not None and (b := ranks.get(token[i:])) is not None:
-                    self.pairs[a << 32 | b] = rank
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+                    if self.pairs[a] is none:
+                        self.pairs[a] = {}
+                    self.pairs[a][b] = rank
+        #: ids of pre-tokens, and of a space and what follows it
+        self.plain: dict[str, bytes] = {}
+        self.spaced = _Spaced(self._unit)
         self.tokens = {v: k for k, v in ranks.items()}
-        size = max(ranks.values()) + 1
         self.lengths = np.zeros(size, np.int64)
         for k, v in ranks.items():
             self.lengths[v] = len(k)
@@ -100,23 +83,48 @@ class ByteBPE:
         self.flat = np.frombuffer(b"".join(self.tokens.get(i, b"") for i in range(size)), np.uint8)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: always the pair of lowest rank, the leftmost of equals."""
+        """Ids of one pre-token: always the pair of lowest rank, the leftmost of equals.
+
+        A bucket is None, one position, or a heap of positions.
+        """
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        ids = [self.byte_ids[b] for b in piece]
+        low, buckets, pairs, bits, top = self.low, self.buckets, self.pairs, self.bits, 0
+        byte_ids = self.byte_ids
+        ids = [byte_ids[b] for b in piece]
         n = len(ids)
-        push, pop, get = self.queue.push, self.queue.pop, self.pairs.get
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank_at = [-1] * n
+        nxt, prv, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        left = pairs[ids[0]] if n else None
         for i in range(n - 1):
-            r = get(ids[i] << 32 | ids[i + 1])
-            if r is not None:
+            right = ids[i + 1]
+            if (r := left.get(right)) is not None:
                 rank_at[i] = r
-                push(r, i)
-        while True:
-            r, i = pop()
-            if r < 0:
-                break
+                if (bucket := buckets[r]) is None:
+                    buckets[r] = i
+                    low[r >> 8] |= bits[r & 255]
+                    top |= bits[r >> 8]
+                elif bucket.__class__ is int:
+                    buckets[r] = [bucket, i]
+                else:
+                    bucket.append(i)  # ascending, so a heap
+            left = pairs[right]
+        while top:
+            at = (top & -top).bit_length() - 1
+            word = low[at]
+            bit = word & -word
+            r = (at << 8) + bit.bit_length() - 1
+            i = buckets[r]
+            if i.__class__ is int:
+                buckets[r] = None
+                if word == bit:
+                    low[at] = 0
+                    top &= top - 1
+                else:
+                    low[at] = word ^ bit
+            else:
+                bucket, i = i, heappop(i)
+                if len(bucket) == 1:
+                    buckets[r] = bucket[0]
             if rank_at[i] != r:
                 continue  # stale
             j = nxt[i]
@@ -124,45 +132,66 @@ class ByteBPE:
             ids[i], nxt[i], rank_at[j], rank_at[i] = r, k, -1, -1
             if k < n:
                 prv[k] = i
-                new = get(r << 32 | ids[k])
-                if new is not None:
+                if (new := pairs[r].get(ids[k])) is not None:
                     rank_at[i] = new
-                    push(new, i)
+                    if (bucket := buckets[new]) is None:
+                        buckets[new] = i
+                        low[new >> 8] |= bits[new & 255]
+                        top |= bits[new >> 8]
+                    elif bucket.__class__ is int:
+                        buckets[new] = [bucket, i] if bucket < i else [i, bucket]
+                    else:
+                        heappush(bucket, i)
             h = prv[i]
             if h >= 0:
-                new = get(ids[h] << 32 | r)
-                if new is None:
+                if (new := pairs[ids[h]].get(r)) is None:
                     rank_at[h] = -1
                 elif rank_at[h] != new:
                     rank_at[h] = new
-                    push(new, h)
+                    if (bucket := buckets[new]) is None:
+                        buckets[new] = h
+                        low[new >> 8] |= bits[new & 255]
+                        top |= bits[new >> 8]
+                    elif bucket.__class__ is int:
+                        buckets[new] = [bucket, h] if bucket < h else [h, bucket]
+                    else:
+                        heappush(bucket, h)
         out, i = [], 0
         while i < n:
             out.append(ids[i])
             i = nxt[i]
         return out
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+    def _ids(self, word: str) -> bytes:
+        return array("i", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """Ids of a pre-token; those with a space in front are held without it."""
+        held, key = (self.spaced, piece[1:]) if piece[0] == " " else (self.plain, piece)
+        found = held.get(key)
         if found is None:
-            found = np.array(self.merge(word.encode("utf-8", "surrogatepass")), "<i4").tobytes()
-            if len(word) < 64:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                self.words[word] = found
+            found = self._ids(piece)
+            self._hold(held, key, found)
         return found
 
+    def _hold(self, held: dict[str, bytes], key: str, ids: bytes) -> None:
+        if len(key) < 64:
+            if len(held) >= HELD:
+                held.clear()
+            held[key] = ids
+
     def _unit(self, unit: str) -> bytes:
-        found = self.units.get(unit)
-        if found is None:
-            words = self.split(unit)
-            if len(words) == 1:
-                return self._word(unit)
-            found = b"".join(map(self._word, words))
-            if len(unit) < 64:
-                if len(self.units) >= UNITS:
-                    self.units.clear()
-                self.units[unit] = found
+        """Ids of a space and ``unit``, which has no space, when it isn't held yet."""
+        if unit.isalpha():
+            found = self._ids(" " + unit)
+        elif unit[-1:] in END_MARKS and unit[:-1].isalpha():
+            known = self.spaced.get(unit[:-1])
+            if known is None:  # seldom again with this mark: only the word is held
+                return self._piece(" " + unit[:-1]) + self._piece(unit[-1])
+            found = known + self._piece(unit[-1])
+        else:
+            found = b"".join(map(self._piece, self.split(" " + unit)))
+        self._hold(self.spaced, unit, found)
         return found
 
     def encode(self, text: str) -> bytes:
@@ -170,14 +199,9 @@ class ByteBPE:
         if not text:
             return b""
         if TOUCHING.search(text):
-            return b"".join(map(self._word, self.split(text)))
+            return b"".join(map(self._piece, self.split(text)))
         head, *rest = text.split(" ")
-        get, unit = self.words.get, self._unit
-        parts = [get(head) or unit(head)] if head else []
-        for x in rest:
-            x = " " + x
-            parts.append(get(x) or unit(x))
-        return b"".join(parts)
+        return b"".join(map(self._piece, self.split(head))) + b"".join(map(self.spaced.__getitem__, rest))
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -197,23 +221,29 @@ def encoder(path: str, pattern: str) -> ByteBPE:
     return _LOADED[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text. ``path``: a rank file that all executors can read."""
-    base = docs.drop(into) if into in docs.columns else docs
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each whole text. ``path``: a rank file that all executors can read.
+
+    ``decoded``: a column for the bytes decoded from the ids, in the same pass.
+    """
+    new = [c for c in (into, decoded) if c]
+    base = docs.drop(*(c for c in new if c in docs.columns))
     names = base.columns
     source = base.select(*(col(base, c) for c in names), col(docs, text).alias(fresh(base, "text")))
 
     def run(batches):
         bpe = encoder(path, pattern)
         for whole in batches:
-            for at in range(0, max(whole.num_rows, 1), 1024):
+            for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 parts = [bpe.encode(t) if t else b"" for t in b.column(b.num_columns - 1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*names, into])
+                more = [pa.array([bpe.decode(np.frombuffer(p, "<i4")) for p in parts], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *more], [*names, *new])
 
-    return source.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
+    types = [T.ArrayType(T.IntegerType()), T.BinaryType()]
+    return source.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(c, t) for c, t in zip(new, types, strict=False))]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
