@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix64
+from .common import U64, col, fresh, mix64, row_count_bound
 
 BLOCK_BITS, PROBES = 512, 8
 SEGMENT_BYTES = 1 << 20
@@ -144,13 +144,12 @@ def drop_ids(docs: DataFrame, doc_id: str, gone: DataFrame, broadcast_rows: int
     A few ids (8 bytes each, counted) are sent to all tasks. Otherwise a Bloom filter of them
     does the first cut, so that only rows that it holds back meet the ids in an exchange.
     """
-    from .common import col, row_count_bound
-
-    ids = gone.select(gone[gone.columns[0]].alias("__gone")).where("__gone IS NOT NULL")
+    name = fresh(docs, "gone")
+    ids = gone.select(gone[gone.columns[0]].alias(name)).where(F.col(name).isNotNull())
     own = col(docs, doc_id)
     if row_count_bound(ids, broadcast_rows) is not None:
-        return docs.join(F.broadcast(ids), own == F.col("__gone"), "left_anti")
+        return docs.join(F.broadcast(ids), own == F.col(name), "left_anti")
     n = ids.count()
-    maybe = probe_udf(build(ids.select(F.xxhash64("__gone").alias("h")), blocks_for(n, 12, filter_bytes)), docs.sparkSession)
+    maybe = probe_udf(build(ids.select(F.xxhash64(name).alias("h")), blocks_for(n, 12, filter_bytes)), docs.sparkSession)
     held = maybe(F.xxhash64(own))
-    return docs.where(~held | own.isNull()).unionByName(docs.where(held & own.isNotNull()).join(ids, own == F.col("__gone"), "left_anti"))
+    return docs.where(~held | own.isNull()).unionByName(docs.where(held & own.isNotNull()).join(ids, own == F.col(name), "left_anti"))

@@ -7,15 +7,15 @@ Which documents hold benchmark items, word for word or reworded? Method:
    corpus give the inverse document frequencies;
 2. a distributed randomised SVD of the TF-IDF matrix of the benchmark's passages (an item, or
    48-word pieces of a long one) gives a latent space. Words that no item holds have weight
-   zero in every passage, so nothing else of the corpus could enter it. Only small square matrices and one row for
-   each word reach the driver;
+   zero in every passage, so nothing else of the corpus could enter it. Only small square
+   matrices and one row for each word reach the driver;
 3. every window of 64 words of every document (one each 32 words) is folded into the space and
    compared with every passage; a pair goes on if its cosine and the share of the passage that
    the window covers are high enough;
 4. the item and the surroundings of the window are compared by their longest common
-   subsequence of words. An item counts as found if the subsequence covers ``full`` of it, or
-   if it covers ``partial`` of it, the words shared carry half of the item's weight, and the
-   answer (the item's last fifth, or the words of an ``answer`` column) is there.
+   subsequence of words. An item counts as found if the words shared carry half of its weight
+   and the subsequence covers ``full`` of it, or ``partial`` of it and most of the answer (the
+   item's last fifth, or the words of an ``answer`` column) is there too.
 
 What is sent to the tasks grows with the benchmark, not the corpus: the benchmark is taken in
 parts of at most ``items_per_pass`` items, one pass each, so that it has a bound.
@@ -234,7 +234,7 @@ class Space:
             here = set(region)
             got = lcs_length(lcs_masks(answer), len(answer), region) / len(answer) if answer else 1.0
             shared = sum(float(self.idf[t]) for t in item if t in here) / weight if weight > 0 else 1.0
-            if share >= self.full or (shared >= 0.5 and got >= 0.8):
+            if shared >= 0.5 and (share >= self.full or got >= 0.6):
                 row = (name, share, cosine, got, max(low + around, 0))
                 best = max(best, row, key=lambda r: r[1:3]) if best else row
         return best
@@ -254,7 +254,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None, mi
 
 def find_items(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", answer: str | None = None, *,
-    dims: int = 256, cosine: float = 0.35, cover: float = 0.3, full: float = 0.8, partial: float = 0.5, max_df: float = 0.2, min_words: int = 8, items_per_pass: int = 4000,
+    dims: int = 256, cosine: float = 0.35, cover: float = 0.3, full: float = 0.65, partial: float = 0.5, max_df: float = 0.2, min_words: int = 8, items_per_pass: int = 4000,
 ) -> DataFrame:
     """One row for each document and benchmark item found in it: (doc_id, item_id, lcs, cosine, answer, at)."""
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "decontaminate")

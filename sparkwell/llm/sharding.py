@@ -22,13 +22,19 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, col, fresh
 
 STEP_BITS = 12
-LOWEST = -(1 << 63)
+#: Bins that a round of counting may have, whatever the number of boundaries looked for.
+MAX_BINS = 1 << 18
+#: Up to so many boundaries are compared by an expression; more are searched in an Arrow function.
+TREE = 64
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 
 
 @dataclass(frozen=True)
@@ -61,7 +67,8 @@ def _refine(rows: DataFrame, value: str, targets: dict[int, tuple[float, float]]
     heavy: dict[int, tuple[int, int, int, int, int]] = {}
     open_: list[tuple[int | None, int, tuple[int, int], list[int]]] = [(None, 64, below, list(targets))]
     while open_:
-        bits = max(0, open_[0][1] - STEP_BITS)
+        step = max(2, min(STEP_BITS, (MAX_BINS // len(open_)).bit_length() - 1))
+        bits = max(0, open_[0][1] - step)
         scope = rows if open_[0][0] is None else rows.where(F.shiftright(value, open_[0][1]).isin([o[0] for o in open_]))
         bins = _histogram(scope, value, bits)
         later: dict[int, tuple[int, int, tuple[int, int], list[int]]] = {}
@@ -77,7 +84,7 @@ def _refine(rows: DataFrame, value: str, targets: dict[int, tuple[float, float]]
                 k = min(max(bisect_right(sizes, target) - 1, 0), len(own) - 1)
                 near = k if target - sizes[k] <= sizes[k + 1] - target else k + 1
                 past = edges[near] if near < len(edges) else ((own[-1][0] + 1) << bits)
-                if abs(sizes[near] - target) <= tolerance and past < 1 << 63:
+                if abs(sizes[near] - target) <= tolerance and past <= HIGHEST:
                     found[t] = (past, sizes[near], counts[near])
                 elif bits == 0:
                     heavy[t] = (own[k][0], sizes[k], counts[k], own[k][1], own[k][2])
@@ -101,44 +108,70 @@ def boundaries(rows: DataFrame, total: int, n_rows: int, ranges: int, shards: in
         inner, stuck = _refine(rows.where(F.col("key") == key), "id", {i: targets[i] for i in names}, (size, n)) if own_n > 1 else ({}, {i: heavy[i] for i in names})
         out |= {i: Boundary(key, at, b, c) for i, (at, b, c) in inner.items()}
         for i, (at, b, c, w, k) in stuck.items():
-            near_start = targets[i][0] - b <= b + w - targets[i][0]
             start = (key, at if own_n > 1 else None)
-            after = (key, at + 1) if own_n > 1 else (key + 1, None)
+            after = (key, at + 1) if own_n > 1 and at < HIGHEST else (key + 1, None)
+            near_start = targets[i][0] - b <= b + w - targets[i][0] or after[0] > HIGHEST
             out[i] = Boundary(*(start if near_start else after), *((b, c) if near_start else (b + w, c + k)))
     order = sorted(out.values(), key=lambda x: (x.key, LOWEST if x.id is None else x.id))
     return order
 
 
-def range_of(key: Column, id_: Column, cuts: list[Boundary], at: int = 0) -> Column:
-    """How many boundaries lie at or below (key, id): a balanced tree of comparisons."""
+def _tree(key: Column, id_: Column, cuts: list[Boundary], at: int = 0) -> Column:
     if not cuts:
         return F.lit(at)
     m = len(cuts) // 2
     c = cuts[m]
     above = key >= F.lit(c.key) if c.id is None else (key > F.lit(c.key)) | ((key == F.lit(c.key)) & (id_ >= F.lit(c.id)))
-    return F.when(above, range_of(key, id_, cuts[m + 1 :], at + m + 1)).otherwise(range_of(key, id_, cuts[:m], at))
+    return F.when(above, _tree(key, id_, cuts[m + 1 :], at + m + 1)).otherwise(_tree(key, id_, cuts[:m], at))
+
+
+def range_of(key: Column, id_: Column, cuts: list[Boundary], spark: SparkSession) -> Column:
+    """How many boundaries lie at or below (key, id)."""
+    if len(cuts) <= TREE:
+        return _tree(key, id_, cuts)
+    sent = spark.sparkContext.broadcast((np.array([c.key for c in cuts], np.int64), np.array([LOWEST if c.id is None else c.id for c in cuts], np.int64)))
+
+    @F.arrow_udf("int")
+    def search(keys: pa.Array, ids: pa.Array) -> pa.Array:
+        cut_keys, cut_ids = sent.value
+        k, i = keys.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
+        low, out = np.searchsorted(cut_keys, k, "left"), np.searchsorted(cut_keys, k, "right")
+        for start in np.unique(low[low < out]):  # keys that boundaries split
+            rows = np.flatnonzero((low == start) & (low < out))
+            end = out[rows[0]]
+            out[rows] = start + np.searchsorted(cut_ids[start:end], i[rows], "right")
+        return pa.array(out.astype(np.int32))
+
+    return search(key, id_)
 
 
 def shard_by_bytes(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shards: int = 8, tolerance: float = 0.02, part_bytes: int = 32 << 20
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shards: int = 8, tolerance: float = 0.02, part_bytes: int = 32 << 20, max_ranges: int = 16_384
 ) -> DataFrame:
-    """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (the row's place in its shard, from 0)."""
+    """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (the row's place in its shard, from 0).
+
+    Ranges are of about ``part_bytes``, larger if there would be more than ``max_ranges``:
+    what is counted and sent is bounded by that number.
+    """
     ws = Workspace(docs.sparkSession, "sharding")
     key, id_, range_ = (fresh(docs, x) for x in ("key", "id", "range"))
     docs = docs.drop(*(c for c in ("shard", "slot") if c in docs.columns))
     hashed, ordered = F.xxhash64(col(docs, text)), F.coalesce(col(docs, doc_id).cast("long"), F.lit(LOWEST))
     narrow = ws.cut(docs.select(hashed.alias("key"), ordered.alias("id"), text_size(col(docs, text)).alias("size")), "keys")
     total, n = narrow.agg(F.sum("size"), F.count("size")).first()
-    per = max(1, -(-(total or 0) // (shards * part_bytes)))
+    per = max(1, min(-(-(total or 0) // (shards * part_bytes)), max_ranges // shards))
     cuts = boundaries(narrow, total or 0, n, per * shards, shards, tolerance)
     ws.drop()
     full = docs.withColumns({key: hashed, id_: ordered})
-    full = full.withColumn(range_, range_of(F.col(key), F.col(id_), cuts))
+    full = full.withColumn(range_, range_of(F.col(key), F.col(id_), cuts, docs.sparkSession)).repartitionById(len(cuts) + 1, F.col(range_))
     starts = [0, *(c.rows for c in cuts)] if n else [0] * (per * shards)
     first = [starts[min(i // per * per, len(starts) - 1)] for i in range(len(starts))]
-    offset = F.array(*(F.lit(s - f).cast("long") for s, f in zip(starts, first, strict=True)))
+    before = fresh(docs, "before")
+    gaps = docs.sparkSession.createDataFrame([(i, s - f) for i, (s, f) in enumerate(zip(starts, first, strict=True))], f"{range_} int, {before} long")
     place = F.row_number().over(Window.partitionBy(range_).orderBy(key, id_)).cast("long") - F.lit(1)
-    out = full.withColumns({"shard": (F.col(range_) / F.lit(per)).cast("int"), "slot": place + F.get(offset, F.col(range_))})
+    placed = full.withColumn("slot", place).join(F.broadcast(gaps), range_)  # at most max_ranges rows
+    out = placed.withColumns({"shard": (F.col(range_) / F.lit(per)).cast("int"), "slot": F.col("slot") + F.col(before)})
+    out = out.select(*(col(out, c) for c in docs.columns), "shard", "slot", key, id_, range_)
     return out.drop(key, id_, range_)
 
 

@@ -1,0 +1,113 @@
+from __future__ import annotations
+
+import heapq
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from sparkwell.llm import token_file as F
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def huffman_cost(counts):
+    heap = [int(c) for c in counts if c]
+    heapq.heapify(heap)
+    cost = 0
+    while len(heap) > 1:
+        a = heapq.heappop(heap) + heapq.heappop(heap)
+        cost += a
+        heapq.heappush(heap, a)
+    return cost
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5000), min_size=1, max_size=200), st.integers(8, 20))
+def test_lengths_are_a_prefix_code(counts, bits):
+    c = np.array(counts)
+    lengths = F.code_lengths(c, bits)
+    used = c > 0
+    assert ((lengths > 0) == used).all() and lengths.max(initial=0) <= bits
+    if used.sum() > 1:
+        assert (2.0 ** -lengths[used].astype(float)).sum() == 1.0
+        if bits == 20 and lengths.max() < 20:
+            assert int((lengths * c).sum()) == huffman_cost(c)
+
+
+def test_lengths_under_a_tight_limit():
+    fib = [1, 1]
+    while len(fib) < 30:
+        fib.append(fib[-1] + fib[-2])
+    lengths = F.code_lengths(np.array(fib), 6)
+    assert lengths.max() == 6 and (2.0 ** -lengths.astype(float)).sum() == 1.0
+    with pytest.raises(ValueError, match="don't fit"):
+        F.code_lengths(np.ones(5, int), 2)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 63, 512, 513, 5000, F.PACK - 1, F.PACK, F.PACK + 1, 3 * F.PACK + 17])
+def test_pack_round_trip(n):
+    rng = np.random.default_rng(n)
+    ids = np.minimum(rng.geometric(0.01, n), 3000)
+    ids[: n // 3] = rng.integers(0, 4000, n // 3)
+    lengths = F.code_lengths(np.bincount(ids, minlength=4001), 18)
+    blocks, stream = F.pack(ids, lengths, F.canonical_codes(lengths))
+    if n:
+        back = F.unpack(np.frombuffer(stream, ">u8").astype(np.uint64), blocks, n, F.decode_table(lengths), F.BLOCK_IDS)
+        assert (back == ids).all()
+    assert len(blocks) == -(-n // F.BLOCK_IDS)
+
+
+def test_one_symbol_and_file_form():
+    lengths = F.code_lengths(np.array([0, 9]), 18)
+    ids = np.ones(700, np.int64)
+    body = F.file_bytes(40, [None, 7], np.array([300, 400]), ids, lengths, F.canonical_codes(lengths), zlib.compress(lengths.tobytes()))
+    base, names, sizes, back = F.parse_file(body)
+    assert (base, names, sizes.tolist()) == (40, [None, 7], [300, 400]) and (back == 1).all()
+    with pytest.raises(ValueError, match="token file"):
+        F.parse_file(b"x" * 100)
+
+
+def library():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return t
+
+
+def test_units_equal_the_whole_tokenizer():
+    rng = random.Random(3)
+    pieces = ["Hello", "WORLD", "éÉß", "İstanbul", "don't", "I'll", "a1b2", "日本", "x.", "!!", "…", "<|endoftext|>", "</w>", "ǅ", "ﬁ", "e\u0301", "\u0301", "Σς", "\x1c", "\x85", "\xa0", "\u2003", "\t", "\n", " ", "  ", "ªº", "µ", "_", "#tag", "q" * 70, "ŉ", "Ω", "K"]
+    texts = ["".join(rng.choice(pieces) + rng.choice(("", " ", " ")) for _ in range(rng.randint(0, 25))) for _ in range(1500)]
+    enc = F.unit_encoder(PATH)
+    assert enc.direct
+    for t, e in zip(texts, library().encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(enc.encode(t), enc.wide).tolist() == e.ids, repr(t)
+
+
+def run(spark, rows, path, **options):
+    F.write_ids(spark.createDataFrame(rows, "doc_id long, text string, ids string").repartition(3), path, PATH, **options)
+    return [tuple(r) for r in F.read_ids(spark, path).collect()]
+
+
+def test_files_round_trip(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i * 3 - 50, " ".join(rng.choice(["the", "Cat", "of", "zebra", "naïve", "12"]) for _ in range(rng.randint(0, 400))), "clash") for i in range(200)]
+    rows += [(1000, None, "n"), (None, "null id", "n"), (5000, "word " * 30_000, "long"), (7, "again", "r"), (7, "again", "r")]
+    rng.shuffle(rows)
+    got = run(spark, rows, str(tmp_path / "a"))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    start, want = 0, []
+    for r, e in zip(ordered, library().encode_batch([r[1] or "" for r in ordered], add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 1], "<u4")
+        want.append((r[0], start, len(ids), ids.tobytes()))
+        start += len(ids)
+    assert sorted(got, key=lambda r: r[1]) == want
+
+
+def test_nothing_to_write(spark, tmp_path):
+    assert run(spark, [], str(tmp_path / "e")) == []
