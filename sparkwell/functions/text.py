@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import lru_cache, reduce
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python understands it; Java's \s is ASCII only.
@@ -58,6 +58,20 @@ def lemmatize(tokens: Column, lexicon: Mapping[str, Mapping[str, str]] | None) -
     return F.transform(tokens, lemma)
 
 
+def lemmatize_table(df: DataFrame, tokens: str, key: str, lexicon: DataFrame) -> DataFrame:
+    """``lemmatize`` by a lexicon table (pos, surface, lemma) of any size: (key, tokens) with each token's lemma.
+
+    Distinct tokens are looked up once; their lemmas go back to the rows in an equi-join.
+    """
+    each = df.select(key, F.posexplode_outer(tokens).alias("__at", "__t"))
+    by_pos = lexicon.groupBy("surface").agg(*(F.max(F.when(F.col("pos") == pos, F.col("lemma"))).alias(f"__{pos}") for pos in "vn"))
+    known = each.select("__t").where("__t IS NOT NULL").distinct().join(by_pos, F.col("__t") == F.col("surface"))
+    lemma = F.when(F.col("__t").rlike("[-0-9]"), F.col("__t")).when(F.col("__v") != F.col("__t"), F.col("__v")).otherwise(F.coalesce("__n", "__t"))
+    found = each.join(known.select("__t", lemma.alias("__lemma")), "__t", "left")
+    rows = found.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", F.coalesce("__lemma", "__t").alias("__t"))))).alias("__x"))  # one row's tokens
+    return rows.select(key, F.transform("__x", lambda x: x["__t"]).alias(tokens))
+
+
 def clean_tokens(c: Column, lexicon: Mapping[str, Mapping[str, str]] | None = None) -> Column:
     """Normalised words without stopwords (dropped before lemmas are taken), as an array; [] for null or empty."""
     return lemmatize(drop_stopwords(F.split(normalize(c), " ")), lexicon)

@@ -95,7 +95,8 @@ def token_length_report(df: DataFrame, length: Column, limit: int = 512, row_id:
     own = df.select(F.col(row_id).alias("id"), length.cast("long").alias("n"))
     stats = own.agg(F.coalesce(F.max("n"), F.lit(0)).alias("max_tokens"), F.count_if(F.col("n") > limit).alias("n_over"))
     first = own.where(F.col("n") > limit).orderBy("id").limit(examples).agg(F.array_sort(F.collect_list("id")).alias("first_over"))
-    return stats.crossJoin(first)  # one row each
+    both = stats.withColumn("first_over", F.lit(None).cast(first.schema["first_over"].dataType)).unionByName(first, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in ("max_tokens", "n_over", "first_over")))  # one row each
 
 
 def whitespace_length(text: Column) -> Column:

@@ -63,7 +63,7 @@ def normalize(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))).otherwise(v)
 
 
-def search(data: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "doc_id", vector: str = "embedding", query_vector: str = "embedding", digits: int = 6, block: int = 512, chunk: int = 4096) -> DataFrame:
+def search(data: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "doc_id", vector: str = "embedding", query_vector: str = "embedding", digits: int = 6, block: int = 2048, chunk: int = 1024) -> DataFrame:
     """(query_id, rank, doc_id, score): exact inner-product search, ties to smaller ids.
 
     Queries are packed in blocks of ``block`` vectors. Each task of the data multiplies its

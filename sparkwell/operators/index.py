@@ -52,11 +52,11 @@ def build_index(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tokenize: Cal
     tokens = tokenized(docs, fields, tokenize, doc_id)
     each = tokens.select("field", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     postings = ws.cut(each.groupBy("field", "term", "doc_id").agg(F.count("dl").alias("tf"), F.first("dl").alias("dl")), "postings")
-    n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
+    n_docs = docs.count()
     totals = postings.groupBy("field").agg(F.sum("tf").alias("total"))
     names = docs.sparkSession.createDataFrame([(f,) for f in fields], "field string")
     # one row a field
-    stats = ws.cut(names.crossJoin(n_docs).join(F.broadcast(totals), "field", "left").select("field", "n", F.coalesce(F.try_divide(F.coalesce("total", F.lit(0)).cast("double"), F.col("n")), F.lit(0.0)).alias("avgdl")), "field-stats")
+    stats = ws.cut(names.withColumn("n", F.lit(n_docs).cast("long")).join(F.broadcast(totals), "field", "left").select("field", "n", F.coalesce(F.try_divide(F.coalesce("total", F.lit(0)).cast("double"), F.col("n")), F.lit(0.0)).alias("avgdl")), "field-stats")
     counts = postings.groupBy("field", "term").agg(F.count("doc_id").alias("df"))
     terms = counts.join(F.broadcast(stats), "field").select("field", "term", "df", idf(F.col("df").cast("double"), F.col("n").cast("double")).alias("idf"))
     return Index(postings, terms, stats, docs, k1, b)

@@ -83,3 +83,13 @@ def test_natural_text_of_nothing_is_empty(spark):
 def test_markdown(spark):
     assert one(spark, X.markdown_to_html, "***a*** **b**\n*c* <d> & 'e' \"f\"") == "<strong><em>a</em></strong> <strong>b</strong><br><em>c</em> &lt;d&gt; &amp; &#39;e&#39; &#34;f&#34;"
     assert one(spark, X.markdown_to_html, "**a\nb**") == "<strong>a<br>b</strong>"
+
+
+def test_lexicon_table(spark):
+    rows = [(pos, a, b) for pos, kind in LEXICON.items() for a, b in kind.items()]
+    lexicon = spark.createDataFrame(rows, "pos string, surface string, lemma string")
+    df = spark.createDataFrame([(1, ["students", "studying", "x-1", "students"]), (2, []), (3, ["zzz", "studies"])], "id long, t array<string>")
+    got = {r["id"]: r["t"] for r in X.lemmatize_table(df, "t", "id", lexicon).collect()}
+    assert got == {1: ["student", "study", "x-1", "student"], 2: [], 3: ["zzz", "study"]}
+    literal = {r["id"]: r["t"] for r in df.select("id", X.lemmatize(F.col("t"), LEXICON).alias("t")).collect()}
+    assert got == literal
