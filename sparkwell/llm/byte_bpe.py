@@ -7,7 +7,7 @@ Entries whose pair has changed since are stale and skipped. A merge costs a cons
 of word operations whatever the pre-token's length, so a pre-token of a million bytes takes
 time in proportion to it, where scanning for the best pair takes its square.
 
-Equal pre-tokens repeat, so their ids are kept in a bounded table per worker. Texts are cut
+Equal pre-tokens repeat, so their ids are kept in a bounded table per task. Texts are cut
 at single spaces before the pattern runs, where the pattern cuts too; a text in which a
 space touches other white space goes through the pattern whole.
 
@@ -28,11 +28,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh
+from .common import col, fresh, tidy
 
 TOUCHING = re.compile(r"\s (?:\s|\Z)|  ")
 #: Strings of less than 64 characters that a worker holds at most, of either kind.
-HELD = 500_000
+HELD = 300_000
 END_MARKS = frozenset(".,;:!?")
 
 
@@ -215,7 +215,7 @@ _LOADED: dict[tuple[str, str], ByteBPE] = {}
 
 
 def encoder(path: str, pattern: str) -> ByteBPE:
-    """One encoder for each vocabulary and worker process."""
+    """One encoder for each vocabulary, for as long as a task runs: a waiting worker should hold nothing."""
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = ByteBPE(load_ranks(path), pattern)
     return _LOADED[path, pattern]
@@ -234,13 +234,16 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
     def run(batches):
         bpe = encoder(path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
                 parts = [bpe.encode(t) if t else b"" for t in b.column(b.num_columns - 1).to_pylist()]
                 ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32()))
                 more = [pa.array([bpe.decode(np.frombuffer(p, "<i4")) for p in parts], pa.binary())] if decoded else []
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids, *more], [*names, *new])
+        del bpe
+        _LOADED.clear()
+        tidy()
 
     types = [T.ArrayType(T.IntegerType()), T.BinaryType()]
     return source.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(c, t) for c, t in zip(new, types, strict=False))]))

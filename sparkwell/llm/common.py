@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..lineage import Workspace, hadoop_path, remove, shared_dir
 
-__all__ = ["Workspace", "col", "fresh", "hadoop_path", "lower_ascii", "mix64", "remove", "row_count_bound", "shared_dir"]
+__all__ = ["Workspace", "col", "fresh", "hadoop_path", "lower_ascii", "mix64", "remove", "row_count_bound", "shared_dir", "tidy"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,6 +47,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tidy() -> None:
+    """Give freed memory back to the system, at the end of a task: workers wait for the next one with what they hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def row_count_bound(df: DataFrame, bound: int) -> int | None:
     """Rows of ``df`` if there are at most ``bound``, else None. Counts no further than the bound."""
     n = df.limit(bound + 1).count()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import drop_ids
-from .common import Workspace, col
+from .common import Workspace, col, tidy
 
 TABLE = bytes(32 if chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r'" else i for i in range(256))
 STEP, SPAN = 32, 2
@@ -292,6 +292,7 @@ def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limi
                     ids.append(x[places].astype(wide).tobytes())
                     gaps.append(np.minimum(np.diff(places, prepend=0), 65_535).astype("<u2").tobytes())  # a longer gap is as good as this one
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(gaps, pa.binary())], ["doc_id", "ids", "gaps"])
+        tidy()
 
     corpus = ws.cut(docs.mapInArrow(narrow, "doc_id long, ids binary, gaps binary"), "corpus", "zstd")
 
@@ -336,6 +337,7 @@ def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limi
                 columns = list(zip(*found, strict=True)) if found else [[]] * 6
                 types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "lcs", "cosine", "answer", "at"])
+        tidy()
 
     found = ws.cut(corpus.mapInArrow(search, FOUND), "found")
     ws.drop("corpus")

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ASCII_SPACE, ASCII_UPPER, Workspace, col, fresh
+from .common import ASCII_SPACE, ASCII_UPPER, Workspace, col, fresh, tidy
 
 LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
 
@@ -61,9 +61,10 @@ def confirmed_lines(docs: DataFrame, ws: Workspace, text: str, doc_id: str, min_
     """Per document its suspects (id, digest), and the digests to drop with the id that keeps them."""
 
     def keyed(batches):
-        for b in batches:
+        for b in (w.slice(s, 512) for w in batches for s in range(0, w.num_rows, 512)):
             found = [_digests(t, min_chars) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_heads(d) for d in found], pa.list_(pa.int64())), pa.array(found, pa.list_(pa.binary()))], ["id", "heads", "digests"])
+        tidy()
 
     source = docs.select(col(docs, doc_id).alias("id"), col(docs, text).alias("text"))
     lines = ws.cut(source.mapInArrow(keyed, f"id {source.schema['id'].dataType.simpleString()}, heads array<long>, digests array<binary>").where(F.size("digests") > 0), "lines")
@@ -103,7 +104,7 @@ def dedup_lines(
 
     def filtered(batches):
         table = sent.value if sent is not None else None
-        for b in batches:
+        for b in (w.slice(s, 512) for w in batches for s in range(0, w.num_rows, 512)):
             texts, ids = b.column(names.index(text)).to_pylist(), b.column(names.index(doc_id)).to_pylist()
             mine = b.column(b.num_columns - 1).to_pylist() if table is None else [None] * len(texts)
             out, total, lost = [], [], []
@@ -123,6 +124,7 @@ def dedup_lines(
                 total.append(len(lines))
             columns = [pa.array(out, pa.string()) if c == text else b.column(k) for k, c in enumerate(names)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*names, n_lines, n_dropped])
+        tidy()
 
     from pyspark.sql import types as T
 

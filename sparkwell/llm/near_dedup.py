@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, Workspace, col, mix64
+from .common import U64, Workspace, col, mix64, tidy
 from .components import connected_components
 
 RESULTS = ("n_shingles", "component_id", "kept")
@@ -108,6 +108,7 @@ def _sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                     [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
                     ["id", "n", "digest", "sig"],
                 )
+        tidy()
 
     return docs.mapInArrow(run, "id long, n long, digest binary, sig binary")
 
@@ -155,6 +156,7 @@ class Verifier:
                 for at in range(0, whole.num_rows, 512):
                     b = whole.slice(at, 512)
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))], ["id", "set"])
+            tidy()
 
         few = self.source.where(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi")
         # equal ids with different texts: the class holds the row whose digest it has

@@ -2,11 +2,12 @@
 
 Features are the distinct words of the whole text (letter case and ASCII punctuation don't
 count) and their prefixes of 4, 5 and 6 bytes, present or not. The model is fitted on a
-bounded sample of labelled rows: features are selected by chi-square over the sample, and
-the loss adds to the weighted log-loss and an L2 term the squared change of the score when
-the identity terms of a labelled text are swapped for others of their kind. So a term that
-names a group carries no weight of its own, and a neutral mention isn't taken for toxicity,
-however the sample's labels fell.
+bounded sample of labelled rows: features that go with toxicity are selected by chi-square
+over the sample and have no negative weights, so that a text unlike the sample isn't toxic
+for what it lacks. The loss adds to the weighted log-loss and an L2 term the squared change
+of the score when the identity terms of a labelled text are swapped for others of their kind.
+So a term that names a group carries no weight of its own, and a neutral mention isn't taken
+for toxicity, however the sample's labels fell.
 
 Scoring reads each whole text once, in one pass without a shuffle.
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, col
+from .common import Workspace, col, tidy
 
 #: Terms that name groups, by kind; a swap puts another term of the kind in a term's place.
 IDENTITY_TERMS = (
@@ -40,6 +41,8 @@ KINDS = {t.encode(): tuple(o.encode() for o in kind if o != t) for kind in IDENT
 TABLE = bytes(32 if chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r'" else i for i in range(256))
 PREFIXES = (4, 5, 6)
 HELD_OUT = 5
+#: Features that a task counts before it passes the counts on.
+COUNTED = 100_000
 
 
 def words_of(text: str | None) -> set[bytes]:
@@ -85,15 +88,28 @@ def held_out(doc_id: Column) -> Column:
 def _counts(sample: DataFrame) -> DataFrame:
     """(feature, with, toxic): in how many sampled texts, and toxic ones, each feature is."""
 
+    def rows(n: Counter, toxic: Counter):
+        every = list(n)
+        for s in range(0, len(every), 10_000):
+            part = every[s : s + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([n[f] for f in part], pa.int64()), pa.array([toxic[f] for f in part], pa.int64())], ["feature", "n", "toxic"])
+
     def run(batches):
-        seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        n, toxic = Counter(), Counter()
         for b in batches:
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[y].update(features_of(words_of(t)))
-        all_ = [*(seen[0] | seen[1])]
-        for s in range(0, len(all_), 10_000):
-            part = all_[s : s + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([seen[0][f] + seen[1][f] for f in part], pa.int64()), pa.array([seen[1][f] for f in part], pa.int64())], ["feature", "n", "toxic"])
+            for t, y in zip((t for s in range(0, b.num_rows, 256) for t in b.column(0).slice(s, 256).to_pylist()), b.column(1).to_pylist(), strict=True):
+                found = features_of(words_of(t))
+                n.update(found)
+                if y:
+                    toxic.update(found)
+                if len(n) > COUNTED:
+                    yield from rows(n, toxic)
+                    n.clear()
+                    toxic.clear()
+        yield from rows(n, toxic)
+        n.clear()
+        toxic.clear()
+        tidy()
 
     return sample.select("text", "toxic").mapInArrow(run, "feature binary, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
@@ -120,7 +136,7 @@ def fit(
     a, n, p, m = F.col("toxic").cast("double"), F.col("n").cast("double"), float(pos), float(pos + neg)
     spread = n * (m - n) * p * (m - p)
     chi = F.when(spread > 0, m * (a * m - n * p) ** 2 / spread).otherwise(F.lit(0.0))
-    best = _counts(sample).where(F.col("n") >= min_docs).select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(max_features).collect()
+    best = _counts(sample).where((F.col("n") >= min_docs) & (a * m > n * p)).select("feature", chi.alias("chi")).orderBy(F.desc("chi"), "feature").limit(max_features).collect()
     terms = [t + b" " for t in KINDS]
     features = sorted({bytes(r["feature"]) for r in best} | set(terms))
     model = ToxicityModel(features, np.zeros(len(features)), prior)
@@ -149,7 +165,6 @@ def fit(
             row[r["swapped"]] = 1
             swapped.append(row)
             at.append(i)
-    # labelled texts that name no group are tried with each one: the term's own weight is the change
     y = np.array([r["toxic"] for r in learned], np.float32)
     weights, bias = _train(x, y, np.array(swapped, np.float32).reshape(-1, len(features)), np.array(at, np.int64), [features.index(t) for t in terms], prior, swap_weight, l2, rounds)
     ws.drop()
@@ -173,10 +188,13 @@ def _train(x, y, swapped, at, terms, prior, swap_weight, l2, rounds):
             a, c = change * own * (1 - own), change * r * (1 - r)
             g[:-1] += x[at].T @ a - swapped.T @ c
             g[-1] += (a - c).sum()
-        g[terms] += swap_weight * w[terms] / 4
+        g[terms] += swap_weight * w[terms] / 4  # a text that names no group, with a term put in: the change is the term's weight
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        w, b = (w - step[:-1]).astype(np.float32), np.float32(b - step[-1])
+        free = w - step[:-1]
+        w = np.maximum(free, 0)
+        w[terms] = free[terms]
+        w, b = w.astype(np.float32), np.float32(b - step[-1])
     return w.astype(np.float64), float(b)
 
 
@@ -188,7 +206,9 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold:
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
         m = sent.value
-        return pa.array([m.score(t) for t in texts.to_pylist()], pa.float64())
+        scores = [m.score(t) for s in range(0, len(texts), 256) for t in texts.slice(s, 256).to_pylist()]
+        tidy()
+        return pa.array(scores, pa.float64())
 
     base = docs.withColumn("score", scored(source))
     return base.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
