@@ -13,9 +13,10 @@ Which documents hold benchmark items, word for word or reworded? Method:
    compared with every passage; a pair goes on if its cosine and the share of the passage that
    the window covers are high enough;
 4. the item and the surroundings of the window are compared by their longest common
-   subsequence of words. An item counts as found if the words shared carry half of its weight
-   and the subsequence covers ``full`` of it, or ``partial`` of it and most of the answer (the
-   item's last fifth, or the words of an ``answer`` column) is there too.
+   subsequence of words. An item counts as found if the subsequence covers ``full`` of it and
+   the words shared carry half of its weight, or if it covers ``partial`` of it, the words
+   shared carry 60 % of its weight and the answer (the item's last fifth, or the words of an
+   ``answer`` column) is there too.
 
 What is sent to the tasks grows with the benchmark, not the corpus: the benchmark is taken in
 parts of at most ``items_per_pass`` items, one pass each, so that it has a bound.
@@ -234,7 +235,7 @@ class Space:
             here = set(region)
             got = lcs_length(lcs_masks(answer), len(answer), region) / len(answer) if answer else 1.0
             shared = sum(float(self.idf[t]) for t in item if t in here) / weight if weight > 0 else 1.0
-            if shared >= 0.5 and (share >= self.full or got >= 0.6):
+            if (share >= self.full and shared >= 0.5) or (got >= 0.8 and shared >= 0.6):
                 row = (name, share, cosine, got, max(low + around, 0))
                 best = max(best, row, key=lambda r: r[1:3]) if best else row
         return best
