@@ -25,6 +25,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,12 +34,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Workspace, col, hadoop_path
+from .sharding import LOWEST, Boundary, range_of
 
 MAGIC = b"SWHUF001"
 HEAD = struct.Struct("<8s6Q")
 BLOCK_IDS = 512
 CHUNK_IDS = 1 << 20
-UNITS = 400_000
+#: Ids packed at a time: a multiple of the block.
+PACK = 1 << 16
+UNITS = 800_000
+END_MARKS = frozenset(".,;:!?")
+#: White space to Python alone.
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 UNIT = re.compile(r"[^ \t-\r]+")
 
 
@@ -50,6 +57,8 @@ def code_lengths(counts: np.ndarray, max_bits: int) -> np.ndarray:
     if n <= 1:
         lengths[used] = 1
         return lengths
+    if max_bits > 31:
+        raise ValueError("codes have at most 31 bits")
     if n > 1 << max_bits:
         raise ValueError(f"{n} symbols don't fit in codes of {max_bits} bits")
     order = used[np.argsort(counts[used], kind="stable")]
@@ -84,40 +93,45 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def decode_table(lengths: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-    """(bits, symbol and length by the next ``bits`` bits)."""
+def decode_table(lengths: np.ndarray) -> tuple[int, np.ndarray]:
+    """(bits, symbol * 32 + length by the next ``bits`` bits)."""
     bits = int(lengths.max()) if len(lengths) and lengths.max() else 1
     order = np.lexsort((np.arange(len(lengths)), lengths))
     order = order[lengths[order] > 0]
-    spans = np.int64(1) << (bits - lengths[order].astype(np.int64))
-    symbols = np.repeat(order, spans).astype(np.int32)
-    rest = (1 << bits) - len(symbols)
-    return bits, np.concatenate([symbols, np.zeros(rest, np.int32)]), np.concatenate([np.repeat(lengths[order], spans).astype(np.int64), np.ones(rest, np.int64)])
+    entries = np.repeat(order * 32 + lengths[order], np.int64(1) << (bits - lengths[order].astype(np.int64)))
+    return bits, np.concatenate([entries, np.ones((1 << bits) - len(entries), np.int64)]).astype(np.uint32)
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, bytes]:
     """(bit offset of each block, bit stream)."""
-    per = lengths[ids].astype(np.int64)
-    ends = np.cumsum(per)
-    total = int(ends[-1]) if len(ends) else 0
-    words = np.zeros(total // 64 + 2, U64)
-    blocks = (ends - per)[::BLOCK_IDS].astype("<u8")
-    for s in range(0, len(ids), 1 << 18):
-        own, code = per[s : s + (1 << 18)], codes[ids[s : s + (1 << 18)]]
-        start = ends[s : s + (1 << 18)] - own
-        word, left = start >> 6, 64 - (start & 63) - own
-        high = np.where(left >= 0, code << np.maximum(left, 0).astype(U64), code >> np.maximum(-left, 0).astype(U64))
+    aligned = codes << ((64 - lengths.astype(np.int64)) & 63).astype(U64)  # codes at the top of a word
+    bits = lengths.astype(np.int64)
+    starts, words, done = [], [np.zeros(1, U64)], 0
+    for s in range(0, len(ids), PACK):
+        part = ids[s : s + PACK]
+        own, code = bits[part], aligned[part]
+        ends = np.cumsum(own)
+        at = ends - own + (done & 63)
+        starts.append(at[::BLOCK_IDS] + (done & ~63))
+        word, off = at >> 6, (at & 63).astype(U64)
+        out = np.zeros((int(at[-1]) >> 6) + 2, U64)
         runs = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[runs]] |= np.bitwise_or.reduceat(high, runs)
-        over = left < 0
-        words[word[over] + 1] |= code[over] << (64 + left[over]).astype(U64)
-    return blocks, words.astype(">u8").tobytes()
-
-
-def unpack(stream: np.ndarray, blocks: np.ndarray, n: int, table: tuple[int, np.ndarray, np.ndarray], block_ids: int) -> np.ndarray:
+        out[word[runs]] = np.bitwise_or.reduceat(code >> off, runs)
+        over = np.flatnonzero((at & 63) + own > 64)
+        out[word[over] + 1] |= code[over] << (U64(64) - off[over])
+        # the first word goes on where the last part ended
+        out[0] |= words[-1][-1]
+        words[-1] = words[-1][:-1]
+        done += int(ends[-1])
+        words.append(out[: (done >> 6) - ((done - int(ends[-1])) >> 6) + 1])
+    blocks = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return blocks.astype("<u8"), np.concatenate([*words, np.zeros(1, U64)]).astype(">u8").tobytes()
+
+
+def unpack(stream: np.ndarray, blocks: np.ndarray, n: int, table: tuple[int, np.ndarray], block_ids: int) -> np.ndarray:
     """All ids: every block advances by one code a step."""
-    bits, symbols, lengths = table
-    out = np.empty((min(block_ids, n), len(blocks)), np.int32)
+    bits, entries = table
+    out = np.empty((min(block_ids, n), len(blocks)), np.uint32)
     at = blocks.astype(np.int64)
     last, drop = len(stream) - 2, U64(64 - bits)
     for step in range(len(out)):
@@ -125,9 +139,9 @@ def unpack(stream: np.ndarray, blocks: np.ndarray, n: int, table: tuple[int, np.
         off = (at & 63).astype(U64)
         # two shifts, as a shift by 64 is undefined
         look = ((stream[word] << off) | ((stream[word + 1] >> U64(1)) >> (U64(63) - off))) >> drop
-        out[step] = symbols[look]
-        at += lengths[look]
-    return out.T.ravel()[:n]
+        entries.take(look.view(np.int64), out=out[step], mode="clip")
+        at += out[step] & 31
+    return (out.T.ravel()[:n] >> 5).astype(np.int32)
 
 
 def file_bytes(base: int, doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray, packed_lengths: bytes) -> bytes:
@@ -163,33 +177,79 @@ class UnitEncoder:
     """Ids of whole texts by way of their runs of non-space characters, which this tokenizer never joins.
 
     Equal runs get equal ids wherever they stand, so a bounded table per worker holds them
-    and only runs not in it go to the tokenizer, all those of a batch at once.
+    and only runs not in it go to the tokenizer. What the tokenizer does to a run of letters
+    below U+0130 before its merges is known (lower case, bytes as characters; such letters are
+    in NFC as they are, and one word), so these go to its model directly, with or without a mark
+    at the end, if trials at the start confirm it; all others go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units: dict[str, bytes] = {}
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [UNIT.findall(t) for t in texts]
-        if len(self.units) > UNITS:
-            self.units.clear()
+        self.tokenize = self.tokenizer.model.tokenize
+        size = max(self.tokenizer.get_vocab().values()) + 1
+        self.wide = "<u2" if size <= 1 << 16 else "<u4"
+        self.raw = [x.tobytes() for x in np.arange(size).astype(self.wide)]
+        self.units = _Held(self._learn)
+        self.marks = {m: self._whole([m])[0] for m in END_MARKS}
+        shown = sorted(ByteLevel.alphabet())
+        plain = [b for b in range(256) if chr(b) in shown]  # the other bytes take what is left, in order
+        self.bytes = {b: chr(b) for b in plain} | dict(zip((b for b in range(256) if b not in plain), (c for c in shown if ord(c) > 255), strict=True))
+        trials = ["The", "zebra", "Éclair", "straße", "niño", "xqzv", "OBEN", "ªº", "Çà", "internationalisation", "ÿŸĀđ"[:3]]
+        self.direct = all(self._word(t) == self._whole([t])[0] for t in trials) and self._whole(["Word."])[0] == self._word("Word") + self.marks["."]
+
+    def _whole(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.wide).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _word(self, word: str) -> bytes:
+        low = word.lower()
+        if not low.isascii():
+            low = low.encode().decode("latin-1").translate(self.bytes)
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.tokenize(low)])
+
+    def _learn(self, unit: str) -> bytes:
         units = self.units
-        missing = list({u for words in split for u in words if u not in units})
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                units[u] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(units.__getitem__, words)) for words in split]
-        for u in missing:
-            if len(u) > 64:
-                del units[u]
-        return out
+        if self.direct and unit.isascii() and unit.isalpha() and len(unit) < 64:
+            raw = self.raw
+            found = b"".join([raw[t.id] for t in self.tokenize(unit.lower())])
+            if len(units) >= UNITS:
+                units.clear()
+            units[unit] = found
+            return found
+        found = None
+        if self.direct and (unit.isascii() or max(unit) < "\u0130"):
+            if unit.isalpha():
+                found = self._word(unit)
+            elif unit[-1] in END_MARKS and unit[:-1].isalpha():
+                found = (units.get(unit[:-1]) or self._word(unit[:-1])) + self.marks[unit[-1]]
+        if found is None:
+            found = self._whole([unit])[0]
+        if len(unit) < 64:
+            if len(units) >= UNITS:
+                units.clear()
+            units[unit] = found
+        return found
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian ids of a text, of ``wide`` each."""
+        words = UNIT.findall(text) if any(c in text for c in SEPARATORS) else text.split()
+        return b"".join(map(self.units.__getitem__, words))
+
+
+class _Held(dict):
+    """A table that learns what it lacks."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, key: str) -> bytes:
+        return self.learn(key)
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
@@ -205,17 +265,20 @@ def _chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """Rows of (part, chunk, doc_ids, sizes, ids, symbols, counts); documents ascend within and across them."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        enc, end = unit_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = unit_encoder(tokenizer)
+        end, width = np.array([end_id], enc.wide).tobytes(), np.dtype(enc.wide).itemsize
         names: list[int | None] = []
         parts: list[bytes] = []
-        part, chunk, held = 0, 0, 0
+        part, chunk, held, total = 0, 0, 0, np.zeros(len(enc.raw), np.int64)
 
-        def flush():
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            symbols, counts = np.unique(ids, return_counts=True)
+        def flush(last: bool = False):
+            ids = np.frombuffer(b"".join(parts), enc.wide)
+            total[:] += np.bincount(ids, minlength=len(total))
+            symbols = np.flatnonzero(total) if last else np.zeros(0, np.int64)  # counts go with a task's last row
+            counts = total[symbols]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int64())),
+                    pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([[len(p) // width for p in parts]], pa.list_(pa.int64())),
                     pa.array([ids.tobytes()], pa.binary()), pa.array([symbols.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())),
                 ],
                 ["part", "chunk", "doc_ids", "sizes", "ids", "symbols", "counts"],
@@ -225,15 +288,15 @@ def _chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 part = b.column(0)[0].as_py()
-                for name, ids in zip(b.column(1).to_pylist(), enc.encode_all([t or "" for t in b.column(2).to_pylist()]), strict=True):
+                for name, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     names.append(name)
-                    parts.append(ids + end)
-                    held += len(ids) // 4 + 1
+                    parts.append(enc.encode(t or "") + end)
+                    held += len(parts[-1]) // width
                     if held >= CHUNK_IDS:
                         yield flush()
                         names, parts, held, chunk = [], [], 0, chunk + 1
-        if names:
-            yield flush()
+        if names or chunk:
+            yield flush(last=True)
 
     return docs.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, "part int, chunk int, doc_ids array<long>, sizes array<long>, ids binary, symbols array<long>, counts array<long>")
 
@@ -247,8 +310,12 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "token-file")
     source = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).alias("text"))
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ordered = source.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    chunks = ws.cut(_chunks(ordered, tokenizer, end_id), "chunks", "zstd")
+    # ranges of about as many documents each, from the ids alone: no text is read for them
+    known = source.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0]
+    cuts = [Boundary(x, None, 0, 0) for x in sorted(set(known or ()))]
+    part = range_of(F.coalesce("doc_id", F.lit(LOWEST)), F.lit(LOWEST), cuts, spark)
+    ordered = source.repartitionById(len(cuts) + 1, part).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    chunks = ws.cut(_chunks(ordered, tokenizer, end_id), "chunks")
     pairs = chunks.select(F.explode(F.arrays_zip("symbols", "counts")).alias("x")).groupBy(F.col("x.symbols").alias("symbol")).agg(F.sum("x.counts").alias("n"))
     seen = pairs.collect()  # one row for each id of the vocabulary
     counts = np.zeros(max((r["symbol"] for r in seen), default=0) + 1, np.int64)
@@ -264,6 +331,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
     p, fs = hadoop_path(spark, path)
     fs.mkdirs(p)
     target = fs.makeQualified(p).toString()
+    # three numbers a file of about a million ids: less than a hundred-thousandth of the corpus
     base = spark.createDataFrame(starts, "part int, chunk int, base long")
 
     def encode(batches):
@@ -273,7 +341,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
         store, folder = pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", target))
         for b in batches:
             for r in b.to_pylist():
-                body = file_bytes(r["base"], r["doc_ids"], np.array(r["sizes"], np.int64), np.frombuffer(r["ids"], "<u4").astype(np.int64), lengths, codes, packed)
+                body = file_bytes(r["base"], r["doc_ids"], np.array(r["sizes"], np.int64), np.frombuffer(r["ids"], f"<u{len(r['ids']) // max(sum(r['sizes']), 1) or 2}"), lengths, codes, packed)
                 name = f"{folder}/part-{r['part']:06d}-{r['chunk']:05d}.swh"
                 own = f"{folder}/.{os.urandom(8).hex()}.tmp"
                 with store.open_output_stream(own) as f:
@@ -281,7 +349,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
                 store.move(own, name)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(body)], pa.int64())], ["file", "bytes"])
 
-    written = chunks.select("part", "chunk", "doc_ids", "sizes", "ids").join(base, ["part", "chunk"]).mapInArrow(encode, "file string, bytes long")
+    written = chunks.select("part", "chunk", "doc_ids", "sizes", "ids").join(F.broadcast(base), ["part", "chunk"]).mapInArrow(encode, "file string, bytes long")
     written.agg(F.count("file"), F.sum("bytes")).collect()
     ws.drop()
 
