@@ -261,15 +261,15 @@ def unit_encoder(path: str) -> UnitEncoder:
     return _ENCODERS[path]
 
 
-def _chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """Rows of (part, chunk, doc_ids, sizes, ids, symbols, counts); documents ascend within and across them."""
+def _chunks(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int) -> DataFrame:
+    """Rows of (part, chunk, ids before it in its part, doc_ids, sizes, ids, symbols, counts); documents ascend within and across them."""
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         enc = unit_encoder(tokenizer)
         end, width = np.array([end_id], enc.wide).tobytes(), np.dtype(enc.wide).itemsize
         names: list[int | None] = []
         parts: list[bytes] = []
-        part, chunk, held, total = 0, 0, 0, np.zeros(len(enc.raw), np.int64)
+        part, chunk, held, before, total = 0, 0, 0, 0, np.zeros(len(enc.raw), np.int64)
 
         def flush(last: bool = False):
             ids = np.frombuffer(b"".join(parts), enc.wide)
@@ -278,10 +278,10 @@ def _chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             counts = total[symbols]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([names], pa.list_(pa.int64())), pa.array([[len(p) // width for p in parts]], pa.list_(pa.int64())),
+                    pa.array([part], pa.int32()), pa.array([chunk], pa.int32()), pa.array([before], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([[len(p) // width for p in parts]], pa.list_(pa.int64())),
                     pa.array([ids.tobytes()], pa.binary()), pa.array([symbols.tolist()], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())),
                 ],
-                ["part", "chunk", "doc_ids", "sizes", "ids", "symbols", "counts"],
+                ["part", "chunk", "before", "doc_ids", "sizes", "ids", "symbols", "counts"],
             )
 
         for whole in batches:
@@ -292,19 +292,20 @@ def _chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
                     names.append(name)
                     parts.append(enc.encode(t or "") + end)
                     held += len(parts[-1]) // width
-                    if held >= CHUNK_IDS:
+                    if held >= chunk_ids:
                         yield flush()
-                        names, parts, held, chunk = [], [], 0, chunk + 1
+                        names, parts, held, chunk, before = [], [], 0, chunk + 1, before + held
         if names or chunk:
             yield flush(last=True)
 
-    return docs.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, "part int, chunk int, doc_ids array<long>, sizes array<long>, ids binary, symbols array<long>, counts array<long>")
+    return docs.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, "part int, chunk int, before long, doc_ids array<long>, sizes array<long>, ids binary, symbols array<long>, counts array<long>")
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", *, end_id: int = 1, max_bits: int = 18, partitions: int | None = None) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", *, end_id: int = 1, max_bits: int = 18, partitions: int | None = None, chunk_ids: int = CHUNK_IDS) -> None:
     """Write the ids of every document to token files below ``path``, a folder that all executors share.
 
-    ``tokenizer``: a tokenizer file that all executors can read. Each file is written under
+    ``tokenizer``: a tokenizer file that all executors can read. A file holds about
+    ``chunk_ids`` ids (one document's at least). Each file is written under
     another name and then renamed, so a task that runs twice leaves one whole file.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "token-file")
@@ -315,7 +316,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
     cuts = [Boundary(x, None, 0, 0) for x in sorted(set(known or ()))]
     part = range_of(F.coalesce("doc_id", F.lit(LOWEST)), F.lit(LOWEST), cuts, spark)
     ordered = source.repartitionById(len(cuts) + 1, part).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    chunks = ws.cut(_chunks(ordered, tokenizer, end_id), "chunks")
+    chunks = ws.cut(_chunks(ordered, tokenizer, end_id, chunk_ids), "chunks")
     pairs = chunks.select(F.explode(F.arrays_zip("symbols", "counts")).alias("x")).groupBy(F.col("x.symbols").alias("symbol")).agg(F.sum("x.counts").alias("n"))
     seen = pairs.collect()  # one row for each id of the vocabulary
     counts = np.zeros(max((r["symbol"] for r in seen), default=0) + 1, np.int64)
@@ -323,16 +324,16 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
         counts[r["symbol"]] = r["n"]
     lengths = code_lengths(counts, max_bits)
     table = spark.sparkContext.broadcast((lengths, canonical_codes(lengths), zlib.compress(lengths.tobytes(), 9)))
-    sizes = chunks.select("part", "chunk", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+    n_ids = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    totals = chunks.groupBy("part").agg(F.max(F.col("before") + n_ids).alias("n")).collect()  # one number a partition
     before, starts = 0, []
-    for r in sizes.orderBy("part", "chunk").toLocalIterator():  # one short row a file
-        starts.append((r["part"], r["chunk"], before))
+    for r in sorted(totals):
+        starts.append((r["part"], before))
         before += r["n"]
     p, fs = hadoop_path(spark, path)
     fs.mkdirs(p)
     target = fs.makeQualified(p).toString()
-    # three numbers a file of about a million ids: less than a hundred-thousandth of the corpus
-    base = spark.createDataFrame(starts, "part int, chunk int, base long")
+    base = spark.createDataFrame(starts, "part int, start long")  # as many rows as partitions
 
     def encode(batches):
         from pyarrow import fs as pafs
@@ -349,7 +350,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
                 store.move(own, name)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(body)], pa.int64())], ["file", "bytes"])
 
-    written = chunks.select("part", "chunk", "doc_ids", "sizes", "ids").join(F.broadcast(base), ["part", "chunk"]).mapInArrow(encode, "file string, bytes long")
+    written = chunks.join(F.broadcast(base), "part").select("part", "chunk", "doc_ids", "sizes", "ids", (F.col("start") + F.col("before")).alias("base")).mapInArrow(encode, "file string, bytes long")
     written.agg(F.count("file"), F.sum("bytes")).collect()
     ws.drop()
 

@@ -94,12 +94,13 @@ def run(spark, rows, path, **options):
     return [tuple(r) for r in F.read_ids(spark, path).collect()]
 
 
-def test_files_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("chunk_ids", [F.CHUNK_IDS, 300])
+def test_files_round_trip(spark, tmp_path, chunk_ids):
     rng = random.Random(8)
     rows = [(i * 3 - 50, " ".join(rng.choice(["the", "Cat", "of", "zebra", "naïve", "12"]) for _ in range(rng.randint(0, 400))), "clash") for i in range(200)]
     rows += [(1000, None, "n"), (None, "null id", "n"), (5000, "word " * 30_000, "long"), (7, "again", "r"), (7, "again", "r")]
     rng.shuffle(rows)
-    got = run(spark, rows, str(tmp_path / "a"))
+    got = run(spark, rows, str(tmp_path / "a"), chunk_ids=chunk_ids)
     ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     start, want = 0, []
     for r, e in zip(ordered, library().encode_batch([r[1] or "" for r in ordered], add_special_tokens=False), strict=True):
