@@ -32,8 +32,9 @@ from .common import col, fresh, tidy
 
 TOUCHING = re.compile(r"\s (?:\s|\Z)|  ")
 #: Strings of less than 64 characters that a worker holds at most, of either kind.
-HELD = 300_000
+HELD = 500_000
 END_MARKS = frozenset(".,;:!?")
+AFTER, BEFORE = list(range(1, 65)), list(range(-1, 63))
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -59,6 +60,7 @@ class ByteBPE:
         self.ranks = ranks
         self.split = regex.compile(pattern).findall
         self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.low_ids = bytes(self.byte_ids) if max(self.byte_ids) < 256 else None
         size = max(ranks.values()) + 1
         #: the queue, empty between calls: which words of ``low`` aren't 0 is for ``merge`` to know
         self.low, self.buckets = [0] * ((size >> 8) + 1), [None] * size
@@ -90,10 +92,10 @@ class ByteBPE:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         low, buckets, pairs, bits, top = self.low, self.buckets, self.pairs, self.bits, 0
-        byte_ids = self.byte_ids
-        ids = [byte_ids[b] for b in piece]
-        n = len(ids)
-        nxt, prv, rank_at = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        n = len(piece)
+        ids = list(piece.translate(self.low_ids)) if self.low_ids else [self.byte_ids[b] for b in piece]
+        nxt, prv = (AFTER[:n], BEFORE[:n]) if n <= len(AFTER) else (list(range(1, n + 1)), list(range(-1, n - 1)))
+        rank_at = [-1] * n
         left = pairs[ids[0]] if n else None
         for i in range(n - 1):
             right = ids[i + 1]
