@@ -41,6 +41,12 @@ def tokenized(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tokenize: Calla
     return rows.select("x.field", "doc_id", tokenize(F.col("x.value")).alias("tokens"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """One small file is one task: rows go to all cores where there are fewer partitions than half of them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+
+
 def build_index(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tokenize: Callable[[Column], Column] = clean_tokens, doc_id: str = "doc_id", k1: float = K1, b: float = B) -> Index:
     """Tokenise once, count the rest.
 
@@ -49,7 +55,7 @@ def build_index(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tokenize: Cal
     the field's total; documents without a token count in ``n`` alone.
     """
     ws = Workspace(docs.sparkSession, "index")
-    tokens = tokenized(docs, fields, tokenize, doc_id)
+    tokens = tokenized(spread(docs), fields, tokenize, doc_id)
     each = tokens.select("field", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
     postings = ws.cut(each.groupBy("field", "term", "doc_id").agg(F.count("dl").alias("tf"), F.first("dl").alias("dl")), "postings")
     n_docs = docs.count()
