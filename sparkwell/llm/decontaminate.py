@@ -4,14 +4,16 @@ Which documents hold benchmark items, word for word or reworded? Method:
 
 1. one pass over the texts keeps, of each document, the words that occur in any item, with
    their places; what follows reads that narrow table only. Document frequencies over the whole
-   corpus give the inverse document frequencies;
+   corpus give the inverse document frequencies, none of them below ``FLOOR``, so that an item
+   held by most of the documents keeps its weight too;
 2. a distributed randomised SVD of the TF-IDF matrix of the benchmark's passages (an item, or
    48-word pieces of a long one) gives a latent space. Words that no item holds have weight
    zero in every passage, so nothing else of the corpus could enter it. Only small square
    matrices and one row for each word reach the driver;
 3. every window of 64 words of every document (one each 32 words) is folded into the space and
    compared with every passage; a pair goes on if its cosine and the share of the passage that
-   the window covers are high enough;
+   the window covers are high enough, or if the window covers about half of the passage, however
+   much of other items stands beside it. One of the windows over a word-for-word copy covers half;
 4. the item and the surroundings of the window are compared by their longest common
    subsequence of words. An item counts as found if the subsequence covers ``full`` of it and
    the words shared carry half of its weight, or if it covers ``partial`` of it, the words
@@ -40,6 +42,10 @@ from .common import Workspace, col, tidy
 TABLE = bytes(32 if chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r'" else i for i in range(256))
 STEP, SPAN = 32, 2
 PIECE = 48
+#: Least weight of a word, however many documents hold it.
+FLOOR = 0.1
+#: Share of a passage at which the cosine isn't asked. Two neighbouring windows miss different words of a copy, so one has half.
+HALF = 0.49
 FOUND = "doc_id long, item_id long, lcs double, cosine double, answer double, at long"
 
 
@@ -181,15 +187,13 @@ class Space:
         p = np.array([self.word[ids].sum(0) for _, ids in pieces], np.float32).reshape(len(pieces), -1)
         self.lengths = np.sqrt((p**2).sum(1))
         self.unit = (p / np.maximum(self.lengths, 1e-9)[:, None]).T.copy()
-        self.live = idf > 0
 
     def search(self, docs: list[tuple]) -> list[tuple]:
         """(doc_id, item_id, lcs, cosine, answer, word place) of (doc_id, ids, places)."""
         base, own, block, ids_all = 0, [], [], []
         for _name, ids, places in docs:
-            keep = self.live[ids]
-            block.append(places[keep] // STEP + base)
-            ids_all.append(ids[keep])
+            block.append(places // STEP + base)
+            ids_all.append(ids)
             own.append(base)
             base += (int(places[-1]) // STEP + 1 if len(places) else 0) + SPAN
         if not base:
@@ -198,10 +202,10 @@ class Space:
         sums = np.zeros((base + SPAN, self.word.shape[1]), np.float32)
         if len(flat):
             starts = np.flatnonzero(np.diff(at, prepend=-1))
-            for s in range(0, len(starts), 4096):
-                e = int(starts[s + 4096]) if s + 4096 < len(starts) else len(flat)
+            for s in range(0, len(starts), 512):
+                e = int(starts[s + 512]) if s + 512 < len(starts) else len(flat)
                 first = int(starts[s])
-                sums[at[starts[s : s + 4096]]] = np.add.reduceat(self.word[flat[first:e]], starts[s : s + 4096] - first, axis=0)
+                sums[at[starts[s : s + 512]]] = np.add.reduceat(self.word[flat[first:e]], starts[s : s + 512] - first, axis=0)
         windows = sum(sums[d : len(sums) - SPAN + d] for d in range(SPAN))
         norms = np.sqrt((windows**2).sum(1))
         hot = np.flatnonzero(norms >= self.cover * self.lengths.min()) if len(self.lengths) else []
@@ -209,7 +213,7 @@ class Space:
         for s in range(0, len(hot), 4096):
             w = hot[s : s + 4096]
             dot = windows[w] @ self.unit
-            good = (dot >= self.cosine * norms[w][:, None]) & (dot >= self.cover * self.lengths[None, :])
+            good = (dot >= self.cover * self.lengths) & ((dot >= self.cosine * norms[w][:, None]) | (dot >= HALF * self.lengths))
             for a, b in zip(*np.nonzero(good), strict=True):
                 d = int(np.searchsorted(owns, w[a], "right")) - 1
                 key = (d, int(self.owner[b]))
@@ -255,7 +259,7 @@ def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None, mi
 
 def find_items(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", answer: str | None = None, *,
-    dims: int = 256, cosine: float = 0.35, cover: float = 0.3, full: float = 0.65, partial: float = 0.5, max_df: float = 0.2, min_words: int = 8, items_per_pass: int = 4000,
+    dims: int = 256, cosine: float = 0.35, cover: float = 0.3, full: float = 0.65, partial: float = 0.5, min_words: int = 8, items_per_pass: int = 4000,
 ) -> DataFrame:
     """One row for each document and benchmark item found in it: (doc_id, item_id, lcs, cosine, answer, at)."""
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "decontaminate")
@@ -264,13 +268,13 @@ def find_items(
     out = spark.createDataFrame([], FOUND)
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)) == p) if parts > 1 else items
-        found = _find_part(docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).alias("text")), own, Workspace(spark, f"decontaminate-{p}"), dims, (cosine, cover, full, partial), max_df)
+        found = _find_part(docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).alias("text")), own, Workspace(spark, f"decontaminate-{p}"), dims, (cosine, cover, full, partial))
         out = found if parts == 1 else out.union(found)
     best = F.max(F.struct("lcs", "cosine", "answer", "at")).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.lcs", "x.cosine", "x.answer", "x.at")
 
 
-def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limits: tuple, max_df: float) -> DataFrame:
+def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limits: tuple) -> DataFrame:
     spark = docs.sparkSession
     rows = sorted((r["item_id"] if r["item_id"] is not None else -1, [bytes(w) for w in r["words"]], [bytes(w) for w in r["answer"]], r["item_id"]) for r in items.collect())  # items_per_pass at most
     if not rows:
@@ -309,9 +313,7 @@ def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limi
     for r in corpus.select("ids").mapInArrow(frequencies, "n long, df binary").toLocalIterator():  # one number a word and task
         n_docs += r["n"]
         df += np.frombuffer(bytes(r["df"]), np.int64)
-    idf = np.where(df <= max(max_df * n_docs, 1), np.log((1 + n_docs) / (1 + df)), 0.0)
-    if not idf.any():
-        idf = np.ones(m)
+    idf = np.maximum(np.log((1 + n_docs) / (1 + df)), FLOOR)
 
     known = [(name, [vocabulary[w] for w in words], [vocabulary[w] for w in answer]) for _, words, answer, name in rows]
     pieces = [x[s : s + PIECE] for _, x, _ in known for s in range(0, max(len(x) - PIECE // 4, 1), PIECE)]

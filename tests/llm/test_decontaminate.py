@@ -72,6 +72,27 @@ def test_brute_force_by_subsequence(spark):
     assert want <= found(spark, docs)
 
 
+@pytest.mark.parametrize("every", [1, 3])
+def test_item_of_many_documents_among_words_of_others(spark, every):
+    rng = random.Random(5)
+    hot = " ".join(f"hot{i}" for i in range(20))
+    items = [(0, hot)] + [(k, " ".join(f"rare{k}x{i}" for i in range(20))) for k in range(1, 31)]
+    docs, want = [], set()
+    for i in range(120):
+        k = rng.randint(1, 30)
+        words = [rng.choice(items[1:])[1].split()[rng.randrange(20)] for _ in range(60)]
+        at = rng.randint(0, 60)
+        if i % every == 0:
+            own = hot.split()
+            if i % 2:  # between the words of another item, itself whole
+                own += items[k][1].split()
+                want.add((i, k))
+            words[at:at] = own
+            want.add((i, 0))
+        docs.append((i, " ".join(words)))
+    assert found(spark, docs, items) == want
+
+
 def test_odd_tables(spark):
     docs = [(1, None), (2, ""), (3, "!!!"), (None, ITEM_COPY), (4, ITEM_COPY + " zz"), (4, ITEM_COPY), (5, "x " * 120_000 + ITEM_COPY)]
     assert found(spark, docs) == {(i, k) for i in (None, 4, 5) for k in (53, 54)}
