@@ -9,7 +9,9 @@ Which documents hold benchmark items, word for word or reworded? Method:
 2. a distributed randomised SVD of the TF-IDF matrix of the benchmark's passages (an item, or
    48-word pieces of a long one) gives a latent space. Words that no item holds have weight
    zero in every passage, so nothing else of the corpus could enter it. Only small square
-   matrices and one row for each word reach the driver;
+   matrices and one row for each word reach the driver. A space is never cut short: it has as
+   many dimensions as passages, and more than ``dims`` passages get several spaces, one after
+   the other;
 3. every window of 64 words of every document (one each 32 words) is folded into the space and
    compared with every passage; a pair goes on if its cosine and the share of the passage that
    the window covers are high enough, or if the window covers about half of the passage, however
@@ -21,7 +23,8 @@ Which documents hold benchmark items, word for word or reworded? Method:
    ``answer`` column) is there too.
 
 What is sent to the tasks grows with the benchmark, not the corpus: the benchmark is taken in
-parts of at most ``items_per_pass`` items, one pass each, so that it has a bound.
+parts of at most ``items_per_pass`` items, one pass over the texts each, and of at most ``dims``
+passages, one pass over the narrow table each, so that it has a bound.
 
 Nulls and odd inputs: a null or empty text holds nothing. Items of fewer than ``min_words``
 words (or null ones) aren't passages and are never found. Rows with equal ids are reported
@@ -176,15 +179,16 @@ def lcs_length(masks: dict[int, int], n: int, other: list[int]) -> int:
 
 
 class Space:
-    """What a task needs: items, their passages in the latent space, and each word's vector."""
+    """What a task needs: passages (item, ids) in the latent space, their items, and the vectors of their words ``terms``."""
 
-    def __init__(self, items: list[tuple], idf: np.ndarray, basis: np.ndarray, cosine: float, cover: float, full: float, partial: float):
+    def __init__(self, items: dict[int, tuple], pieces: list[tuple], terms: np.ndarray, idf: np.ndarray, basis: np.ndarray, cosine: float, cover: float, full: float, partial: float):
         self.idf, self.cosine, self.cover, self.full, self.partial = idf, cosine, cover, full, partial
-        self.word = (basis * idf[:, None]).astype(np.float32)
-        self.items = [(name, ids, lcs_masks(ids), float(idf[ids].sum()), answer) for name, ids, answer in items]
-        pieces = [(i, ids[s : s + PIECE]) for i, (_n, ids, _a) in enumerate(items) for s in range(0, max(len(ids) - PIECE // 4, 1), PIECE)]
+        self.word = (basis * idf[terms][:, None]).astype(np.float32)
+        self.place = np.full(len(idf), -1, np.int32)
+        self.place[terms] = np.arange(len(terms))
+        self.items = {i: (name, ids, lcs_masks(ids), float(idf[ids].sum()), answer) for i, (name, ids, answer) in items.items()}
         self.owner = np.array([i for i, _ in pieces], np.int64)
-        p = np.array([self.word[ids].sum(0) for _, ids in pieces], np.float32).reshape(len(pieces), -1)
+        p = np.array([self.word[self.place[ids]].sum(0) for _, ids in pieces], np.float32).reshape(len(pieces), -1)
         self.lengths = np.sqrt((p**2).sum(1))
         self.unit = (p / np.maximum(self.lengths, 1e-9)[:, None]).T.copy()
 
@@ -192,8 +196,10 @@ class Space:
         """(doc_id, item_id, lcs, cosine, answer, word place) of (doc_id, ids, places)."""
         base, own, block, ids_all = 0, [], [], []
         for _name, ids, places in docs:
-            block.append(places // STEP + base)
-            ids_all.append(ids)
+            rows = self.place[ids]
+            keep = rows >= 0
+            block.append(places[keep] // STEP + base)
+            ids_all.append(rows[keep])
             own.append(base)
             base += (int(places[-1]) // STEP + 1 if len(places) else 0) + SPAN
         if not base:
@@ -316,16 +322,30 @@ def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limi
     idf = np.maximum(np.log((1 + n_docs) / (1 + df)), FLOOR)
 
     known = [(name, [vocabulary[w] for w in words], [vocabulary[w] for w in answer]) for _, words, answer, name in rows]
-    pieces = [x[s : s + PIECE] for _, x, _ in known for s in range(0, max(len(x) - PIECE // 4, 1), PIECE)]
+    pieces = [(i, x[s : s + PIECE]) for i, (_n, x, _a) in enumerate(known) for s in range(0, max(len(x) - PIECE // 4, 1), PIECE)]
+    found = None
+    for g in range(0, len(pieces), dims):
+        part = _search(corpus, wide, known, pieces[g : g + dims], idf, limits, ws, g // dims)
+        found = part if found is None else found.union(part)
+    ws.drop("corpus")
+    return found
+
+
+def _search(corpus: DataFrame, wide: str, known: list[tuple], pieces: list[tuple], idf: np.ndarray, limits: tuple, ws: Workspace, group: int) -> DataFrame:
+    """What the narrow table holds of these passages' items, by way of the passages' own space."""
+    spark = corpus.sparkSession
+    terms = np.unique(np.concatenate([np.array(x) for _, x in pieces]))
     matrix = []
-    for i, x in enumerate(pieces):
-        terms, counts = np.unique(np.array(x), return_counts=True)
-        weights = counts * idf[terms]
+    for i, (_, x) in enumerate(pieces):
+        used, counts = np.unique(np.array(x), return_counts=True)
+        weights = counts * idf[used]
         # rows of length 1, so that a short passage has as much of the space as a long one
-        matrix.append((i, terms.tolist(), (weights / max(float(np.sqrt((weights**2).sum())), 1e-9)).astype(float).tolist()))
+        matrix.append((i, np.searchsorted(terms, used).tolist(), (weights / max(float(np.sqrt((weights**2).sum())), 1e-9)).astype(float).tolist()))
     a = spark.createDataFrame(matrix, "row long, terms array<int>, weights array<double>")
-    basis, _ = randomized_svd(a, m, min(dims, len(matrix)), ws)
-    space = spark.sparkContext.broadcast(Space(known, idf, basis, *limits))
+    own = Workspace(spark, f"decontaminate-space-{group}")
+    basis, _ = randomized_svd(a, len(terms), len(matrix), own)
+    own.drop()
+    space = spark.sparkContext.broadcast(Space({i: known[i] for i, _ in pieces}, pieces, terms, idf, basis, *limits))
 
     def search(batches):
         s = space.value
@@ -342,9 +362,7 @@ def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limi
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "lcs", "cosine", "answer", "at"])
         tidy()
 
-    found = ws.cut(corpus.mapInArrow(search, FOUND), "found")
-    ws.drop("corpus")
-    return found
+    return ws.cut(corpus.mapInArrow(search, FOUND), f"found-{group}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:

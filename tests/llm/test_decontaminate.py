@@ -93,6 +93,24 @@ def test_item_of_many_documents_among_words_of_others(spark, every):
     assert found(spark, docs, items) == want
 
 
+def test_more_passages_than_dimensions(spark):
+    # 300 pairs of items that share most of their words would fill a space of 256 dimensions; the 40 others have words of their own
+    rng = random.Random(9)
+    pairs = [[f"p{g}x{i}" for i in range(12)] + [f"p{g}y{h}x{i}" for i in range(4)] for g in range(300) for h in range(2)]
+    alone = [[f"a{k}x{i}" for i in range(16)] for k in range(40)]
+    items = [(k, " ".join(w)) for k, w in enumerate(alone + pairs)]
+    docs, want = [], set()
+    for i in range(400):
+        k = rng.randrange(40)
+        words = list(alone[k])
+        if i % 2:  # reworded: four words of sixteen
+            words[1:12:3] = [f"other{i}x{n}" for n in range(4)]
+        beside = [x for _ in range(6) for x in rng.choice(pairs)[:8]]
+        docs.append((i, " ".join(beside[:24] + words + beside[24:])))
+        want.add((i, k))
+    assert found(spark, docs, items) == want
+
+
 def test_odd_tables(spark):
     docs = [(1, None), (2, ""), (3, "!!!"), (None, ITEM_COPY), (4, ITEM_COPY + " zz"), (4, ITEM_COPY), (5, "x " * 120_000 + ITEM_COPY)]
     assert found(spark, docs) == {(i, k) for i in (None, 4, 5) for k in (53, 54)}
