@@ -23,7 +23,8 @@ standard deviations).
 Nulls and odd inputs: a null, empty or blank text has an empty set and is linked with
 nothing; a text of one word has one shingle, the word. Rows with equal ids are one document,
 whose set is that of the row with the smallest digest; null ids form no links, and each row
-is its own group with a null component. Further columns are carried along; columns named
+is its own group, kept, with a null component (``near_duplicate_rows`` returns these rows,
+``near_duplicates`` has ids only). Further columns are carried along; columns named
 like the results are replaced.
 """
 
@@ -220,6 +221,14 @@ def near_duplicates(
     return found.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
+def near_duplicate_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, words: int = 2, **options) -> DataFrame:
+    """``near_duplicates``, and a row for each document with a null id: its own group, kept, with a null component."""
+    found = near_duplicates(docs, text, doc_id, words=words, **options)
+    unnamed = docs.select(col(docs, doc_id).cast("long").alias("id"), col(docs, text).alias("text")).where("id IS NULL")
+    alone = _sketch(unnamed, words, 1, 1).select("id", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return found.union(alone)
+
+
 def dedup_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents that represent their group, one row of each id, with all their columns.
 

@@ -12,7 +12,7 @@ from .common import Workspace
 from .decontaminate import find_items
 from .html_text import extract_text
 from .line_dedup import dedup_lines
-from .near_dedup import near_duplicates
+from .near_dedup import near_duplicate_rows
 from .sharding import shard_by_bytes, text_size
 from .topk import quantize, top_k
 from .url_filter import filter_urls
@@ -39,7 +39,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's class among those whose shingle sets overlap by 75 %."""
-    out = near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=75)
+    out = near_duplicate_rows(table(spark, sf_dir, "documents"), words=2, percent=75)
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 

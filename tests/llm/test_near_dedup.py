@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from sparkwell.llm import near_dedup as N
+from sparkwell.llm.queries import QUERIES
 
 
 def words(t):
@@ -93,6 +94,13 @@ def test_repeated_and_null_ids_and_columns(spark):
     assert out.columns == df.columns and sorted(r["component_id"] for r in out.collect()) == ["k", "l", "m", "n", "x", "y"]
 
 
+def test_query_has_a_row_for_each_null_id(spark, tmp_path):
+    rows = [(1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "a b c d"), (None, None), (None, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted((tuple(r) for r in QUERIES["op3_near_dedup"](spark, str(tmp_path)).collect()), key=repr)
+    assert found == [(1, 3, 1, True), (2, 3, 1, False), (None, 0, None, True), (None, 1, None, True), (None, 3, None, True), (None, 3, None, True)]
+
+
 def test_signatures_estimate_overlap():
     a = N.shingle_set(" ".join(f"w{i}" for i in range(1000)).encode())
     b = N.shingle_set(" ".join(f"w{i}" for i in range(200, 1200)).encode())
