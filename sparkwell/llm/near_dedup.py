@@ -153,15 +153,18 @@ class Verifier:
         wanted = bloom.probe_udf(bloom.build(ids.select(F.xxhash64("id").alias("h")), bloom.blocks_for(n, 12, self.filter_bytes)), spark)
 
         def run(batches):
+            from xxhash import xxh3_128_digest
+
             for whole in batches:
                 for at in range(0, whole.num_rows, 512):
                     b = whole.slice(at, 512)
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).view(np.int64) for t in b.column(1).cast(pa.binary()).to_pylist()], pa.list_(pa.int64()))], ["id", "set"])
+                    sets = [shingle_set(t, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "digest", "set"])
             tidy()
 
         few = self.source.where(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi")
         # equal ids with different texts: the class holds the row whose digest it has
-        return self.ws.cut(few.mapInArrow(run, "id long, set array<long>").groupBy("id").agg(F.min("set").alias("set")), name)
+        return self.ws.cut(few.mapInArrow(run, "id long, digest binary, set array<long>").groupBy("id").agg(F.min_by("set", "digest").alias("set")), name)
 
     def __call__(self, pairs: DataFrame, name: str) -> DataFrame:
         sig = self.classes.select("id", "sig", "n")

@@ -94,6 +94,20 @@ def test_repeated_and_null_ids_and_columns(spark):
     assert out.columns == df.columns and sorted(r["component_id"] for r in out.collect()) == ["k", "l", "m", "n", "x", "y"]
 
 
+def test_repeated_id_is_compared_by_the_row_of_the_smallest_digest(spark):
+    from xxhash import xxh3_128_digest
+
+    texts = [" ".join(f"r{k}w{i}" for i in range(60)) for k in range(12)]
+    sets = {t: N.shingle_set(t.encode()) for t in texts}
+    first = min(texts, key=lambda t: xxh3_128_digest(sets[t].tobytes()))
+    # another row of the same id comes first by its numbers, not by its digest
+    other = min((t for t in texts if t != first), key=lambda t: sets[t].view(np.int64).tolist())
+    assert sets[other].view(np.int64).tolist() < sets[first].view(np.int64).tolist()
+    rows = [(1, first), (1, other), (2, first + " and more")]
+    found = {r["id"]: r["component_id"] for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1}
+
+
 def test_query_has_a_row_for_each_null_id(spark, tmp_path):
     rows = [(1, "a b c d"), (2, "a b c d"), (None, "a b c d"), (None, "a b c d"), (None, None), (None, "one")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
