@@ -16,7 +16,8 @@ in a table of (symbol, length).
 
 Nulls and odd inputs: a null text is empty and still gets the end id. A null id sorts first.
 Documents with equal ids stay neighbours, in the order of their texts. An empty table writes
-no files; reading them gives no rows.
+no files; reading them gives no rows. The literal of an added token in a text, such as
+``<|endoftext|>``, is that token, as the library has it.
 """
 
 from __future__ import annotations
@@ -191,6 +192,9 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenize = self.tokenizer.model.tokenize
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE)  # more than the library finds is no harm
+        self.starts = {c for t in added for c in (t[0], t[0].lower(), t[0].upper())}
         size = max(self.tokenizer.get_vocab().values()) + 1
         self.wide = "<u2" if size <= 1 << 16 else "<u4"
         self.raw = [x.tobytes() for x in np.arange(size).astype(self.wide)]
@@ -235,8 +239,18 @@ class UnitEncoder:
             units[unit] = found
         return found
 
+    def encode_text(self, text: str) -> bytes:
+        """What the library gives as it comes: a text that may hold an added token goes through the whole tokenizer."""
+        if any(c in text for c in self.starts) and self.added.search(text):
+            self.tokenizer.encode_special_tokens = False
+            try:
+                return self._whole([text])[0]
+            finally:
+                self.tokenizer.encode_special_tokens = True
+        return self.encode(text)
+
     def encode(self, text: str) -> bytes:
-        """Little-endian ids of a text, of ``wide`` each."""
+        """Little-endian ids of a text, of ``wide`` each; added tokens in it are ordinary text."""
         words = UNIT.findall(text) if any(c in text for c in SEPARATORS) else text.split()
         return b"".join(map(self.units.__getitem__, words))
 
@@ -290,7 +304,7 @@ def _chunks(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int) -> Dat
                 part = b.column(0)[0].as_py()
                 for name, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                     names.append(name)
-                    parts.append(enc.encode(t or "") + end)
+                    parts.append(enc.encode_text(t or "") + end)
                     held += len(parts[-1]) // width
                     if held >= chunk_ids:
                         yield flush()

@@ -110,5 +110,14 @@ def test_files_round_trip(spark, tmp_path, chunk_ids):
     assert sorted(got, key=lambda r: r[1]) == want
 
 
+def test_added_tokens_are_what_the_library_makes_of_them(spark, tmp_path):
+    texts = ["a <|endoftext|> b", "<|startoftext|>Hello<|endoftext|>", "x<|ENDOFTEXT|> y", "< | endoftext|>", "café <|endoftext|>\u0338\x1c z", "no such token < here"]
+    got = run(spark, [(i, t, "") for i, t in enumerate(texts)], str(tmp_path / "s"))
+    plain = Tokenizer.from_file(PATH)
+    want = {i: [*plain.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    assert 49407 in want[0] and 49406 in want[1]
+    assert {r[0]: np.frombuffer(r[3], "<u4").tolist() for r in got} == want
+
+
 def test_nothing_to_write(spark, tmp_path):
     assert run(spark, [], str(tmp_path / "e")) == []
