@@ -37,7 +37,9 @@ TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|(?<![\w-])(hidden)(?![\w-])", re.I)
+#: What labels the training pages, and only those.
+LABEL = re.compile(r" data-y=([01])")
 WORD = re.compile(r"[a-z]+|[0-9]+")
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -58,8 +60,8 @@ class Block:
     label: int = -1
 
 
-def blocks_of(html: str) -> list[Block]:
-    """Leaf blocks in page order. ``data-y`` attributes (training pages only) label what is inside."""
+def blocks_of(html: str, labelled: bool = False) -> list[Block]:
+    """Leaf blocks in page order. Of ``labelled`` (training) pages, ``data-y`` attributes label what is inside."""
     out: list[Block] = []
     stack: list[tuple[str, str, int]] = []  # tag, tag with its attribute words, label
     parts: list[str] = []
@@ -123,8 +125,8 @@ def blocks_of(html: str) -> list[Block]:
                 words = [w for a in ATTRIBUTE.finditer(attributes) for w in WORD.findall((a[2] or a[3] or a[4] or a[5] or "").lower())]
                 if words:
                     full = name + " " + " ".join(words)
-                if "data-y" in attributes:
-                    label = int(attributes[attributes.index("data-y=") + 7])
+                if labelled and (own := LABEL.search(attributes)):
+                    label = int(own[1])
             if block or name == "a":
                 stack.append((name, full, label))
             else:
@@ -443,7 +445,7 @@ def trained(pages: int = TRAINING_PAGES) -> Labeller:
     """The labeller of ``pages`` generated pages, fitted once a process."""
     if pages not in _TRAINED:
         make = Pages(17)
-        cut = [b for b in (blocks_of(make.page()) for _ in range(pages)) if b]
+        cut = [b for b in (blocks_of(make.page(), labelled=True) for _ in range(pages)) if b]
         model = Labeller()
         model.train(vectors(cut), [np.array([max(b.label, 0) for b in page], np.float32) for page in cut])
         _TRAINED[pages] = model

@@ -1,9 +1,16 @@
 from __future__ import annotations
 
+import os
+from collections import Counter
+from html import unescape
+
 import numpy as np
 import pytest
 
 from sparkwell.llm import html_text as H
+from sparkwell.llm.queries import QUERIES
+
+from .handmade_pages import PAGES
 
 
 def test_blocks():
@@ -35,7 +42,7 @@ def test_gradients_are_right():
 
 def test_held_out_pages():
     make = H.Pages(4242)
-    cut = [b for b in (H.blocks_of(make.page()) for _ in range(200)) if b]
+    cut = [b for b in (H.blocks_of(make.page(), labelled=True) for _ in range(200)) if b]
     keep = H.trained().label(H.vectors(cut))
     right = sum(int((k == np.array([b.label == 1 for b in page])).sum()) for k, page in zip(keep, cut, strict=True))
     assert right / sum(map(len, cut)) > 0.975
@@ -62,3 +69,39 @@ def test_batches_dont_change_labels():
     pages = [make.page() for _ in range(40)]
     together = H.main_texts(pages, H.trained())
     assert together == [H.main_texts([p], H.trained())[0] for p in pages]
+
+
+def test_handmade_pages():
+    """Blocks kept of pages that weren't generated: precision and recall."""
+    got = [Counter(t.split("\n") if t else []) for t in H.main_texts([p for p, _ in PAGES], H.trained())]
+    want = [Counter(w) for _, w in PAGES]
+    right = sum((g & w).total() for g, w in zip(got, want, strict=True))
+    assert right / sum(g.total() for g in got) > 0.95 and right / sum(w.total() for w in want) > 0.95
+
+
+@pytest.mark.parametrize("attributes", ['data-year="2020"', 'data-y="5"', "data-y", "data-y=", "data-y=1", "data-y='0'", "data-id=x class", "class", "id=", "hidden", 'x="<p>"', "class='a", "=", '"'])
+def test_odd_attributes(spark, attributes):
+    """No attribute of a page is a label, or an error."""
+    pages = spark.createDataFrame([(1, PAGE.replace("<article>", f"<article><div {attributes}></div>")), (2, f"<p {attributes}>x</p>"), (3, f"<{attributes}")], "page_id long, html string")
+    rows = {r["page_id"]: r["text"] for r in H.extract_text(pages).collect()}
+    assert len(rows) == 3 and (WANT in rows[1] or attributes in ("class='a", '"'))
+    labels = [b.label for b in H.blocks_of(f"<p {attributes}>x</p>")]
+    assert set(labels) <= {-1}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_query_gives_the_articles(spark):
+    """Every page of the table against a reading of its article by regular expressions."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "html").collect()}
+    rows = QUERIES["op9_html_text"](spark, "/root/testdata/sf0.01").withColumn("n", F.length("text")).collect()
+    good = 0
+    for r in rows:
+        article = re.sub(r"(?s)<!--.*?-->|<(script|style)\b.*?</\1>", "", (re.search(r"(?s)<article\b[^>]*>(.*?)(?:</article>|\Z)", pages[r["page_id"]]) or ["", ""])[1])
+        blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h[1-6]|div|ul|ol|li|section|aside|table|tr|td)\b[^>]*>", re.sub(r"<br\s*/?>", " ", article))]
+        good += r["text"] == "\n".join(b for b in blocks if b)
+        assert r["n_chars"] == r["n"] == len(r["text"])
+    assert len(rows) == len(pages) and good >= 0.97 * len(rows)
