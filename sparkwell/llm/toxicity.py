@@ -13,8 +13,10 @@ Scoring reads each whole text once, in one pass without a shuffle.
 
 Nulls and odd inputs: a null or empty text has no features and gets the score of the bias
 alone. Labels that are null, or whose document is missing, aren't learned from; without both
-classes in the sample every score is the (smoothed) share of toxic labels. Repeated label
-rows count once each. Further columns are carried along; columns named like the results are replaced.
+classes in the sample every score is the (smoothed) share of toxic labels. An id counts once:
+of several label rows the toxic one holds, of several documents the least text is learned from,
+so an id that a third of all rows have is one row of the sample. All rows are scored. Further
+columns are carried along; columns named like the results are replaced.
 """
 
 from __future__ import annotations
@@ -120,14 +122,16 @@ def fit(
 ) -> ToxicityModel:
     """Learn from at most ``max_rows`` labelled texts, none of them held out.
 
-    The sample is the labelled ids of smallest hash, so its size is bounded whatever the
-    corpus; it is the only thing that reaches the driver, as sets of at most ``max_features`` numbers.
+    The sample is the labelled ids of smallest hash, one row each, so its size is bounded whatever
+    the corpus and however often an id occurs; it is the only thing that reaches the driver, as sets of at most ``max_features`` numbers.
     """
     ws = Workspace(docs.sparkSession, "toxicity")
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("id")))
-    chosen = ws.cut(known.orderBy(F.xxhash64("id", F.lit(seed)), "id", "toxic").limit(max_rows), "chosen")
+    once = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
+    chosen = ws.cut(once.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max_rows), "chosen")
     texts = docs.select(col(docs, doc_id).alias("id"), col(docs, text).alias("text"))
-    sample = ws.cut(texts.join(F.broadcast(chosen), "id"), "sample")  # at most max_rows ids are sent
+    named = texts.join(F.broadcast(chosen), "id")  # at most max_rows ids are sent
+    sample = ws.cut(named.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "sample")  # a task passes on one row of each id
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("id").alias("n")).collect()}
     pos, neg = total.get(1, 0), total.get(0, 0)
     prior = float(np.log((pos + 0.5) / (neg + 0.5)))

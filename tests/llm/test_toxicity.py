@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import math
+import os
 import random
 import zlib
 
 import pytest
 
 from sparkwell.llm import toxicity as T
+from sparkwell.llm.queries import QUERIES
 
 
 def data(spark, n=900, biased=False):
@@ -59,6 +62,48 @@ def test_sample_is_bounded(spark):
     assert len(model.features) <= 10 + len(T.KINDS)
 
 
+def test_an_id_on_a_third_of_the_rows_is_one_row_of_the_sample(spark, monkeypatch):
+    seen = []
+    plain = T._train
+    monkeypatch.setattr(T, "_train", lambda x, *rest: seen.append(len(x)) or plain(x, *rest))
+    docs, labels = data(spark, 300)
+    hot = next(i for i in range(300) if zlib.crc32(str(i).encode()) % 5)
+    more = docs.unionByName(spark.range(3000).selectExpr(f"{hot}L AS doc_id", "concat('zzz ', id) AS text"))
+    a, b = T.fit(docs, labels), T.fit(more, labels.unionByName(labels))
+    assert len(set(seen)) == 1 and seen[0] <= 300
+    assert a.features == b.features and (a.weights == b.weights).all() and a.bias == b.bias
+    T.fit(more, labels, max_rows=20)
+    assert seen[-1] == 20
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test tables")
+def test_query_on_tables(spark):
+    """Scores against the model's own formula over plain sets, and what is held out, by the labels it hasn't seen."""
+    path = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    model = T.fit(docs.select("doc_id", "text"), labels)
+    weight = dict(zip(model.features, model.weights, strict=True))
+    cut = str.maketrans(dict.fromkeys("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r", " "))
+
+    def brute(text):
+        z = model.bias
+        words = {w.encode("utf-8", "surrogatepass") for w in (text or "").lower().translate(cut).split(" ") if w}
+        for f in {w + b" " for w in words} | {w[:n] for w in words for n in (4, 5, 6) if len(w) > n}:
+            z += weight.get(f, 0.0)
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    rows = {r["doc_id"]: r for r in QUERIES["op7_toxicity"](spark, path).collect()}
+    assert set(rows) == set(texts)
+    for i, r in rows.items():
+        assert r["score"] == pytest.approx(brute(texts[i]), abs=1e-6) and r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0)
+    known = [(rows[r["doc_id"]]["score"], r["toxic"]) for r in labels.collect() if r["doc_id"] in rows and rows[r["doc_id"]]["held_out"]]
+    pos, neg = ([s for s, y in known if y == k] for k in (1, 0))
+    auc = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert len(known) > 500 and auc > 0.9 and sum((s >= 0.5) == y for s, y in known) / len(known) > 0.9
+
+
 @pytest.mark.parametrize("rows", [[], [(1, 1)], [(2, None), (None, 1), (77777, 0)]])
 def test_too_few_labels(spark, rows):
     docs = spark.createDataFrame([(1, "moron"), (2, ""), (3, None), (None, "x y"), (4, "z " * 100_000)], "doc_id long, text string")
