@@ -4,15 +4,16 @@ A listed URL is (host, path, verdict). It fits its host and all subdomains, if t
 path starts with the listed path; the longest listed URL that fits wins (ties: the longer
 host, then ``block``). A URL that no listed one fits is allowed. Method:
 
-1. the canonical form of a page's URL is its host (A-Z lower-cased) and path; only distinct
-   (host, path) pairs that may be listed go further;
-2. each pair has a candidate for each suffix of its host and each listed path length that its
-   path reaches. The candidates' 64-bit hashes probe the Bloom filter inside an Arrow
-   function; no URL without a possible hit leaves its task;
-3. possible hits meet the list in an exact join, which removes false positives; the list side
-   is sent to all tasks only if it is counted and small, otherwise both sides are hashed, and
-   adaptive execution splits a hot key;
-4. the winner of each pair goes back to the pages by (host, path).
+1. the canonical form of a page's URL is its host (A-Z lower-cased) and path. It has a
+   candidate for each listed number of host labels that its host reaches and each listed path
+   length that its path reaches;
+2. the candidates' 64-bit hashes probe the Bloom filter inside an Arrow function, page by page.
+   A page without a possible hit gets the method's verdict there and never leaves its task;
+3. of the other pages, distinct (host, path, candidate) rows meet the list in an exact join,
+   which removes false positives; the list side is sent to all tasks only if it is counted and
+   small, otherwise both sides are hashed, and adaptive execution splits a hot key;
+4. the winner of each (host, path) goes back to these pages: sent to all tasks if there are few
+   winners (counted), else in an exchange.
 
 Nulls and odd inputs: a null URL, or one without ``://``, has an empty host and an empty
 path and is allowed by the method. An empty list allows everything. Repeated pages each
@@ -37,16 +38,16 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return (lower_ascii(F.coalesce(F.regexp_extract(url, PARTS, 1), F.lit(""))), F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit("")))
 
 
-def suffixes(host: Column) -> Column:
-    """The host and all its parent domains: a.b.c, b.c, c."""
-    labels = F.split(host, r"\.", -1)
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(host: str, path: str, labels: list[int], lengths: list[int]) -> list[str]:
+    """All (host, path) keys under which a URL that fits this one may be listed.
 
-
-def candidates(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All (host, path) keys, as ``host`` + ``path``, under which a URL that fits this one may be listed."""
-    heads = F.filter(F.array(*(F.lit(n) for n in lengths)).cast("array<int>"), lambda n: n <= F.length(path))
-    return F.flatten(F.transform(suffixes(host), lambda h: F.transform(heads, lambda n: F.concat(h, F.lit("\x00"), F.substring(path, F.lit(1), n)))))
+    ``labels`` and ``lengths``, ascending: how many labels listed hosts have, and how long listed paths are.
+    """
+    parts = host.rsplit(".", labels[-1]) if labels else []
+    if len(parts) > (labels[-1] if labels else 0):
+        parts = parts[1:]
+    heads = [path[:n] for n in lengths if n <= len(path)]
+    return [f"{tail}\0{head}" for k in labels if k <= len(parts) for tail in (".".join(parts[-k:]),) for head in heads] if heads else []
 
 
 def filter_urls(
@@ -60,29 +61,38 @@ def filter_urls(
     rules = listed.select(lower_ascii(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict")).where(F.col("r_host").isNotNull() & F.col("r_path").isNotNull())
     rules = rules.groupBy("r_host", "r_path").agg(F.max("verdict").alias("r_verdict")).withColumn("key", F.concat("r_host", F.lit("\x00"), "r_path"))
     rules = ws.cut(rules, "rules")
-    lengths = sorted(r[0] for r in rules.select(F.length("r_path")).distinct().toLocalIterator())
+    lengths, labels = (sorted(r[0] for r in rules.select(c).distinct().toLocalIterator()) for c in (F.length("r_path"), F.size(F.split("r_host", r"\.", -1))))
     small = row_count_bound(rules, broadcast_rows)
     n = small if small is not None else rules.count()
     words = bloom.build(rules.select(F.xxhash64("key").alias("h")), bloom.blocks_for(n, bits_per_url, filter_bytes))
     sent = spark.sparkContext.broadcast(words)
 
-    @F.arrow_udf("array<boolean>")
-    def possible(hashes: pa.Array) -> pa.Array:
-        flat = hashes.flatten().to_numpy(zero_copy_only=False)
-        sizes = np.asarray(hashes.value_lengths().fill_null(0))
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bloom.might_contain(sent.value, flat), pa.bool_()))
+    @F.arrow_udf("array<string>")
+    def possible(hosts: pa.Array, paths: pa.Array) -> pa.Array:
+        from xxhash import xxh64_intdigest
+
+        out: list[list[str]] = []
+        for s in range(0, len(hosts), 4096):
+            keys = [candidates(h, p, labels, lengths) if h else [] for h, p in zip(hosts.slice(s, 4096).to_pylist(), paths.slice(s, 4096).to_pylist(), strict=True)]
+            flat = [k for own in keys for k in own]
+            hashes = np.fromiter((xxh64_intdigest(k.encode("utf-8", "surrogatepass"), 42) for k in flat), np.uint64, len(flat))  # as F.xxhash64 has it
+            maybe = iter(bloom.might_contain(sent.value, hashes.view(np.int64)).tolist())
+            out += [[k for k in own if next(maybe)] for own in keys]
+        return pa.array(out, pa.list_(pa.string()))
 
     host, path = host_and_path(col(pages, url))
-    base = pages.withColumns({fresh(pages, "host"): host, fresh(pages, "path"): path})
-    h, p = fresh(pages, "host"), fresh(pages, "path")
-    pairs = base.select(F.col(h).alias("host"), F.col(p).alias("path")).where("host <> ''").distinct()
-    keyed = pairs.withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
-    probed = keyed.withColumn("maybe", possible(F.transform("keys", lambda k: F.xxhash64(k))))
-    hits = probed.select("host", "path", F.explode(F.arrays_zip("keys", "maybe")).alias("x")).where("x.maybe").select("host", "path", F.col("x.keys").alias("key"))
+    h, p, m = (fresh(pages, x) for x in ("host", "path", "maybe"))
+    own = pages.withColumns({h: host, p: path})
+    probed = own.withColumn(m, possible(F.col(h), F.col(p)))
+    hits = probed.where(F.size(m) > 0).select(F.col(h).alias("host"), F.col(p).alias("path"), F.explode(m).alias("key")).distinct()
     exact = hits.join(F.broadcast(rules) if small is not None else rules, "key")
     best = F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("m"), (F.col("r_verdict") == "block").alias("b"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))
     won = exact.groupBy("host", "path").agg(F.max(best).alias("best")).select(F.col("host").alias("w_host"), F.col("path").alias("w_path"), F.col("best.rule").alias("w_rule"), F.col("best.verdict").alias("w_verdict"))
-    joined = base.join(won, (F.col(h) == F.col("w_host")) & (F.col(p) == F.col("w_path")), "left")
+    won = ws.cut(won, "won")
     kept = [col(pages, c) for c in pages.columns if c not in RESULTS]
-    return joined.select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), F.col("w_rule").alias("rule"), F.coalesce("w_verdict", F.lit("allow")).alias("verdict"))
+    fits = (F.col(h) == F.col("w_host")) & (F.col(p) == F.col("w_path"))
+    result = [*kept, F.col(h).alias("host"), F.col(p).alias("path"), F.col("w_rule").alias("rule"), F.coalesce("w_verdict", F.lit("allow")).alias("verdict")]
+    if row_count_bound(won, broadcast_rows) is not None:
+        return own.join(F.broadcast(won), fits, "left").select(*result)
+    rest = probed.where(F.size(m) == 0).select(*kept, F.col(h).alias("host"), F.col(p).alias("path"), F.lit(None).cast("string").alias("rule"), F.lit("allow").alias("verdict"))
+    return probed.where(F.size(m) > 0).join(won, fits, "left").select(*result).unionByName(rest)

@@ -34,6 +34,19 @@ def test_same_as_brute_force(spark, limit):
     assert verdicts(spark, urls, broadcast_rows=limit) == [brute(u, LIST) for u in urls]
 
 
+def test_hostile_urls(spark):
+    """A host of very many labels has no more candidates than the list has forms."""
+    urls = ["http://" + "a." * 50_000 + "com/de/x", "http://" + "." * 5_000, "http://" + "x" * 100_000 + ".org/" + "y" * 100_000, "http://.org/", "http://org./", "http://a..com/fr/"]
+    for limit in (0, 1000):
+        assert verdicts(spark, urls, broadcast_rows=limit) == [brute(u, LIST) for u in urls]
+
+
+def test_pages_without_a_possible_hit_stay(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://a.com/de/")], "page_id long, url string")
+    plan = filter_urls(pages, spark.createDataFrame(LIST, "host string, path string, verdict string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_filter_full_of_bits_is_still_exact(spark):
     urls = [f"http://h{i}.com/p" for i in range(50)]
     listed = [(f"h{i}.com", "/p", "block") for i in range(0, 50, 2)]
