@@ -19,6 +19,11 @@ BLOCK_BITS, PROBES = 512, 8
 SEGMENT_BYTES = 1 << 20
 
 
+def bytes_for(n: int, bits_per_key: float) -> int:
+    """What a filter of ``n`` keys takes without a bound."""
+    return (int(n * bits_per_key) // BLOCK_BITS + 1) * (BLOCK_BITS // 8)
+
+
 def blocks_for(n: int, bits_per_key: float, max_bytes: int) -> int:
     """Blocks for ``n`` keys, never more than ``max_bytes`` allow.
 
@@ -127,6 +132,39 @@ def build_twice(hash_lists: DataFrame, blocks: int, builders: int) -> np.ndarray
     return _gather(merged.select("segment", "b").toLocalIterator(), blocks, "b")
 
 
+def seen_twice(hash_lists: DataFrame, n: int, bits_per_key: float, max_bytes: int) -> DataFrame:
+    """(h): distinct hashes that two lists hold, and a few others; for more keys than one filter has room for.
+
+    The hash space is cut into parts whose filters take ``max_bytes`` at most. A hash goes to its
+    part's task, once a batch and with a note if the batch had it twice, so a hash of a third of
+    all lists is no hot key. The task fills a once-seen filter of the part's size and passes on
+    what that holds already.
+    """
+    parts = -(-bytes_for(n, bits_per_key) // max_bytes)
+    blocks = blocks_for(-(-n // parts), bits_per_key, max_bytes)
+
+    def notes(batches):
+        for b in batches:
+            h, k = np.unique(b.column(0).flatten().drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+            part = mix64(h.view(U64) ^ U64(0x5BD1E995)) % U64(parts)  # not the bits that pick a block
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h), pa.array(k > 1)], ["part", "h", "more"])
+
+    def fill(batches):
+        filters: dict[int, np.ndarray] = {}
+        for b in batches:
+            part, h, more = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            for p in np.unique(part):
+                once = filters.setdefault(int(p), np.zeros(blocks * BLOCK_BITS // 64, U64))
+                at = np.flatnonzero(part == p)
+                own, where, k = np.unique(h[at], return_inverse=True, return_counts=True)
+                again = (k > 1) | (np.bincount(where, more[at], len(own)) > 0) | might_contain(once, own)
+                add(once, own)
+                yield pa.RecordBatch.from_arrays([pa.array(own[again])], ["h"])
+
+    noted = hash_lists.mapInArrow(notes, "part int, h long, more boolean")
+    return noted.repartitionById(parts, "part").mapInArrow(fill, "h long").distinct()
+
+
 def probe_udf(words: np.ndarray, spark):
     """A column function: long -> boolean, true for every key of the filter and a few others."""
     sent = spark.sparkContext.broadcast(words)

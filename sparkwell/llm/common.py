@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..lineage import Workspace, hadoop_path, remove, shared_dir
 
-__all__ = ["Workspace", "col", "fresh", "hadoop_path", "lower_ascii", "mix64", "remove", "row_count_bound", "shared_dir", "tidy"]
+__all__ = ["Workspace", "col", "fresh", "hadoop_path", "lower_ascii", "map_batches", "mix64", "remove", "row_count_bound", "shared_dir", "tidy"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -47,6 +47,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` for columns of any names (dotted ones too): ``run`` finds them by their place."""
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
+
+
 def tidy() -> None:
     """Give freed memory back to the system, at the end of a task: workers wait for the next one with what they hold."""
     pa.default_memory_pool().release_unused()

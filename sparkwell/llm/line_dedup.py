@@ -7,7 +7,12 @@ one with the largest id). Method:
 
 1. one pass over the texts writes, per document, the digests of its distinct long keys;
 2. two Bloom filters over the digests, once seen and twice seen, are built from that narrow
-   table; only digests in the twice-seen filter are suspects;
+   table; only digests in the twice-seen filter are suspects. Where a filter of the size that
+   all lines need would exceed ``filter_bytes``, the hash space is cut into parts that don't:
+   the hashes (8 bytes each, equal ones of a batch once) go to the task of their part, which
+   fills that part's once-seen filter and passes on what it holds already; those hashes, fewer
+   by all lines that stand alone, make up the twice-seen filter or, if there are too many for
+   one, are joined with the lines. So filters stay as selective at any size;
 3. only suspects shuffle: (digest, document) pairs are counted exactly, first per pair and
    then per digest, so that a line that a third of all documents hold is combined on the
    map side;
@@ -20,8 +25,8 @@ Digests are 128 bits of BLAKE2b, so that equal digests mean equal keys.
 
 Nulls and odd inputs: a null or empty text is one empty line. Rows with equal ids count as
 one document for the threshold, and each is filtered as such. A null id is a document that
-is smaller than all others. Further columns are carried along; helper columns take names
-that the input doesn't have.
+is smaller than all others. Further columns are carried along; those named ``n_lines`` or
+``n_dropped`` are replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ASCII_SPACE, ASCII_UPPER, Workspace, col, fresh, tidy
+from .common import ASCII_SPACE, ASCII_UPPER, Workspace, col, fresh, map_batches, tidy
 
 LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
 
@@ -69,10 +74,21 @@ def confirmed_lines(docs: DataFrame, ws: Workspace, text: str, doc_id: str, min_
     source = docs.select(col(docs, doc_id).alias("id"), col(docs, text).alias("text"))
     lines = ws.cut(source.mapInArrow(keyed, f"id {source.schema['id'].dataType.simpleString()}, heads array<long>, digests array<binary>").where(F.size("digests") > 0), "lines")
     n = lines.agg(F.sum(F.size("digests").cast("long"))).first()[0] or 0
-    blocks = bloom.blocks_for(n, bits_per_line, filter_bytes)
-    twice = bloom.probe_udf(bloom.build_twice(lines.select("heads"), blocks, bloom.builders_for(n, blocks)), docs.sparkSession)
-    suspects = ws.cut(lines.select("id", F.explode(F.arrays_zip("heads", "digests")).alias("x")).where(twice("x.heads")).select("id", F.col("x.digests").alias("digest")), "suspects")
-    ws.drop("lines")
+    each = lines.select("id", F.explode(F.arrays_zip("heads", "digests")).alias("x")).select("id", F.col("x.heads").alias("head"), F.col("x.digests").alias("digest"))
+    if bloom.bytes_for(n, bits_per_line) <= filter_bytes:
+        blocks = bloom.blocks_for(n, bits_per_line, filter_bytes)
+        twice = bloom.probe_udf(bloom.build_twice(lines.select("heads"), blocks, bloom.builders_for(n, blocks)), docs.sparkSession)
+        found = each.where(twice("head"))
+    else:
+        again = ws.cut(bloom.seen_twice(lines.select("heads"), n, bits_per_line, filter_bytes), "twice")
+        k = again.count()
+        if bloom.bytes_for(k, bits_per_line) <= filter_bytes:
+            twice = bloom.probe_udf(bloom.build(again, bloom.blocks_for(k, bits_per_line, filter_bytes)), docs.sparkSession)
+            found = each.where(twice("head"))
+        else:
+            found = each.join(again.withColumnRenamed("h", "head"), "head", "left_semi")
+    suspects = ws.cut(found.select("id", "digest"), "suspects")
+    ws.drop("lines", "twice")
     per_doc = suspects.groupBy("digest", "id").agg(F.lit(1).alias("one"))
     drop = per_doc.groupBy("digest").agg(F.count("one").alias("n_docs"), F.max("id").alias("keep")).where(F.col("n_docs") >= min_docs)
     return suspects, ws.cut(drop.select("digest", "keep"), "drop")
@@ -83,13 +99,13 @@ def dedup_lines(
 ) -> DataFrame:
     """``docs`` with ``text`` filtered, plus ``n_lines`` (before) and ``n_dropped``.
 
-    ``filter_bytes`` bounds each Bloom filter: beyond it more lines are suspected and
-    counted exactly, none is missed.
+    ``filter_bytes`` bounds each Bloom filter; beyond it the hash space is cut into parts.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "line-dedup")
     suspects, drop = confirmed_lines(docs, ws, text, doc_id, min_chars, min_docs, bits_per_line, filter_bytes)
     id_type = docs.schema[doc_id].dataType.simpleString()
-    kept, n_lines, n_dropped, own = (fresh(docs, x) for x in ("kept", "n_lines", "n_dropped", "own"))
+    own = fresh(docs, "own")
     n_drop = drop.count()
     # what a task holds of a digest: 16 bytes and an id, as Python objects
     if n_drop * 200 <= broadcast_bytes:
@@ -123,11 +139,10 @@ def dedup_lines(
                     lost.append(0)
                 total.append(len(lines))
             columns = [pa.array(out, pa.string()) if c == text else b.column(k) for k, c in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*names, n_lines, n_dropped])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(lost, pa.int64())], [*names, "n_lines", "n_dropped"])
         tidy()
 
     from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
-    result = base.mapInArrow(filtered, schema)
-    return result.withColumnsRenamed({n_lines: "n_lines", n_dropped: "n_dropped"} if not {"n_lines", "n_dropped"} & set(docs.columns) else {})
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    return map_batches(base, filtered, schema)
