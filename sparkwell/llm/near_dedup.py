@@ -11,10 +11,16 @@ A document's set holds its distinct word shingles; documents whose sets overlap
    n costs n pairs. Pairs go through signature verification (the estimate must not be far
    below the threshold) and then exact verification on the full sets, which are computed
    again for the classes that need them;
-4. components of these links by alternating large-star and small-star. In buckets that now
-   hold several components, members outside the bucket's largest component are paired with
-   all members of other components. So every pair of a bucket is either verified or already
-   connected, and a bucket of a third of all documents that are one group costs no pairs here.
+4. components of these links by alternating large-star and small-star. Buckets that now hold
+   several components still have unverified pairs: those of a member outside the bucket's
+   largest component and a member of another one. Where at most ``few`` members are outside,
+   these pairs are written out, no more than ``few`` a member. The members of all other such
+   buckets go through an exact prefix filter: with the tokens of each set in one order, rarest
+   first, two sets that overlap enough share a token among the first 25 % (of the larger) and
+   14 % (of the smaller, at 75 %) of theirs, so only members of different components that meet
+   in such a token are candidates. Tokens that one component alone has are left out before the
+   join. So a bucket of n documents that are alike but not alike enough doesn't cost n * n
+   pairs, and a bucket of a third of all documents that are one group costs none here.
 
 With 32 bands of 4 a pair at 75 % misses all buckets with probability 5e-6. The signature
 check leaves a pair out only if the estimate is ``slack`` below the threshold (about seven
@@ -24,8 +30,8 @@ Nulls and odd inputs: a null, empty or blank text has an empty set and is linked
 nothing; a text of one word has one shingle, the word. Rows with equal ids are one document,
 whose set is that of the row with the smallest digest; null ids form no links, and each row
 is its own group, kept, with a null component (``near_duplicate_rows`` returns these rows,
-``near_duplicates`` has ids only). Further columns are carried along; columns named
-like the results are replaced.
+``near_duplicates`` has ids only). Both return ids and results, whatever other columns there
+are; ``dedup_near`` returns the documents that stay with all their columns.
 """
 
 from __future__ import annotations
@@ -39,7 +45,10 @@ from . import bloom
 from .common import U64, Workspace, col, mix64, tidy
 from .components import connected_components
 
-RESULTS = ("n_shingles", "component_id", "kept")
+#: Ids that are sent to all tasks: 8 bytes each.
+SENT_IDS = 200_000
+#: Counters of the tokens' frequencies by which prefixes are ordered; any order is exact, rarest first is fast.
+COUNTERS = 1 << 18
 
 
 def shingle_set(text: bytes | None, words: int = 2) -> np.ndarray:
@@ -147,10 +156,14 @@ class Verifier:
         self.likely = _likely(percent / 100 - slack)
 
     def sets(self, ids: DataFrame, name: str) -> DataFrame:
-        """The full sets of the classes in ``ids``: a Bloom filter of them spares the other texts the exchange."""
+        """The full sets of the classes in ``ids``. Few ids (counted) are sent to the texts; of many, a Bloom filter spares the other texts the exchange."""
         words, spark = self.words, ids.sparkSession
         n = ids.count()
-        wanted = bloom.probe_udf(bloom.build(ids.select(F.xxhash64("id").alias("h")), bloom.blocks_for(n, 12, self.filter_bytes)), spark)
+        if n <= SENT_IDS:
+            few = self.source.join(F.broadcast(ids), "id", "left_semi")
+        else:
+            wanted = bloom.probe_udf(bloom.build(ids.select(F.xxhash64("id").alias("h")), bloom.blocks_for(n, 12, self.filter_bytes)), spark)
+            few = self.source.where(wanted(F.xxhash64("id"))).join(ids.hint("merge"), "id", "left_semi")  # an exchange, so that no task needs two Python workers
 
         def run(batches):
             from xxhash import xxh3_128_digest
@@ -162,7 +175,6 @@ class Verifier:
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "digest", "set"])
             tidy()
 
-        few = self.source.where(wanted(F.xxhash64("id"))).join(ids, "id", "left_semi")
         # equal ids with different texts: the class holds the row whose digest it has
         return self.ws.cut(few.mapInArrow(run, "id long, digest binary, set array<long>").groupBy("id").agg(F.min_by("set", "digest").alias("set")), name)
 
@@ -178,8 +190,47 @@ class Verifier:
         return links
 
 
+def prefix_lengths(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(as the smaller, as the larger of two): how many first tokens of a set of ``n`` must hold one of the other's, if they overlap enough."""
+    return n - -(-2 * percent * n // (100 + percent)) + 1, n - -(-percent * n // 100) + 1
+
+
+def _prefix_pairs(members: DataFrame, verify: Verifier, ws: Workspace) -> DataFrame:
+    """Pairs (u, v) of ``members`` (id, component, minor) of different components, one of them minor, whose prefixes meet."""
+    percent = verify.percent
+    held = verify.sets(members.select("id"), "prefix-sets")
+    n_of = held.select(F.explode("set").alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).alias("at")).agg(F.count("h").alias("n")).toArrow()  # COUNTERS rows at most
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[n_of["at"].to_numpy()] = n_of["n"].to_numpy()
+    sent = members.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                sets = [x.values.to_numpy(zero_copy_only=False) for x in b.column(3)]
+                n = np.array([len(s) for s in sets], np.int64)
+                short, long_ = prefix_lengths(n, percent)
+                tokens = [s[np.lexsort((s, sent.value[s % COUNTERS]))[:k]] for s, k in zip(sets, long_, strict=True)]
+                of = np.repeat(np.arange(len(sets)), long_)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(long_) - long_, long_)
+                rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), pa.array(n[of]), pa.array(place < short[of])], ["token", "n", "short"])
+                own = b.select([0, 1, 2]).take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([*own.columns, *rows.columns], ["id", "component", "minor", "token", "n", "short"])
+
+    rows = members.join(held, "id").select("id", "component", "minor", "set").mapInArrow(run, "id long, component long, minor boolean, token long, n long, short boolean")
+    rows = ws.cut(rows, "prefixes")
+    ws.drop("prefix-sets")
+    shared = rows.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.bool_or("minor").alias("m")).where("a <> b AND m").select("token")
+    shared = ws.cut(rows.join(shared, "token", "left_semi"), "shared-prefixes")
+    ws.drop("prefixes")
+    a, b = (shared.select("token", *(F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "minor", "n", "short"))) for x in "uv")
+    met = a.where("short_u").join(b, "token").where("component_u <> component_v AND (minor_u OR minor_v)").where((F.col("n_u") <= F.col("n_v")) & (100 * F.col("n_u") >= percent * F.col("n_v")))
+    return met.select(F.least("id_u", "id_v").alias("u"), F.greatest("id_u", "id_v").alias("v")).distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, words: int = 2, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.27, filter_bytes: int = 64 << 20
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, words: int = 2, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.27, filter_bytes: int = 64 << 20, few: int = 16
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) per document id: the classes and what they are linked with."""
     ws = Workspace(docs.sparkSession, "near-dedup")
@@ -208,12 +259,20 @@ def near_duplicates(
     placed = ws.cut(members.select("key", "id").join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")), "placed")
     ws.drop("members")
     mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    inside = placed.join(mixed, "key")
-    largest = inside.groupBy("key", "component").agg(F.count("id").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    minor = inside.join(largest, "key").where("component <> main").select("key", F.col("id").alias("x"), F.col("component").alias("c"))
-    crossed = minor.join(inside, "key").where("c <> component").select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v")).distinct()
-    rest = verify(crossed.join(star.select("u", "v"), ["u", "v"], "left_anti"), "rest")
+    inside = ws.cut(placed.join(mixed, "key"), "inside")
     ws.drop("placed")
+    sizes = inside.groupBy("key", "component").agg(F.count("id").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("n_minor"))
+    known = ws.cut(inside.join(largest, "key").select("key", "id", "component", (F.col("component") != F.col("main")).alias("minor"), (F.col("n_minor") > few).alias("many")), "known")
+    ws.drop("inside")
+    direct = known.where("NOT many").select("key", "id", "component", "minor")
+    minor = direct.where("minor").select("key", F.col("id").alias("x"), F.col("component").alias("c"))
+    crossed = minor.join(direct, "key").where("c <> component").select(F.least("x", "id").alias("u"), F.greatest("x", "id").alias("v"))
+    many = ws.cut(known.where("many").groupBy("id").agg(F.first("component").alias("component"), F.bool_or("minor").alias("minor")), "many")
+    if not many.isEmpty():
+        crossed = crossed.union(_prefix_pairs(many, verify, ws))
+    rest = verify(crossed.distinct().join(star.select("u", "v"), ["u", "v"], "left_anti"), "rest")
+    ws.drop("known", "many", "shared-prefixes")
     if rest.isEmpty():
         final = groups
     else:
@@ -238,5 +297,5 @@ def dedup_near(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **op
     A document with a null id belongs to no group and stays.
     """
     found = near_duplicates(docs, text, doc_id, **options)
-    gone = found.where(~F.col("kept")).select(F.col("id").alias("__gone"))
-    return docs.join(gone, col(docs, doc_id) == gone["__gone"], "left_anti")
+    gone = Workspace(docs.sparkSession, "near-dedup-gone").cut(found.where(~F.col("kept")).select("id"), "ids")
+    return bloom.drop_ids(docs, doc_id, gone)

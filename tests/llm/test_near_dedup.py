@@ -59,10 +59,53 @@ def corpus(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_same_as_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "few"), [(1, 16), (2, 16), (3, 0), (4, 0), (5, 2)])
+def test_same_as_brute_force(spark, seed, few):
     docs = corpus(seed)
-    assert run(spark, docs) == brute(docs)
+    assert run(spark, docs, few=few) == brute(docs)
+
+
+def test_many_ids_go_through_a_filter(spark, monkeypatch):
+    monkeypatch.setattr(N, "SENT_IDS", 0)
+    docs = corpus(6)
+    assert run(spark, docs, few=0) == brute(docs)
+
+
+@pytest.mark.parametrize(("a", "b"), [(1, 1), (100, 100), (75, 100), (76, 100), (99, 100), (3, 4), (300, 360)])
+def test_prefixes_are_long_enough(a, b):
+    """Sets that overlap just enough share a token of their prefixes, whichever tokens they share."""
+    need = -(-75 * (a + b) // 175)
+    as_small, as_large = (int(x) for x in (N.prefix_lengths(np.array([a]), 75)[0][0], N.prefix_lengths(np.array([b]), 75)[1][0]))
+    assert need <= a and as_small >= a - need + 1 and as_large >= b - need + 1
+    rng = np.random.default_rng(a)
+    for _ in range(200):
+        shared = rng.permutation(10_000)[: a + b - need]
+        x, y = np.sort(shared[:a]), np.sort(np.concatenate([shared[:need], shared[a:]]))
+        assert len(y) == b and np.intersect1d(x[:as_small], y[:as_large]).size
+
+
+def test_a_bucket_of_documents_that_are_not_alike_enough(spark, monkeypatch):
+    """Each is its own component, and they meet in many buckets; what is verified grows with them, not with their pairs."""
+    pairs = {}
+    plain = N.Verifier.__call__
+    monkeypatch.setattr(N.Verifier, "__call__", lambda self, p, name: pairs.__setitem__(name, p.count()) or plain(self, p, name))
+    base = [f"common{i}" for i in range(200)]
+
+    def texts(n):
+        out = {}
+        for k in range(n):
+            t = list(base)
+            for j in range(17):  # 34 of 199 shingles are its own, so two share 70 %
+                t[5 + 11 * j] = f"own{k}x{j}"
+            out[k] = " ".join(t)
+        return out
+
+    n_pairs = {}
+    for n in (60, 240):
+        got = run(spark, texts(n))
+        assert all(c == i and kept for i, (_, c, kept) in got.items())
+        n_pairs[n] = pairs["rest"]
+    assert n_pairs[240] <= 240 * 16 and n_pairs[240] < 240 * 239 / 2 / 10
 
 
 def test_chain_through_a_bucket(spark):
