@@ -7,7 +7,9 @@ Entries whose pair has changed since are stale and skipped. A merge costs a cons
 of word operations whatever the pre-token's length, so a pre-token of a million bytes takes
 time in proportion to it, where scanning for the best pair takes its square.
 
-Equal pre-tokens repeat, so their ids are kept in a bounded table per task. Texts are cut
+Equal pre-tokens repeat, so their ids are kept in two generations of tables per task, bounded
+in bytes: when the young one is full it becomes the old one, and what is used again of the old
+one moves to the young one, so frequent words stay. Texts are cut
 at single spaces before the pattern runs, where the pattern cuts too; a text in which a
 space touches other white space goes through the pattern whole.
 
@@ -28,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, tidy
+from .common import col, fresh, map_batches, tidy
 
 TOUCHING = re.compile(r"\s (?:\s|\Z)|  ")
-#: Strings of less than 64 characters that a worker holds at most, of either kind.
-HELD = 500_000
+#: Bytes, about, of each of a task's two generations of held strings, and what an entry takes beside its characters and ids.
+HELD_BYTES, ENTRY_BYTES = 48 << 20, 200
 END_MARKS = frozenset(".,;:!?")
 AFTER, BEFORE = list(range(1, 65)), list(range(-1, 63))
 
@@ -76,7 +78,10 @@ class ByteBPE:
                     self.pairs[a][b] = rank
         #: ids of pre-tokens, and of a space and what follows it
         self.plain: dict[str, bytes] = {}
-        self.spaced = _Spaced(self._unit)
+        self.spaced = _Spaced(self._missed)
+        self.old_plain: dict[str, bytes] = {}
+        self.old_spaced: dict[str, bytes] = {}
+        self.room = HELD_BYTES
         self.tokens = {v: k for k, v in ranks.items()}
         self.lengths = np.zeros(size, np.int64)
         for k, v in ranks.items():
@@ -169,25 +174,42 @@ class ByteBPE:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of a pre-token; those with a space in front are held without it."""
-        held, key = (self.spaced, piece[1:]) if piece[0] == " " else (self.plain, piece)
-        found = held.get(key)
+        if piece[0] == " ":
+            key = piece[1:]
+            found = self.spaced.get(key) or self.old_spaced.get(key) or self._ids(piece)
+            if key not in self.spaced:
+                self._hold(self.spaced, key, found)
+            return found
+        found = self.plain.get(piece)
         if found is None:
-            found = self._ids(piece)
-            self._hold(held, key, found)
+            found = self.old_plain.get(piece) or self._ids(piece)
+            self._hold(self.plain, piece, found)
         return found
 
     def _hold(self, held: dict[str, bytes], key: str, ids: bytes) -> None:
         if len(key) < 64:
-            if len(held) >= HELD:
-                held.clear()
             held[key] = ids
+            self.room -= ENTRY_BYTES + len(key) + len(ids)
+            if self.room < 0:  # what was young is old now; the tables in use stay the same objects
+                self.old_plain, self.old_spaced = dict(self.plain), dict(self.spaced)
+                self.plain.clear()
+                self.spaced.clear()
+                self.room = HELD_BYTES
+
+    def _missed(self, unit: str) -> bytes:
+        """Ids of a space and ``unit``, which has no space and isn't in the young table."""
+        found = self.old_spaced.get(unit)
+        if found is None:
+            return self._unit(unit)
+        self._hold(self.spaced, unit, found)
+        return found
 
     def _unit(self, unit: str) -> bytes:
-        """Ids of a space and ``unit``, which has no space, when it isn't held yet."""
+        """Ids of a space and ``unit``, which has no space, when it isn't held."""
         if unit.isalpha():
             found = self._ids(" " + unit)
         elif unit[-1:] in END_MARKS and unit[:-1].isalpha():
-            known = self.spaced.get(unit[:-1])
+            known = self.spaced.get(unit[:-1]) or self.old_spaced.get(unit[:-1])
             if known is None:  # seldom again with this mark: only the word is held
                 return self._piece(" " + unit[:-1]) + self._piece(unit[-1])
             found = known + self._piece(unit[-1])
@@ -248,7 +270,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
         tidy()
 
     types = [T.ArrayType(T.IntegerType()), T.BinaryType()]
-    return source.mapInArrow(run, T.StructType([*base.schema.fields, *(T.StructField(c, t) for c, t in zip(new, types, strict=False))]))
+    return map_batches(source, run, T.StructType([*base.schema.fields, *(T.StructField(c, t) for c, t in zip(new, types, strict=False))]))
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -265,7 +287,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into:
                 out = [bpe.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else b"" for x in lists]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*names, into])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField(into, T.BinaryType())]))
+    return map_batches(base, run, T.StructType([*base.schema.fields, T.StructField(into, T.BinaryType())]))
 
 
 def ids_text(ids: str) -> Column:

@@ -98,15 +98,15 @@ def _inverse_root(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return vectors[:, order] / np.sqrt(values[order]), np.sqrt(values[order])
 
 
-def _terms_times(joined: DataFrame, m: int, width: int) -> np.ndarray:
-    """A'Q from rows (terms, weights, q): partial sums a task, added up a block of terms at a time."""
+def _terms_times(joined: DataFrame, root, m: int, width: int) -> np.ndarray:
+    """A'Q from rows (terms, weights, y), Q being Y times the broadcast ``root``: partial sums a task, added up a block of terms at a time."""
     block = 1024
 
     def run(batches):
         total = np.zeros((m, width), np.float32)
         for b in batches:
-            for t, w, q in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                total[t] += np.asarray(w, np.float32)[:, None] * np.frombuffer(q, np.float32)[None, :]
+            for t, w, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                total[t] += np.asarray(w, np.float32)[:, None] * (np.frombuffer(y, np.float32) @ root.value)[None, :]
         for s in range(0, m, block):
             part = total[s : s + block]
             if part.any():
@@ -138,15 +138,7 @@ def randomized_svd(rows: DataFrame, m: int, k: int, ws: Workspace, oversample: i
             return np.zeros((m, 0), np.float32), np.zeros(0)
         sent = spark.sparkContext.broadcast(root.astype(np.float32))
         n = root.shape[1]
-
-        def orthonormal(batches, sent=sent, width=width):
-            for b in batches:
-                if b.num_rows:
-                    q = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(b.num_rows, width) @ sent.value
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in q.astype(np.float32)], pa.binary())], ["row", "q"])
-
-        q = y.mapInArrow(orthonormal, "row long, q binary")
-        z = _terms_times(rows.join(q, "row").select("terms", "weights", "q"), m, n)
+        z = _terms_times(rows.join(y, "row").select("terms", "weights", "y"), sent, m, n)
         if p < powers:
             held = spark.sparkContext.broadcast(z)
             width = n
