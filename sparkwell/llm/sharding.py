@@ -57,15 +57,15 @@ def _histogram(rows: DataFrame, value: str, bits: int) -> list[tuple[int, int, i
     return sorted((r["bin"], r["size"], r["n"]) for r in found)
 
 
-def _refine(rows: DataFrame, value: str, targets: dict[int, tuple[float, float]], below: tuple[int, int]) -> tuple[dict[int, tuple[int, int, int]], dict[int, tuple[int, int, int, int, int]]]:
-    """Find, for each target (bytes below, tolerance), a boundary of ``value``.
+def _refine(rows: DataFrame, value: str, targets: dict[int, tuple[float, float]], below: tuple[int, int], width: int = 64) -> tuple[dict[int, tuple[int, int, int]], dict[int, tuple[int, int, int, int, int]]]:
+    """Find, for each target (bytes below, tolerance), a boundary of ``value``, whose values differ in the lowest ``width`` bits alone.
 
     Returns those found, as (value, bytes, rows below), and those where all weight sits on
     one value, as (value, bytes and rows below it, its bytes, its rows).
     """
     found: dict[int, tuple[int, int, int]] = {}
     heavy: dict[int, tuple[int, int, int, int, int]] = {}
-    open_: list[tuple[int | None, int, tuple[int, int], list[int]]] = [(None, 64, below, list(targets))]
+    open_: list[tuple[int | None, int, tuple[int, int], list[int]]] = [(None, width, below, list(targets))]
     while open_:
         step = max(2, min(STEP_BITS, (MAX_BINS // len(open_)).bit_length() - 1))
         bits = max(0, open_[0][1] - step)
@@ -94,11 +94,11 @@ def _refine(rows: DataFrame, value: str, targets: dict[int, tuple[float, float]]
     return found, heavy
 
 
-def boundaries(rows: DataFrame, total: int, n_rows: int, ranges: int, shards: int, tolerance: float) -> list[Boundary]:
+def boundaries(rows: DataFrame, total: int, n_rows: int, ranges: int, shards: int, tolerance: float, width: int = 64) -> list[Boundary]:
     """``ranges`` - 1 boundaries over (key, id, size) rows; each ``ranges`` / ``shards``-th lies between shards."""
     per = ranges // shards
     targets = {i: (total * i / ranges, total / shards * tolerance if i % per == 0 else total / ranges / 4) for i in range(1, ranges)}
-    found, heavy = _refine(rows, "key", targets, (0, 0)) if targets and n_rows else ({}, {})
+    found, heavy = _refine(rows, "key", targets, (0, 0), width) if targets and n_rows else ({}, {})
     out = {i: Boundary(key, None, size, n) for i, (key, size, n) in found.items()}
     by_key: dict[int, list[int]] = {}
     for i, (key, *_rest) in heavy.items():

@@ -1,7 +1,9 @@
 """Token ids in compressed binary files: canonical, length-limited Huffman codes.
 
 Writing takes two passes. The first puts the documents in ascending id order (one exchange
-by id range), encodes each whole text with a tokenizer, and writes chunks of ids together
+by ranges of about ``part_bytes`` bytes each, found by counting, as in ``sharding``; an id of
+too many bytes for a range is split by its texts' hashes), encodes each whole text with a
+tokenizer, and writes chunks of ids together
 with their counts; the counts are summed over all chunks. From these global counts the code
 lengths follow by package-merge, no longer than ``max_bits``, and from the lengths the
 canonical codes. The second pass turns each chunk into one file; chunks don't move.
@@ -15,7 +17,7 @@ independently from their checkpoints, many at once, each step looking ``max_bits
 in a table of (symbol, length).
 
 Nulls and odd inputs: a null text is empty and still gets the end id. A null id sorts first.
-Documents with equal ids stay neighbours, in the order of their texts. An empty table writes
+Documents with equal ids stay neighbours, in the order of their texts' hashes. An empty table writes
 no files; reading them gives no rows. The literal of an added token in a text, such as
 ``<|endoftext|>``, is that token, as the library has it.
 """
@@ -35,12 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import U64, Workspace, col, hadoop_path
-from .sharding import LOWEST, Boundary, range_of
+from .sharding import LOWEST, boundaries, range_of, text_size
 
 MAGIC = b"SWHUF001"
 HEAD = struct.Struct("<8s6Q")
 BLOCK_IDS = 512
 CHUNK_IDS = 1 << 20
+#: Ranges are larger where there would be more of them: one number a range reaches the driver.
+MAX_RANGES = 1 << 16
 #: Ids packed at a time: a multiple of the block.
 PACK = 1 << 16
 UNITS = 800_000
@@ -315,7 +319,7 @@ def _chunks(docs: DataFrame, tokenizer: str, end_id: int, chunk_ids: int) -> Dat
     return docs.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(run, "part int, chunk int, before long, doc_ids array<long>, sizes array<long>, ids binary, symbols array<long>, counts array<long>")
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", *, end_id: int = 1, max_bits: int = 18, partitions: int | None = None, chunk_ids: int = CHUNK_IDS) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", doc_id: str = "doc_id", *, end_id: int = 1, max_bits: int = 18, part_bytes: int = 16 << 20, chunk_ids: int = CHUNK_IDS) -> None:
     """Write the ids of every document to token files below ``path``, a folder that all executors share.
 
     ``tokenizer``: a tokenizer file that all executors can read. A file holds about
@@ -324,12 +328,14 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "token-file")
     source = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).alias("text"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    # ranges of about as many documents each, from the ids alone: no text is read for them
-    known = source.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n)).first()[0]
-    cuts = [Boundary(x, None, 0, 0) for x in sorted(set(known or ()))]
-    part = range_of(F.coalesce("doc_id", F.lit(LOWEST)), F.lit(LOWEST), cuts, spark)
-    ordered = source.repartitionById(len(cuts) + 1, part).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    key, hashed = F.coalesce("doc_id", F.lit(LOWEST)), F.xxhash64("text")
+    narrow = ws.cut(source.select(key.alias("key"), hashed.alias("id"), text_size(F.col("text")).alias("size")), "sizes")
+    total, n, low, high = narrow.agg(F.sum("size"), F.count("size"), F.min("key"), F.max("key")).first()
+    ranges = max(1, min(-(-(total or 0) // part_bytes), MAX_RANGES))
+    cuts = boundaries(narrow, total or 0, n, ranges, 1, 0.0, (low ^ high).bit_length() if n and (low < 0) == (high < 0) else 64)
+    ws.drop("sizes")
+    part = range_of(key, hashed, cuts, spark)
+    ordered = source.withColumn("hash", hashed).repartitionById(len(cuts) + 1, part).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash")
     chunks = ws.cut(_chunks(ordered, tokenizer, end_id, chunk_ids), "chunks")
     pairs = chunks.select(F.explode(F.arrays_zip("symbols", "counts")).alias("x")).groupBy(F.col("x.symbols").alias("symbol")).agg(F.sum("x.counts").alias("n"))
     seen = pairs.collect()  # one row for each id of the vocabulary

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import heapq
+import os
 import random
 import zlib
 
@@ -10,8 +11,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
+from xxhash import xxh64_intdigest
 
 from sparkwell.llm import token_file as F
+from sparkwell.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -74,9 +77,7 @@ def test_one_symbol_and_file_form():
 
 
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def test_units_equal_the_whole_tokenizer():
@@ -86,7 +87,7 @@ def test_units_equal_the_whole_tokenizer():
     enc = F.unit_encoder(PATH)
     assert enc.direct
     for t, e in zip(texts, library().encode_batch(texts, add_special_tokens=False), strict=True):
-        assert np.frombuffer(enc.encode(t), enc.wide).tolist() == e.ids, repr(t)
+        assert np.frombuffer(enc.encode_text(t), enc.wide).tolist() == e.ids, repr(t)
 
 
 def run(spark, rows, path, **options):
@@ -94,14 +95,15 @@ def run(spark, rows, path, **options):
     return [tuple(r) for r in F.read_ids(spark, path).collect()]
 
 
-@pytest.mark.parametrize("chunk_ids", [F.CHUNK_IDS, 300])
-def test_files_round_trip(spark, tmp_path, chunk_ids):
+@pytest.mark.parametrize(("chunk_ids", "part_bytes"), [(F.CHUNK_IDS, 16 << 20), (300, 16 << 20), (F.CHUNK_IDS, 5_000)])
+def test_files_round_trip(spark, tmp_path, chunk_ids, part_bytes):
     rng = random.Random(8)
     rows = [(i * 3 - 50, " ".join(rng.choice(["the", "Cat", "of", "zebra", "naïve", "12"]) for _ in range(rng.randint(0, 400))), "clash") for i in range(200)]
     rows += [(1000, None, "n"), (None, "null id", "n"), (5000, "word " * 30_000, "long"), (7, "again", "r"), (7, "again", "r")]
     rng.shuffle(rows)
-    got = run(spark, rows, str(tmp_path / "a"), chunk_ids=chunk_ids)
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    got = run(spark, rows, str(tmp_path / "a"), chunk_ids=chunk_ids, part_bytes=part_bytes)
+    text_hash = lambda t: 42 if t is None else int(np.uint64(xxh64_intdigest(t.encode(), 42)).astype(np.int64))
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, text_hash(r[1])))
     start, want = 0, []
     for r, e in zip(ordered, library().encode_batch([r[1] or "" for r in ordered], add_special_tokens=False), strict=True):
         ids = np.array([*e.ids, 1], "<u4")
@@ -121,3 +123,30 @@ def test_added_tokens_are_what_the_library_makes_of_them(spark, tmp_path):
 
 def test_nothing_to_write(spark, tmp_path):
     assert run(spark, [], str(tmp_path / "e")) == []
+
+
+def test_ranges_are_of_bytes_and_split_a_repeated_id(spark, tmp_path):
+    """A third of all rows have one id; its texts don't go to one task, and what is read back is every row."""
+    rows = [(5, f"hot {i} " + "word " * 20, "") for i in range(600)] + [(i, "the cat " * (i % 40), "") for i in range(10, 1200)]
+    got = run(spark, rows, str(tmp_path / "r"), part_bytes=8_000)
+    assert sorted((r[0], r[2]) for r in got) == sorted((i, len(library().encode(t, add_special_tokens=False).ids) + 1) for i, t, _ in rows)
+    got.sort(key=lambda r: r[1])
+    assert [r[0] for r in got] == sorted(r[0] for r in got) and all(a[1] + a[2] == b[1] for a, b in zip(got, got[1:], strict=False))
+    files = {}
+    for f in (tmp_path / "r").glob("part-*.swh"):
+        files.setdefault(f.name[:11], []).append(F.parse_file(f.read_bytes()))
+    hot = [sum(n.count(5) for _, n, _, _ in part) for part in files.values()]
+    assert len(files) > 8 and max(hot) < 200 and sum(hot) == 600
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_query_digests(spark):
+    """Row by row: the library over the whole table in id order."""
+    docs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())
+    want, start = {}, 0
+    for (i, _), e in zip(docs, library().encode_batch([t or "" for _, t in docs], add_special_tokens=False), strict=True):
+        ids = np.array([*e.ids, 1], "<u4")
+        want[i] = (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+    got = QUERIES["op4_token_file"](spark, "/root/testdata/sf0.01").collect()
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in got} == want and len(got) == len(want)
