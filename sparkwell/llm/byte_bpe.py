@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fresh, map_batches, tidy
+from .common import col, fresh, map_batches, small_batches, tidy
 
 TOUCHING = re.compile(r"\s (?:\s|\Z)|  ")
 #: Bytes, about, of each of a task's two generations of held strings, and what an entry takes beside its characters and ids.
@@ -250,6 +250,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
 
     ``decoded``: a column for the bytes decoded from the ids, in the same pass.
     """
+    small_batches(docs.sparkSession)
     new = [c for c in (into, decoded) if c]
     base = docs.drop(*(c for c in new if c in docs.columns))
     names = base.columns
@@ -275,6 +276,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
 
 def decode(encoded: DataFrame, path: str, pattern: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that its ids stand for."""
+    small_batches(encoded.sparkSession)
     base = encoded.drop(into) if into in encoded.columns else encoded
     names = base.columns
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col
+from .common import col, small_batches
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
@@ -459,6 +459,7 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
 
 def extract_text(pages: DataFrame, html: str = "html", into: str = "text") -> DataFrame:
     """``pages`` with the main text of each page."""
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(trained())
 
     @F.arrow_udf(T.StringType())

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import ASCII_SPACE, ASCII_UPPER, Workspace, col, fresh, map_batches, tidy
+from .common import ASCII_SPACE, ASCII_UPPER, Workspace, col, fresh, map_batches, small_batches, tidy
 
 LOWER = str.maketrans(ASCII_UPPER, ASCII_UPPER.lower())
 
@@ -101,6 +101,7 @@ def dedup_lines(
 
     ``filter_bytes`` bounds each Bloom filter; beyond it the hash space is cut into parts.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("n_lines", "n_dropped")
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "line-dedup")
     suspects, drop = confirmed_lines(docs, ws, text, doc_id, min_chars, min_docs, bits_per_line, filter_bytes)

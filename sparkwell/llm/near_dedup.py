@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import U64, Workspace, col, mix64, tidy
+from .common import U64, Workspace, col, mix64, small_batches, tidy
 from .components import connected_components
 
 #: Ids that are sent to all tasks: 8 bytes each.
@@ -233,6 +233,7 @@ def near_duplicates(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, words: int = 2, percent: int = 75, bands: int = 32, rows: int = 4, slack: float = 0.27, filter_bytes: int = 64 << 20, few: int = 16
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) per document id: the classes and what they are linked with."""
+    small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "near-dedup")
     source = docs.select(col(docs, doc_id).cast("long").alias("id"), col(docs, text).alias("text")).where("id IS NOT NULL")
     sketch = ws.cut(_sketch(source, words, bands, rows), "sketch")

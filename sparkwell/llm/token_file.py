@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Workspace, col, hadoop_path
+from .common import U64, Workspace, col, hadoop_path, small_batches
 from .sharding import LOWEST, boundaries, range_of, text_size
 
 MAGIC = b"SWHUF001"
@@ -327,6 +327,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, text: str = "text", do
     another name and then renamed, so a task that runs twice leaves one whole file.
     """
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "token-file")
+    small_batches(spark)
     source = docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).alias("text"))
     key, hashed = F.coalesce("doc_id", F.lit(LOWEST)), F.xxhash64("text")
     narrow = ws.cut(source.select(key.alias("key"), hashed.alias("id"), text_size(F.col("text")).alias("size")), "sizes")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, col, tidy
+from .common import Workspace, col, small_batches, tidy
 
 #: Terms that name groups, by kind; a swap puts another term of the kind in a term's place.
 IDENTITY_TERMS = (
@@ -125,6 +125,7 @@ def fit(
     The sample is the labelled ids of smallest hash, one row each, so its size is bounded whatever
     the corpus and however often an id occurs; it is the only thing that reaches the driver, as sets of at most ``max_features`` numbers.
     """
+    small_batches(docs.sparkSession)
     ws = Workspace(docs.sparkSession, "toxicity")
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id IS NOT NULL AND toxic IN (0, 1)").where(~held_out(F.col("id")))
     once = known.groupBy("id").agg(F.max("toxic").alias("toxic"))
@@ -204,6 +205,7 @@ def _train(x, y, swapped, at, terms, prior, swap_weight, l2, rounds):
 
 def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on)."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     source = col(docs, text)
 
