@@ -6,28 +6,32 @@ Which documents hold benchmark items, word for word or reworded? Method:
    their places; what follows reads that narrow table only. Document frequencies over the whole
    corpus give the inverse document frequencies, none of them below ``FLOOR``, so that an item
    held by most of the documents keeps its weight too;
-2. a distributed randomised SVD of the TF-IDF matrix of the benchmark's passages (an item, or
-   48-word pieces of a long one) gives a latent space. Words that no item holds have weight
-   zero in every passage, so nothing else of the corpus could enter it. Only small square
-   matrices and one row for each word reach the driver. A space is never cut short: it has as
-   many dimensions as passages, and more than ``dims`` passages get several spaces, one after
-   the other;
+2. a latent space holds TF-IDF passages of the benchmark (an item, or 48-word pieces of a long
+   one) and of the corpus (64 words each), both by a distributed randomised SVD over words that
+   items hold. Of the benchmark's passages it has every dimension: those known by a few rare
+   words would be cut off first, and a copy of one must not be missed. Of the corpus's passages
+   it has the ``topics`` leading ones beside those; a window that is mostly about them is less
+   like an item. Only square matrices and one row for each word reach the driver. More than
+   ``dims`` benchmark passages get several spaces, one after the other;
 3. every window of 64 words of every document (one each 32 words) is folded into the space and
    compared with every passage; a pair goes on if its cosine and the share of the passage that
    the window covers are high enough, or if the window covers about half of the passage, however
-   much of other items stands beside it. One of the windows over a word-for-word copy covers half;
+   much of other items or topics stands beside it. One of the windows over a word-for-word copy
+   covers half;
 4. the item and the surroundings of the window are compared by their longest common
    subsequence of words. An item counts as found if the subsequence covers ``full`` of it and
    the words shared carry half of its weight, or if it covers ``partial`` of it, the words
    shared carry 60 % of its weight and the answer (the item's last fifth, or the words of an
-   ``answer`` column) is there too.
+   ``answer`` column) is there too;
+5. items of fewer than ``min_words`` words are too short to be reworded and are found where they
+   stand word for word, by hashed runs of words and a comparison.
 
 What is sent to the tasks grows with the benchmark, not the corpus: the benchmark is taken in
 parts of at most ``items_per_pass`` items, one pass over the texts each, and of at most ``dims``
 passages, one pass over the narrow table each, so that it has a bound.
 
-Nulls and odd inputs: a null or empty text holds nothing. Items of fewer than ``min_words``
-words (or null ones) aren't passages and are never found. Rows with equal ids are reported
+Nulls and odd inputs: a null or empty text holds nothing. Items without a word (or null ones)
+are never found; shorter ones than ``min_words`` are found verbatim. Rows with equal ids are reported
 once. Null ids are reported as null. An empty benchmark or corpus gives no rows. Other columns
 aren't looked at.
 """
@@ -40,11 +44,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import drop_ids
-from .common import Workspace, col, tidy
+from .common import U64, Workspace, col, mix64, small_batches, tidy
 
 TABLE = bytes(32 if chr(i) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r'" else i for i in range(256))
 STEP, SPAN = 32, 2
 PIECE = 48
+#: Words of a corpus passage.
+PASSAGE = 64
+#: Words of a block of partial sums.
+BLOCK = 1024
 #: Least weight of a word, however many documents hold it.
 FLOOR = 0.1
 #: Share of a passage at which the cosine isn't asked. Two neighbouring windows miss different words of a copy, so one has half.
@@ -100,26 +108,35 @@ def _inverse_root(gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _terms_times(joined: DataFrame, root, m: int, width: int) -> np.ndarray:
     """A'Q from rows (terms, weights, y), Q being Y times the broadcast ``root``: partial sums a task, added up a block of terms at a time."""
-    block = 1024
 
     def run(batches):
         total = np.zeros((m, width), np.float32)
         for b in batches:
             for t, w, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 total[t] += np.asarray(w, np.float32)[:, None] * (np.frombuffer(y, np.float32) @ root.value)[None, :]
-        for s in range(0, m, block):
-            part = total[s : s + block]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // block], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "z"])
+        yield from _blocks(total)
+
+    return _summed(joined.mapInArrow(run, "block int, z binary"), m, width)
+
+
+def _blocks(total: np.ndarray):
+    for s in range(0, len(total), BLOCK):
+        part = total[s : s + BLOCK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([s // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "z"])
+
+
+def _summed(parts: DataFrame, m: int, width: int) -> np.ndarray:
+    """The tasks' partial sums (block, z), added up block by block."""
 
     def add(table: pa.Table) -> pa.Table:
         z = sum((np.frombuffer(x.as_py(), np.float32) for x in table["z"][1:]), np.frombuffer(table["z"][0].as_py(), np.float32).copy())
         return pa.table({"block": table["block"][:1], "z": pa.array([z.tobytes()], pa.binary())})
 
     out = np.zeros((m, width), np.float32)
-    for r in joined.mapInArrow(run, "block int, z binary").groupBy("block").applyInArrow(add, "block int, z binary").toLocalIterator():
+    for r in parts.groupBy("block").applyInArrow(add, "block int, z binary").toLocalIterator():
         part = np.frombuffer(bytes(r["z"]), np.float32).reshape(-1, width)
-        out[r["block"] * block : r["block"] * block + len(part)] = part
+        out[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
     return out
 
 
@@ -147,6 +164,55 @@ def randomized_svd(rows: DataFrame, m: int, k: int, ws: Workspace, oversample: i
     return (z @ root[:, :k]).astype(np.float32), s[:k]
 
 
+def narrow_rows(b: pa.RecordBatch, wide: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word id, place) of all words of rows whose last two columns are ids and gaps."""
+    raw = [x or b"" for x in b.column(b.num_columns - 2).to_pylist()]
+    gaps = np.frombuffer(b"".join(x or b"" for x in b.column(b.num_columns - 1).to_pylist()), "<u2").astype(np.int64)
+    ids = np.frombuffer(b"".join(raw), wide).astype(np.int64)
+    sizes = np.array([len(x) for x in raw], np.int64) // np.dtype(wide).itemsize
+    row = np.repeat(np.arange(len(raw)), sizes)
+    so_far = np.cumsum(gaps)
+    before = np.concatenate([[0], so_far])[np.cumsum(sizes) - sizes]
+    return row, ids, so_far - before[row]
+
+
+def corpus_topics(corpus: DataFrame, wide: str, idf: np.ndarray, k: int, oversample: int = 8, passes: int = 2, seed: int = 37) -> np.ndarray:
+    """The ``k`` leading right singular vectors (words, <= k) of the TF-IDF matrix A of all passages of the narrow table.
+
+    Randomised subspace iteration: each pass multiplies an orthonormal block by A'A, a job in
+    which no passage leaves its task and each task passes on one row for each word it has.
+    """
+    spark, m = corpus.sparkSession, len(idf)
+    width = min(k + oversample, m)
+    v = np.linalg.qr(_omega(m, width, seed).astype(np.float64))[0]
+    for _ in range(passes):
+        sent = spark.sparkContext.broadcast((v * idf[:, None]).astype(np.float32))
+
+        def run(batches, sent=sent):
+            w, total = sent.value, np.zeros((m, width), np.float32)
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    row, ids, places = narrow_rows(whole.slice(at, 256), wide)
+                    if not len(ids):
+                        continue
+                    new = (np.diff(row, prepend=-1) > 0) | (np.diff(places // PASSAGE, prepend=-1) != 0)
+                    y = np.add.reduceat(w[ids], np.flatnonzero(new), axis=0)
+                    order = np.argsort(ids, kind="stable")
+                    sorted_ids = ids[order]
+                    first = np.flatnonzero(np.diff(sorted_ids, prepend=-1))
+                    total[sorted_ids[first]] += np.add.reduceat(y[(np.cumsum(new) - 1)[order]], first, axis=0)
+            yield from _blocks(total)
+            tidy()
+
+        z = _summed(corpus.select("ids", "gaps").mapInArrow(run, "block int, z binary"), m, width).astype(np.float64) * idf[:, None]
+        u, s, _ = np.linalg.svd(z, full_matrices=False)
+        v = u[:, s > max(s.max(initial=0), 0) * 1e-9]
+        width = v.shape[1]
+        if not width:
+            break
+    return v[:, :k]
+
+
 # --- longest common subsequence -----------------------------------------------------------
 
 
@@ -173,11 +239,16 @@ def lcs_length(masks: dict[int, int], n: int, other: list[int]) -> int:
 class Space:
     """What a task needs: passages (item, ids) in the latent space, their items, and the vectors of their words ``terms``."""
 
-    def __init__(self, items: dict[int, tuple], pieces: list[tuple], terms: np.ndarray, idf: np.ndarray, basis: np.ndarray, cosine: float, cover: float, full: float, partial: float):
+    def __init__(self, items: dict[int, tuple], pieces: list[tuple], terms: np.ndarray, idf: np.ndarray, basis: np.ndarray, topics: np.ndarray, cosine: float, cover: float, full: float, partial: float):
         self.idf, self.cosine, self.cover, self.full, self.partial = idf, cosine, cover, full, partial
         self.word = (basis * idf[terms][:, None]).astype(np.float32)
         self.place = np.full(len(idf), -1, np.int32)
         self.place[terms] = np.arange(len(terms))
+        beside = np.array(topics, np.float64)
+        beside[terms] -= basis @ (basis.T @ beside[terms])  # what of the topics the passages don't span
+        u, s, _ = np.linalg.svd(beside, full_matrices=False) if beside.size else (beside, np.zeros(0), None)
+        #: the words' vectors in the dimensions of the corpus's topics
+        self.topic = (u[:, s > 1e-3] * idf[:, None]).astype(np.float32)
         self.items = {i: (name, ids, lcs_masks(ids), float(idf[ids].sum()), answer) for i, (name, ids, answer) in items.items()}
         self.owner = np.array([i for i, _ in pieces], np.int64)
         p = np.array([self.word[self.place[ids]].sum(0) for _, ids in pieces], np.float32).reshape(len(pieces), -1)
@@ -188,40 +259,46 @@ class Space:
         """(doc_id, item_id, lcs, cosine, answer, word place) of (doc_id, ids, places)."""
         base, own, block, ids_all = 0, [], [], []
         for _name, ids, places in docs:
-            rows = self.place[ids]
-            keep = rows >= 0
-            block.append(places[keep] // STEP + base)
-            ids_all.append(rows[keep])
+            block.append(places // STEP + base)
+            ids_all.append(ids)
             own.append(base)
             base += (int(places[-1]) // STEP + 1 if len(places) else 0) + SPAN
         if not base:
             return []
         flat, at = np.concatenate(ids_all), np.concatenate(block)
-        sums = np.zeros((base + SPAN, self.word.shape[1]), np.float32)
-        if len(flat):
-            starts = np.flatnonzero(np.diff(at, prepend=-1))
-            for s in range(0, len(starts), 512):
-                e = int(starts[s + 512]) if s + 512 < len(starts) else len(flat)
-                first = int(starts[s])
-                sums[at[starts[s : s + 512]]] = np.add.reduceat(self.word[flat[first:e]], starts[s : s + 512] - first, axis=0)
-        windows = sum(sums[d : len(sums) - SPAN + d] for d in range(SPAN))
+        rows = self.place[flat]
+        keep = rows >= 0
+        windows = self._windows(self.word, rows[keep], at[keep], base)
         norms = np.sqrt((windows**2).sum(1))
+        lengths = np.sqrt(norms**2 + (self._windows(self.topic, flat, at, base) ** 2).sum(1)) if self.topic.shape[1] else norms
         hot = np.flatnonzero(norms >= self.cover * self.lengths.min()) if len(self.lengths) else []
         owns, found = np.array(own), {}
         for s in range(0, len(hot), 4096):
             w = hot[s : s + 4096]
             dot = windows[w] @ self.unit
-            good = (dot >= self.cover * self.lengths) & ((dot >= self.cosine * norms[w][:, None]) | (dot >= HALF * self.lengths))
+            good = (dot >= self.cover * self.lengths) & ((dot >= self.cosine * lengths[w][:, None]) | (dot >= HALF * self.lengths))
             for a, b in zip(*np.nonzero(good), strict=True):
                 d = int(np.searchsorted(owns, w[a], "right")) - 1
                 key = (d, int(self.owner[b]))
-                found.setdefault(key, []).append((int(w[a]) - own[d], float(dot[a, b] / norms[w[a]])))
+                found.setdefault(key, []).append((int(w[a]) - own[d], float(dot[a, b] / lengths[w[a]])))
         out = []
         for (d, i), places in found.items():
             if best := self.verify(docs[d], i, places):
                 out.append((docs[d][0], *best))
         return out
 
+    @staticmethod
+    def _windows(vectors: np.ndarray, flat: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the words' vectors over the ``SPAN`` blocks from each block on."""
+        sums = np.zeros((n + SPAN, vectors.shape[1]), np.float32)
+        if len(flat):
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            for s in range(0, len(starts), 512):
+                e = int(starts[s + 512]) if s + 512 < len(starts) else len(flat)
+                first = int(starts[s])
+                sums[at[starts[s : s + 512]]] = np.add.reduceat(vectors[flat[first:e]], starts[s : s + 512] - first, axis=0)
+        return sum(sums[d : len(sums) - SPAN + d] for d in range(SPAN))
+
     def verify(self, doc: tuple, i: int, windows: list[tuple[int, float]]) -> tuple | None:
         _doc, ids, places = doc
         name, item, masks, weight, answer = self.items[i]
@@ -243,7 +320,7 @@ class Space:
         return best
 
 
-def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None, min_words: int) -> DataFrame:
+def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None) -> DataFrame:
     chosen = [col(benchmark, item_id).cast("long").alias("item_id"), col(benchmark, text).alias("text"), (col(benchmark, answer) if answer else F.lit(None)).cast("string").alias("answer")]
 
     def run(batches):
@@ -252,27 +329,28 @@ def _items(benchmark: DataFrame, item_id: str, text: str, answer: str | None, mi
             answers = [words_of(a) or w[-max(3, len(w) // 5) :] for a, w in zip(b.column(2).to_pylist(), words, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.binary())), pa.array(answers, pa.list_(pa.binary()))], ["item_id", "words", "answer"])
 
-    return benchmark.select(*chosen).mapInArrow(run, "item_id long, words array<binary>, answer array<binary>").where(F.size("words") >= min_words)
+    return benchmark.select(*chosen).mapInArrow(run, "item_id long, words array<binary>, answer array<binary>").where(F.size("words") > 0)
 
 
 def find_items(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", answer: str | None = None, *,
-    dims: int = 256, cosine: float = 0.35, cover: float = 0.3, full: float = 0.65, partial: float = 0.5, min_words: int = 8, items_per_pass: int = 4000,
+    dims: int = 256, topics: int = 32, cosine: float = 0.35, cover: float = 0.3, full: float = 0.65, partial: float = 0.5, min_words: int = 8, items_per_pass: int = 4000,
 ) -> DataFrame:
     """One row for each document and benchmark item found in it: (doc_id, item_id, lcs, cosine, answer, at)."""
     spark, ws = docs.sparkSession, Workspace(docs.sparkSession, "decontaminate")
-    items = ws.cut(_items(benchmark, item_id, item_text, answer, min_words), "items")
+    small_batches(spark)
+    items = ws.cut(_items(benchmark, item_id, item_text, answer), "items")
     parts = -(-items.count() // items_per_pass)
     out = spark.createDataFrame([], FOUND)
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(parts)) == p) if parts > 1 else items
-        found = _find_part(docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).alias("text")), own, Workspace(spark, f"decontaminate-{p}"), dims, (cosine, cover, full, partial))
+        found = _find_part(docs.select(col(docs, doc_id).cast("long").alias("doc_id"), col(docs, text).alias("text")), own, Workspace(spark, f"decontaminate-{p}"), dims, topics, min_words, (cosine, cover, full, partial))
         out = found if parts == 1 else out.union(found)
     best = F.max(F.struct("lcs", "cosine", "answer", "at")).alias("x")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.lcs", "x.cosine", "x.answer", "x.at")
 
 
-def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limits: tuple) -> DataFrame:
+def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, topics: int, min_words: int, limits: tuple) -> DataFrame:
     spark = docs.sparkSession
     rows = sorted((r["item_id"] if r["item_id"] is not None else -1, [bytes(w) for w in r["words"]], [bytes(w) for w in r["answer"]], r["item_id"]) for r in items.collect())  # items_per_pass at most
     if not rows:
@@ -314,16 +392,56 @@ def _find_part(docs: DataFrame, items: DataFrame, ws: Workspace, dims: int, limi
     idf = np.maximum(np.log((1 + n_docs) / (1 + df)), FLOOR)
 
     known = [(name, [vocabulary[w] for w in words], [vocabulary[w] for w in answer]) for _, words, answer, name in rows]
-    pieces = [(i, x[s : s + PIECE]) for i, (_n, x, _a) in enumerate(known) for s in range(0, max(len(x) - PIECE // 4, 1), PIECE)]
-    found = None
+    pieces = [(i, x[s : s + PIECE]) for i, (_n, x, _a) in enumerate(known) if len(x) >= min_words for s in range(0, max(len(x) - PIECE // 4, 1), PIECE)]
+    short = [(name, x) for name, x, _a in known if len(x) < min_words]
+    found = _search_short(corpus, wide, short, ws) if short else None
+    leading = corpus_topics(corpus, wide, idf, topics) if pieces and topics else np.zeros((m, 0))
     for g in range(0, len(pieces), dims):
-        part = _search(corpus, wide, known, pieces[g : g + dims], idf, limits, ws, g // dims)
+        part = _search(corpus, wide, known, pieces[g : g + dims], idf, leading, limits, ws, g // dims)
         found = part if found is None else found.union(part)
     ws.drop("corpus")
     return found
 
 
-def _search(corpus: DataFrame, wide: str, known: list[tuple], pieces: list[tuple], idf: np.ndarray, limits: tuple, ws: Workspace, group: int) -> DataFrame:
+def _search_short(corpus: DataFrame, wide: str, short: list[tuple], ws: Workspace) -> DataFrame:
+    """Where the short items stand word for word: runs of neighbouring words with an item's hash, compared."""
+    names: dict[tuple[int, ...], list] = {}
+    for name, x in short:
+        names.setdefault(tuple(x), []).append(name)
+    factor = U64(0x9E3779B97F4A7C15)
+
+    def fold(ids: np.ndarray, n: int) -> np.ndarray:
+        h = np.zeros(max(len(ids) - n + 1, 0), U64)
+        for k in range(n):
+            h = mix64(h * factor + ids[k : k + len(h)].astype(U64) + U64(1))
+        return h
+
+    keys = {n: np.array([fold(np.array(x), n)[0] for x in names if len(x) == n], U64) for n in {len(x) for x in names}}
+    sent = corpus.sparkSession.sparkContext.broadcast((names, keys))
+
+    def search(batches):
+        names, keys = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                row, ids, places = narrow_rows(b, wide)
+                ends = np.flatnonzero((np.diff(places, append=-1) != 1) | (np.diff(row, append=-1) != 0))  # last words of runs
+                left = ends[np.searchsorted(ends, np.arange(len(ids)))] - np.arange(len(ids)) + 1  # words from here to the end of the run
+                hits: dict[tuple, int] = {}
+                for n, known in keys.items():
+                    for i in np.flatnonzero(np.isin(fold(ids, n), known) & (left[: max(len(ids) - n + 1, 0)] >= n)).tolist():
+                        for name in names.get(tuple(ids[i : i + n].tolist()), ()):
+                            hits.setdefault((int(row[i]), name), int(places[i]))
+                own = b.column(0).to_pylist()
+                columns = [[own[r] for r, _ in hits], [name for _, name in hits], *[[1.0] * len(hits)] * 3, list(hits.values())]
+                types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "item_id", "lcs", "cosine", "answer", "at"])
+        tidy()
+
+    return ws.cut(corpus.mapInArrow(search, FOUND), "found-short")
+
+
+def _search(corpus: DataFrame, wide: str, known: list[tuple], pieces: list[tuple], idf: np.ndarray, topics: np.ndarray, limits: tuple, ws: Workspace, group: int) -> DataFrame:
     """What the narrow table holds of these passages' items, by way of the passages' own space."""
     spark = corpus.sparkSession
     terms = np.unique(np.concatenate([np.array(x) for _, x in pieces]))
@@ -337,7 +455,7 @@ def _search(corpus: DataFrame, wide: str, known: list[tuple], pieces: list[tuple
     own = Workspace(spark, f"decontaminate-space-{group}")
     basis, _ = randomized_svd(a, len(terms), len(matrix), own)
     own.drop()
-    space = spark.sparkContext.broadcast(Space({i: known[i] for i, _ in pieces}, pieces, terms, idf, basis, *limits))
+    space = spark.sparkContext.broadcast(Space({i: known[i] for i, _ in pieces}, pieces, terms, idf, basis, topics, *limits))
 
     def search(batches):
         s = space.value
