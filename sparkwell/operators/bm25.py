@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_query
+from ..lineage import Workspace
 from .index import Index
 
 #: How much each field's score counts.
@@ -21,13 +22,13 @@ def query_terms(queries: DataFrame, tokenize: Callable[[Column], Column] | None
     return queries.select("query_id", F.explode(F.array_distinct(tokens)).alias("term")).where("term <> ''")
 
 
-def score_fields(index: Index, terms: DataFrame) -> DataFrame:
-    """(query_id, doc_id, field, score): unweighted BM25 of each field in which a query term occurs.
+def score_fields(index: Index, terms: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, field, score): unweighted BM25 of each field (of ``fields``, if given) in which a query term occurs.
 
     Only postings of query terms are touched: the terms are sent to the postings' tasks if
     they are few (counted), else both sides are hashed by term.
     """
-    terms = terms.persist()
+    terms = Workspace(terms.sparkSession, "bm25").cut(terms, "terms")
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     side = F.broadcast(terms) if few else terms
     wanted = index.term_stats.join(F.broadcast(terms.select("term").distinct()) if few else terms.select("term").distinct(), "term", "left_semi")
@@ -35,7 +36,8 @@ def score_fields(index: Index, terms: DataFrame) -> DataFrame:
     stats = F.broadcast(stats) if few else stats
     k1, b = index.k1, index.b
     tf, norm = F.col("tf").cast("double"), F.when(F.col("avgdl") > 0, 1 - b + b * F.col("dl") / F.nullif("avgdl", F.lit(0.0))).otherwise(F.lit(1.0))
-    each = index.postings.join(stats, ["field", "term"]).select("field", "term", "doc_id", (F.col("idf") * tf * (k1 + 1) / (tf + k1 * norm)).alias("s"))
+    postings = index.postings if fields is None else index.postings.where(F.col("field").isin(*fields))
+    each = postings.join(stats, ["field", "term"]).select("field", "term", "doc_id", (F.col("idf") * tf * (k1 + 1) / (tf + k1 * norm)).alias("s"))
     return each.join(side, "term").groupBy("query_id", "doc_id", "field").agg(F.sum("s").alias("score"))
 
 
@@ -47,7 +49,7 @@ def search(
     Scores are rounded before they are ranked, so that the order doesn't hang on the order
     in which floats were added; ties go to smaller ids.
     """
-    fields = score_fields(index, terms if terms is not None else query_terms(queries, tokenize))
+    fields = score_fields(index, terms if terms is not None else query_terms(queries, tokenize), weights)
     by_field = {f: F.sum(F.when(F.col("field") == f, F.col("score"))) for f in weights}
     both = fields.groupBy("query_id", "doc_id").agg(*(F.coalesce(c, F.lit(0.0)).alias(f"bm25_{f}") for f, c in by_field.items()))
     total = sum((F.lit(w) * F.col(f"bm25_{f}") for f, w in weights.items()), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,8 +25,8 @@ def hashing_encoder(dims: int = 384) -> Encoder:
             out = np.zeros((len(texts), dims), np.float32)
             for i, t in enumerate(texts):
                 for w in t.lower().split():
-                    h = zlib.crc32(w.encode())
-                    out[i, h % dims] += 1 if h >> 31 else -1
+                    h = hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+                    out[i, int(h[:7], 16) % dims] += 1 if h[7] > "7" else -1
             return out
 
         return encode
@@ -63,56 +63,70 @@ def normalize(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: (x / n).cast("float"))).otherwise(v)
 
 
-def search(data: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "doc_id", vector: str = "embedding", query_vector: str = "embedding", digits: int = 6, block: int = 2048, chunk: int = 1024) -> DataFrame:
-    """(query_id, rank, doc_id, score): exact inner-product search, ties to smaller ids.
+def usable(v: Column) -> Column:
+    """Whether a vector takes part: not null, and without null or non-finite components."""
+    return v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
 
-    Queries are packed in blocks of ``block`` vectors. Each task of the data multiplies its
-    vectors, ``chunk`` at a time, with every block and passes on its best ``top_k`` for each
-    query, so what is exchanged is queries times tasks times k, however many vectors there are.
-    The query set is what bounds a pass: one block of it is in memory at a time.
-    """
-    from ..lineage import Workspace
 
-    spark = data.sparkSession
-    rows = data.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).where(F.col(id_col).isNotNull() & F.col(vector).isNotNull())
-    asked = queries.select("query_id", F.col(query_vector).cast("array<double>").alias("q")).where("q IS NOT NULL")
-    ws = Workspace(spark, "dense")
+def _pack(block: int):
+    """Rows (id, vector) to rows (at, ids, dims, m) of ``block`` vectors each, zero-filled where lengths differ."""
 
-    def pack(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in range(0, b.num_rows, block):
                 part = b.slice(s, block)
-                if part.num_rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([part.column(1).flatten().to_numpy().tobytes()], pa.binary())], ["ids", "m"])
-
-    blocks = ws.cut(asked.mapInArrow(pack, "ids array<long>, m binary"), "queries")
-    parts = []
-    for r in blocks.toLocalIterator():  # one pass of the data for each ``block`` queries
-        ids = np.array(r["ids"], np.int64)
-        sent = spark.sparkContext.broadcast((ids, np.frombuffer(bytes(r["m"]), np.float64).reshape(len(ids), -1)))
-
-        def solve(batches, sent=sent):
-            names, q = sent.value
-            best_s = np.full((len(names), 0), 0.0)
-            best_i = np.zeros((len(names), 0), np.int64)
-            for b in batches:
-                for s in range(0, b.num_rows, chunk):
-                    part = b.slice(s, chunk)
-                    own = part.column(0).to_numpy()
-                    x = part.column(1).flatten().to_numpy().reshape(len(own), -1)
-                    scores = np.round(q @ x.T, digits) + 0.0
-                    best_s = np.concatenate([best_s, scores], 1)
-                    best_i = np.concatenate([best_i, np.broadcast_to(own, scores.shape)], 1)
-                    order = np.lexsort((best_i, -best_s), axis=1)[:, :top_k]
-                    best_s, best_i = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_i, order, 1)
-            k = best_s.shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, k)), pa.array(best_i.ravel()), pa.array(best_s.ravel())], ["query_id", "doc_id", "score"])
-
-        parts.append(rows.mapInArrow(solve, "query_id long, doc_id long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-    near = parts[0]
-    for p in parts[1:]:
-        near = near.unionAll(p)
+                sizes = np.asarray(part.column(1).value_lengths())
+                flat = part.column(1).flatten().to_numpy(zero_copy_only=False)
+                dims = int(sizes.max(initial=0))
+                m = np.zeros((len(sizes), dims))
+                m[np.arange(dims) < sizes[:, None]] = flat
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[:1]), pa.array([ids.tobytes()], pa.binary()), pa.array([dims], pa.int32()), pa.array([m.tobytes()], pa.binary())], ["at", "ids", "dims", "m"])
+
+    return run
+
+
+def search(data: DataFrame, queries: DataFrame, top_k: int = 10, id_col: str = "doc_id", vector: str = "embedding", query_vector: str = "embedding", digits: int = 6, block: int = 512, chunk: int = 1024, salts: int | None = None) -> DataFrame:
+    """(query_id, rank, doc_id, score): exact inner-product search, ties to smaller ids.
+
+    Queries and data are packed in blocks. A block of data has one of ``salts`` numbers, a block
+    of queries has all of them, and blocks of one number meet in a join: the query blocks are sent
+    to the data where they are small, else both sides move once. A task keeps the best ``top_k`` of
+    each query, so what is ranked is queries times tasks times k. It is one join, however many
+    query blocks there are. Vectors that are null or hold a null or non-finite component take no
+    part; missing components count as 0 where lengths differ.
+    """
+    rows = data.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    asked = queries.select(F.col("query_id").cast("long").alias("id"), F.col(query_vector).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    n = salts or max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    schema = "at long, ids binary, dims int, m binary"
+    blocks = rows.mapInArrow(_pack(chunk), schema).select(F.pmod(F.xxhash64("at"), F.lit(n)).cast("int").alias("salt"), "ids", "dims", "m")
+    packed = asked.mapInArrow(_pack(block), schema).select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("m").alias("q"))
+
+    def solve(batches):
+        best: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def flush():
+            for q_ids, (scores, ids) in best.items():
+                k = scores.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.frombuffer(q_ids, np.int64), k)), pa.array(ids.ravel()), pa.array(scores.ravel())], ["query_id", "doc_id", "score"])
+            best.clear()
+
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, dims, m, q_ids, q_dims, q = (b.column(c)[r].as_py() for c in range(6))
+                own = np.frombuffer(ids, np.int64)
+                x, y, d = np.frombuffer(m).reshape(len(own), dims), np.frombuffer(q).reshape(len(q_ids) // 8, q_dims), min(dims, q_dims)
+                scores = np.round(y[:, :d] @ x[:, :d].T, digits) + 0.0
+                names = np.broadcast_to(own, scores.shape)
+                if q_ids in best:
+                    scores, names = np.concatenate([best[q_ids][0], scores], 1), np.concatenate([best[q_ids][1], names], 1)
+                order = np.lexsort((names, -scores), axis=1)[:, :top_k]
+                best[q_ids] = np.take_along_axis(scores, order, 1), np.take_along_axis(names, order, 1)
+                if len(best) > 64:
+                    yield from flush()
+        yield from flush()
+
+    near = blocks.join(packed, "salt").select("ids", "dims", "m", "q_ids", "q_dims", "q").mapInArrow(solve, "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return near.select("query_id", F.row_number().over(order).alias("rank"), "doc_id", "score").where(F.col("rank") <= top_k)

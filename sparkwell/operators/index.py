@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,21 @@ def tokenized(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tokenize: Calla
     return rows.select("x.field", "doc_id", tokenize(F.col("x.value")).alias("tokens"))
 
 
+def term_counts(tokens: Column) -> Column:
+    """Each row's distinct terms with how often they occur in it: a row's tokens are in one place, so nothing moves."""
+
+    @F.arrow_udf("array<struct<term: string, tf: bigint>>")
+    def counted(rows: pa.Array) -> pa.Array:
+        sizes = np.asarray(rows.value_lengths().fill_null(0)).astype(np.int64)
+        words = rows.flatten().dictionary_encode()
+        n = max(len(words.dictionary), 1)
+        keys, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + words.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+        pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(keys % n)), pa.array(counts, pa.int64())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * n), pa.int32()), pairs)
+
+    return counted(tokens)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """One small file is one task: rows go to all cores where there are fewer partitions than half of them."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -50,14 +67,14 @@ def spread(df: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tokenize: Callable[[Column], Column] = clean_tokens, doc_id: str = "doc_id", k1: float = K1, b: float = B) -> Index:
     """Tokenise once, count the rest.
 
-    The postings are written before the statistics are taken of them. A document occurs in
-    them once a term, so a term's document frequency is a row count, and lengths add up to
+    Terms are counted within each row, so the postings are written without an exchange, and the
+    statistics are taken of them. Ids are unique: a document occurs once a term, so a term's document frequency is a row count, and lengths add up to
     the field's total; documents without a token count in ``n`` alone.
     """
     ws = Workspace(docs.sparkSession, "index")
     tokens = tokenized(spread(docs), fields, tokenize, doc_id)
-    each = tokens.select("field", "doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = ws.cut(each.groupBy("field", "term", "doc_id").agg(F.count("dl").alias("tf"), F.first("dl").alias("dl")), "postings")
+    each = tokens.select("field", "doc_id", F.size("tokens").cast("long").alias("dl"), term_counts(F.col("tokens")).alias("terms"))
+    postings = ws.cut(each.select("field", "doc_id", "dl", F.explode("terms").alias("x")).select("field", "x.term", "doc_id", "x.tf", "dl"), "postings")
     n_docs = docs.count()
     totals = postings.groupBy("field").agg(F.sum("tf").alias("total"))
     names = docs.sparkSession.createDataFrame([(f,) for f in fields], "field string")
