@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import bm25, metrics
+from ..operators import metrics
 from ..operators.generate import Generator
 from .search import HybridSearch
 
@@ -15,7 +15,7 @@ def evaluate_retrieval(engine: HybridSearch, gold: DataFrame, k: int = 5) -> tup
     relevant = gold.select("query_id", F.explode("relevant").alias("doc_id"))
     queries = gold.select("query_id", "query")
     depth = max(k, 10)
-    base = metrics.evaluate(queries, relevant, bm25.search(engine.index, queries, depth), k)
+    base = metrics.evaluate(queries, relevant, engine.keywords(queries, depth), k)
     both = metrics.evaluate(queries, relevant, engine.search(queries, depth), k)
     return metrics.compare(base, both), base, both
 

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
+from ..lineage import Workspace
 from ..operators import bm25, corpus, crawl, dense, fusion, generate, index, metrics
+from ..sources import readers, sinks
 from .search import HybridSearch
 
 
@@ -27,6 +29,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_INDEXES: dict[tuple, index.Index] = {}
+
+
+def _index(spark, sf_dir, fields: tuple[str, ...] = index.FIELDS) -> index.Index:
+    """One built index for each set of tables and session: queries of the same corpus share it."""
+    key = (spark.sparkContext.applicationId, sf_dir, fields)
+    if key not in _INDEXES:
+        _INDEXES[key] = index.build_index(articles(spark, sf_dir), fields)
+    return _INDEXES[key]
+
+
 def _sha(c: Column) -> Column:
     return F.sha2(F.encode(c, "UTF-8"), 256)
 
@@ -48,25 +61,25 @@ def query_rewrite(spark, sf_dir):
 
 
 def index_postings(spark, sf_dir):
-    return index.build_index(articles(spark, sf_dir)).postings.select("field", "term", "doc_id", "tf", "dl")
+    return _index(spark, sf_dir).postings.select("field", "term", "doc_id", "tf", "dl")
 
 
 def index_terms(spark, sf_dir):
-    return index.build_index(articles(spark, sf_dir)).term_stats.select("field", "term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf_dir).term_stats.select("field", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 def index_fields(spark, sf_dir):
-    return index.build_index(articles(spark, sf_dir)).field_stats.select("field", F.col("n").cast("long").alias("n"), F.round("avgdl", 6).alias("avgdl"))
+    return _index(spark, sf_dir).field_stats.select("field", F.col("n").cast("long").alias("n"), F.round("avgdl", 6).alias("avgdl"))
 
 
 def _plain(spark, sf_dir, field: str, top_k: int) -> DataFrame:
-    docs, terms = articles(spark, sf_dir), bm25.query_terms(questions(spark, sf_dir), X.clean_tokens)
-    return bm25.search(index.build_index(docs, (field,)), questions(spark, sf_dir), top_k, {field: 1.0}, terms=terms).select("query_id", "rank", "doc_id", "score")
+    terms = bm25.query_terms(questions(spark, sf_dir), X.clean_tokens)
+    return bm25.search(_index(spark, sf_dir), questions(spark, sf_dir), top_k, {field: 1.0}, terms=terms).select("query_id", "rank", "doc_id", "score")
 
 
 def bm25_topk(spark, sf_dir):
     terms = bm25.query_terms(questions(spark, sf_dir), X.clean_tokens)
-    return bm25.search(index.build_index(articles(spark, sf_dir)), questions(spark, sf_dir), 10, terms=terms)
+    return bm25.search(_index(spark, sf_dir), questions(spark, sf_dir), 10, terms=terms)
 
 
 def bm25_text_topk(spark, sf_dir):
@@ -194,16 +207,125 @@ def embedding_match(spark, sf_dir):
     return metrics.embedding_match(_pairs(spark, sf_dir), dense.hashing_encoder(64))
 
 
-def hybrid_search(spark, sf_dir):
+def _engine(spark, sf_dir, **options) -> HybridSearch:
     docs = articles(spark, sf_dir)
     vectors = dense.encode(docs.select("doc_id", "text"), "text", encoder=dense.hashing_encoder(64)).select("doc_id", "embedding")
-    engine = HybridSearch(index.build_index(docs), vectors, dense.hashing_encoder(64))
-    return engine.search(questions(spark, sf_dir), 5).select("query_id", "rank", "doc_id", "score", "bm25_rank", "bm25_score", "dense_rank", "dense_score", "topic", "title")
+    return HybridSearch(_index(spark, sf_dir), vectors, dense.hashing_encoder(64), **options)
+
+
+def hybrid_search(spark, sf_dir):
+    """Both sides, fused; a missing rank is 0."""
+    out = _engine(spark, sf_dir).search(questions(spark, sf_dir), 5)
+    return out.select("query_id", "rank", "doc_id", "score", F.coalesce("bm25_rank", F.lit(0)).alias("bm25_rank"), "bm25_score", F.coalesce("dense_rank", F.lit(0)).alias("dense_rank"), "dense_score", "topic", "title")
+
+
+def hybrid_metadata(spark, sf_dir):
+    """What is shown comes from the BM25 side's store or, for hits of the dense side alone, from its own, where the topic is the language."""
+    own = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("topic"), F.lit("").alias("title"), "text")
+    out = _engine(spark, sf_dir, dense_store=own).search(questions(spark, sf_dir), 10)
+    return out.select("query_id", "rank", "doc_id", "topic", "title", _sha(F.col("text")).alias("text_sha256"))
+
+
+#: Surfaces that the tables have, with lemmas made for them.
+LEXICON = {"v": {"tion": "tio", "onth": "on", "thed": "the", "ander": "and"}, "n": {"tion": "ti", "tions": "tion", "ands": "and", "ering": "er", "dans": "dan", "sch": "schu", "eau": "eaux"}}
+
+
+def lexicon_text(spark, sf_dir):
+    out = table(spark, sf_dir, "documents").select("doc_id", X.clean_tokens(F.col("text"), LEXICON).alias("t"))
+    return out.select("doc_id", F.size("t").cast("long").alias("n_tokens"), _sha(F.array_join("t", " ")).alias("cleaned_sha256"))
+
+
+def lexicon_table_text(spark, sf_dir):
+    """The same by a lexicon in a table."""
+    words = spark.createDataFrame([(pos, s, lemma) for pos, own in LEXICON.items() for s, lemma in own.items()], "pos string, surface string, lemma string")
+    out = X.lemmatize_table(table(spark, sf_dir, "documents").select("doc_id", X.clean_tokens(F.col("text")).alias("t")), "t", "doc_id", words)
+    return out.select("doc_id", F.size("t").cast("long").alias("n_tokens"), _sha(F.array_join("t", " ")).alias("cleaned_sha256"))
+
+
+def csv_round_trip(spark, sf_dir):
+    """Documents written as CSV and read again: quotes and line breaks stay."""
+    path = Workspace(spark, "csv").path("documents")
+    sinks.write_csv(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), path)
+    return readers.read_csv(spark, path).select(F.col("doc_id").cast("long").alias("doc_id"), "source", _sha(F.col("text")).alias("text_sha256"))
+
+
+def gold_round_trip(spark, sf_dir):
+    """A gold set as a JSON array, read with its ids in file order."""
+    path = Workspace(spark, "gold").path("queries")
+    gold = questions(spark, sf_dir).join(_gold(spark, sf_dir), "query_id", "left").groupBy("query_id", "query").agg(F.sort_array(F.collect_list("doc_id")).alias("relevant"))
+    every = gold.agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("query_id", "query", "relevant"))), lambda x: F.struct(x["query"].alias("query"), x["relevant"].alias("relevant"))))).coalesce(1)  # a gold set is one file
+    every.write.mode("overwrite").text(path)
+    return readers.read_gold_queries(spark, path).select("query_id", "query", F.array_join(F.col("relevant").cast("array<string>"), ",").alias("relevant"))
+
+
+def pages_round_trip(spark, sf_dir):
+    """Pages as they are kept, with file name and host."""
+    path = Workspace(spark, "pages").path("pages")
+    sinks.write_pages(table(spark, sf_dir, "pages"), path)
+    return spark.read.parquet(path).select("page_id", "slug", "host", _sha(F.col("html")).alias("html_sha256"))
+
+
+def index_round_trip(spark, sf_dir):
+    """A saved index, loaded and asked."""
+    path = Workspace(spark, "saved").path("bm25")
+    index.save_index(_index(spark, sf_dir), path)
+    terms = bm25.query_terms(questions(spark, sf_dir), X.clean_tokens)
+    return bm25.search(index.load_index(spark, path), questions(spark, sf_dir), 10, terms=terms)
+
+
+def dense_round_trip(spark, sf_dir):
+    """Saved embeddings, read and searched."""
+    path = Workspace(spark, "saved").path("embeddings")
+    sinks.write_table(_embeddings(spark, sf_dir), path)
+    data = spark.read.parquet(path)
+    return dense.search(data, data.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), 10)
+
+
+def rouge_means(spark, sf_dir):
+    """Mean scores over all pairs."""
+    each = [metrics.rouge_n(_pairs(spark, sf_dir), n).select(F.lit(f"rouge{n}").alias("metric"), "precision", "recall", "f") for n in (1, 2)]
+    return each[0].unionAll(each[1]).groupBy("metric").agg(*(F.round(F.avg(c), 4).alias(c) for c in ("precision", "recall", "f")))
+
+
+def answer_quality(spark, sf_dir):
+    """Grounded answers without a generator, scored against their questions."""
+    hits = bm25.with_store(_plain(spark, sf_dir, "text", 3), _index(spark, sf_dir))
+    answers = generate.summarize(questions(spark, sf_dir), hits)
+    pairs = questions(spark, sf_dir).join(answers, "query_id").select(F.col("query_id").alias("pair_id"), F.col("answer").alias("prediction"), F.col("query").alias("reference"))
+    return metrics.rouge_n(pairs, 1)
+
+
+def relevant_ids(spark, sf_dir):
+    """Each query's relevant ids in order."""
+    gold = _gold(spark, sf_dir).groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    return questions(spark, sf_dir).join(gold, "query_id", "left").select("query_id", F.coalesce(F.array_join(F.col("ids").cast("array<string>"), ","), F.lit("")).alias("relevant"))
+
+
+ROBOTS = b"User-agent: *\nAllow: /fr/1\nDisallow: /fr/\nDisallow: /de\n"
+
+
+def robots_allowed(spark, sf_dir):
+    """What a robots file lets be fetched."""
+    rules = readers.robots_rules("https://any.example.com/", fetcher=lambda url, timeout: (200, "text/plain", ROBOTS))
+    return table(spark, sf_dir, "pages").select("page_id", readers.allowed(F.col("url"), rules).alias("allowed"))
+
+
+def crawl_chain(spark, sf_dir):
+    """Each conversation as a site whose pages link to the next two turns; its fourth page names the second as its canonical form."""
+    talk = table(spark, sf_dir, "conversations")
+    at = lambda t: F.concat(F.lit("/c"), F.col("conv_id"), F.lit("/"), t)
+    text = F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    canonical = at(F.when(F.col("turn") == 3, F.lit(1)).otherwise(F.col("turn")))
+    html = F.concat(F.lit('<link rel="canonical" href="'), canonical, F.lit('"><article><p>'), text, F.lit('</p></article><a href="'), at(F.col("turn") + 1), F.lit('">next</a><a href="'), at(F.col("turn") + 2), F.lit('">after</a>'))
+    pages = talk.select("turn", F.concat(F.lit("https://talk.example.com"), at(F.col("turn"))).alias("url"), html.alias("html"))
+    out = crawl.crawl(pages.where("turn = 0").select("url"), pages.select("url", "html"))
+    return out.select("seed_url", "url", "depth", F.coalesce("parent_url", F.lit("")).alias("parent_url"), "article_hash")
 
 
 NAMES = (
     clean_text, corpus_texts, query_rewrite, index_postings, index_terms, index_fields, bm25_topk, bm25_text_topk, dense_topk, embedding_norms, rrf_hybrid, rrf_many, ir_metrics, ir_compare,
     ir_compare_queries, dedup_text, token_lengths, url_forms, page_links, html_articles, html_blocks, crawl_pages, prompt_contexts, fallback_answers, markdown_html, rouge1, rouge2, rouge_stemmed, embedding_match, hybrid_search,
+    hybrid_metadata, lexicon_text, lexicon_table_text, csv_round_trip, gold_round_trip, pages_round_trip, index_round_trip, dense_round_trip, rouge_means, answer_quality, relevant_ids, robots_allowed, crawl_chain,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in NAMES}
 
@@ -224,7 +346,7 @@ SPACE_SQL = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
 TITLE_SQL = "split_part(text, chr(10), 1)"
 
 
-def _index_sql(fields: tuple[str, ...]) -> str:
+def _index_sql(fields: tuple[str, ...], asked: str | None = None) -> str:
     columns = {"topic": "source", "title": TITLE_SQL, "text": "text"}
     tokens = " UNION ALL ".join(f"SELECT '{f}' AS field, doc_id, {_tokens_sql(columns[f])} AS tokens FROM documents" for f in fields)
     return f"""
@@ -232,7 +354,7 @@ tokens AS MATERIALIZED ({tokens}),
 field_stats AS (SELECT field, count(*) AS n, coalesce(avg(len(tokens)), 0) AS avgdl FROM tokens GROUP BY field),
 postings AS MATERIALIZED (SELECT field, doc_id, dl, term, count(*) AS tf FROM (SELECT field, doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM tokens) GROUP BY ALL),
 terms AS (SELECT field, term, count(*) AS df, ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM postings JOIN field_stats USING (field) GROUP BY field, term),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens_sql("text")}) AS term FROM benchmark),
+asked AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest({asked or _tokens_sql("text")}) AS term FROM benchmark)),
 scores AS (
   SELECT query_id, doc_id, field, sum(idf * tf * 2.5 / (tf + 1.5 * (1 - 0.3 + 0.3 * dl / avgdl))) AS s
   FROM asked JOIN postings USING (term) JOIN terms USING (field, term) JOIN field_stats USING (field) GROUP BY ALL
@@ -269,20 +391,75 @@ def _rewrite_sql(c: str) -> str:
     return f"replace({out}, chr(1), '')"
 
 
-def _rouge_sql(n: int) -> str:
+TURNS_SQL = """pairs AS (
+  SELECT concat_ws('-', a.conv_id, a.turn) AS pair_id, b.text AS prediction, a.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
+)"""
+
+
+def _rouge_sql(n: int, pairs: str = TURNS_SQL) -> str:
     words = "[t FOR t IN string_split(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'), ' ') IF t <> '']"
     gram = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(n))
     side = lambda c: f"SELECT pair_id, g, count(*) AS c FROM (SELECT pair_id, unnest([{gram} FOR i IN range(1, len(w) - {n - 2})]) AS g FROM (SELECT pair_id, {words.format(c=c)} AS w FROM pairs)) GROUP BY ALL"
     return f"""
-WITH pairs AS (
-  SELECT concat_ws('-', a.conv_id, a.turn) AS pair_id, b.text AS prediction, a.text AS reference FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
-), x AS ({side("prediction")}), y AS ({side("reference")}),
+WITH {pairs}, x AS ({side("prediction")}), y AS ({side("reference")}),
 m AS (SELECT pair_id, coalesce((SELECT sum(least(x.c, y.c)) FROM x JOIN y USING (pair_id, g) WHERE x.pair_id = p.pair_id), 0) AS m, coalesce((SELECT sum(c) FROM x WHERE x.pair_id = p.pair_id), 0) AS np, coalesce((SELECT sum(c) FROM y WHERE y.pair_id = p.pair_id), 0) AS nr FROM pairs p),
 v AS (SELECT pair_id, m / greatest(np, 1) AS p, m / greatest(nr, 1) AS r FROM m)
 SELECT pair_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f FROM v"""
 
 
+def _lexicon_sql() -> str:
+    """Tokens with their lemmas: as a verb, or failing that as a noun."""
+    case = lambda own: " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in own.items())
+    lemma = f"CASE WHEN regexp_matches(t, '[-0-9]') THEN t ELSE CASE t {case(LEXICON['n'] | LEXICON['v'])} ELSE t END END"
+    return f"SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string([{lemma} FOR t IN t], ' ')) AS cleaned_sha256 FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)"
+
+
+def _vectors_sql(name: str, rows: str, dims: int = 64) -> str:
+    """Unit vectors of hashed words as (id, b, x): what the hashing encoder gives."""
+    return f"""{name}_w AS (SELECT id, md5(w) AS h FROM (SELECT id, unnest(string_split(trim(regexp_replace(lower(t), '{SPACE_SQL}', ' ', 'g')), ' ')) AS w FROM ({rows})) WHERE w <> ''),
+{name}_s AS (SELECT id, ('0x' || substr(h, 1, 7))::BIGINT % {dims} AS b, sum(CASE WHEN substr(h, 8, 1) > '7' THEN 1 ELSE -1 END) AS x FROM {name}_w GROUP BY ALL),
+{name} AS (SELECT id, b, (x::FLOAT / greatest(sqrt(sum(x * x) OVER (PARTITION BY id))::FLOAT, 1e-12::FLOAT))::DOUBLE AS x FROM {name}_s)"""
+
+
+def _hybrid_sql(k: int, fused: str, order: str) -> str:
+    instruction = dense.INSTRUCTION.replace("'", "''")
+    docs, asked = "SELECT doc_id AS id, coalesce(text, '') AS t FROM documents", f"SELECT item_id AS id, '{instruction}' || text AS t FROM benchmark"
+    return f"""WITH {_index_sql(("topic", "title", "text"), _tokens_sql(f"({_rewrite_sql('text')})"))}, wide AS (
+  SELECT query_id, doc_id, coalesce(sum(s) FILTER (field = 'topic'), 0) AS a, coalesce(sum(s) FILTER (field = 'title'), 0) AS b, coalesce(sum(s) FILTER (field = 'text'), 0) AS c FROM scores GROUP BY ALL),
+a AS (SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+  FROM (SELECT query_id, doc_id, round(3.0::DOUBLE * a + 2.0::DOUBLE * b + 3.0::DOUBLE * c, 6) AS score FROM wide)) WHERE rank <= 50),
+{_vectors_sql("dv", docs)}, {_vectors_sql("qv", asked)},
+near AS (SELECT q.id AS query_id, d.id AS doc_id, round(sum(q.x * d.x), 6) AS score FROM qv q JOIN dv d USING (b) GROUP BY ALL),
+b AS (SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+  FROM (SELECT item_id AS query_id, d.doc_id, coalesce(n.score, 0) AS score FROM benchmark CROSS JOIN documents d LEFT JOIN near n ON n.query_id = item_id AND n.doc_id = d.doc_id)) WHERE rank <= 50),
+{fused},
+top AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id {order}))::INT AS rank FROM fused) WHERE rank <= {k})"""
+
+
+def _match_sql() -> str:
+    """Greedy matching of hashed words: two are 1 alike, or -1, in one of 64 buckets, and 0 in two."""
+    tokens = "[t FOR t IN string_split(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'), ' ') IF t <> '']"
+    side = lambda n, c: f"{n} AS (SELECT pair_id, i, ('0x' || substr(h, 1, 7))::BIGINT % 64 AS b, CASE WHEN substr(h, 8, 1) > '7' THEN 1 ELSE -1 END AS s FROM (SELECT pair_id, i, md5(w[i]) AS h FROM (SELECT pair_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT pair_id, {tokens.format(c=c)} AS w FROM pairs))))"
+    best = lambda x, y, n: f"{n} AS (SELECT pair_id, avg(m) AS v FROM (SELECT x.pair_id, x.i, max(CASE WHEN x.b = y.b THEN x.s * y.s ELSE 0 END) AS m FROM {x} x JOIN {y} y ON x.pair_id = y.pair_id GROUP BY ALL) GROUP BY pair_id)"
+    return f"""WITH {TURNS_SQL}, {side("p", "prediction")}, {side("r", "reference")}, {best("p", "r", "pm")}, {best("r", "p", "rm")},
+v AS (SELECT pair_id, coalesce(pm.v, 0) AS x, coalesce(rm.v, 0) AS y FROM pairs LEFT JOIN pm USING (pair_id) LEFT JOIN rm USING (pair_id))
+SELECT pair_id, round(x, 6) AS precision, round(y, 6) AS recall, round(CASE WHEN x + y <> 0 THEN 2 * x * y / (x + y) ELSE 0 END, 6) AS f FROM v"""
+
+
+def _plain_html_sql(c: str) -> str:
+    """The text of simple markup: tags as spaces, character references decoded."""
+    out = f"regexp_replace({c}, '<[^>]*>', ' ', 'g')"
+    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+        out = f"replace({out}, '{ref}', '{char}')"
+    return f"trim(regexp_replace({out}, '{SPACE_SQL}', ' ', 'g'))"
+
+
 def oracle() -> dict[str, str]:
+    found = _oracle()
+    return found | {"index_round_trip": found["bm25_topk"], "dense_round_trip": found["dense_topk"]}
+
+
+def _oracle() -> dict[str, str]:
     three = _index_sql(("topic", "title", "text"))
     text = _index_sql(("text",))
     two = _index_sql(("title", "text"))
@@ -300,6 +477,9 @@ def oracle() -> dict[str, str]:
     path = "regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)"
     trimmed = f"CASE WHEN rtrim({path}, '/') = '' THEN '/' ELSE rtrim({path}, '/') END"
     slug = "replace(trim(p, '/'), '/', '_')"
+    article = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+    answer = f"CASE WHEN h.text IS NULL THEN '{generate.NOTHING}' ELSE '{generate.UNAVAILABLE.replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10) || substr(h.text, 1, 500) END"
+    text_and_title = two
     return {
         "clean_text": f"SELECT doc_id, len(t)::BIGINT AS n_tokens, sha256(array_to_string(t, ' ')) AS cleaned_sha256 FROM (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents)",
         "corpus_texts": f"""
@@ -332,9 +512,33 @@ FROM (SELECT page_id, url, {netloc} AS h, {trimmed} AS p, {path} AS raw FROM pag
         "page_links": f"""SELECT DISTINCT url, 'https://' || {netloc} || CASE WHEN rtrim(l, '/') = '' THEN '/' ELSE rtrim(l, '/') END AS link
 FROM (SELECT url, unnest(regexp_extract_all(html, '<a href="(/[^"?#]*)', 1)) AS l FROM pages)""",
         "prompt_contexts": f"WITH {text},\n{_plain_sql('hits', 'text', 3)} SELECT query_id, string_agg({block}, chr(10) || '---' || chr(10) ORDER BY rank) AS context FROM {shown} GROUP BY query_id",
-        "fallback_answers": f"WITH {text},\n{_plain_sql('hits', 'text', 3)} SELECT item_id AS query_id, CASE WHEN h.text IS NULL THEN '{generate.NOTHING}' ELSE '{generate.UNAVAILABLE.replace(chr(39), chr(39) * 2)}' || chr(10) || chr(10) || substr(h.text, 1, 500) END AS answer FROM benchmark b LEFT JOIN (SELECT query_id, text FROM {shown} WHERE rank = 1) h ON h.query_id = item_id",
+        "fallback_answers": f"WITH {text},\n{_plain_sql('hits', 'text', 3)} SELECT item_id AS query_id, {answer} AS answer FROM benchmark b LEFT JOIN (SELECT query_id, text FROM {shown} WHERE rank = 1) h ON h.query_id = item_id",
         "markdown_html": r"""SELECT conv_id, turn, replace(regexp_replace(regexp_replace(regexp_replace(e, '(?s)\*\*\*(.*?)\*\*\*', '<strong><em>\1</em></strong>', 'g'), '(?s)\*\*(.*?)\*\*', '<strong>\1</strong>', 'g'), '(?s)\*(.*?)\*', '<em>\1</em>', 'g'), chr(10), '<br>') AS html
 FROM (SELECT conv_id, turn, replace(replace(replace(replace(replace('**' || role || '** & *<' || text || '>* ***''x''***', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '"', '&#34;') AS e FROM conversations)""",
+        "rrf_many": f"""WITH {text_and_title},\n{_plain_sql('a', 'text', 50)},\n{_plain_sql('b', 'title', 50)},
+lists AS (SELECT query_id, doc_id, rank, 0 AS list FROM a UNION ALL SELECT query_id, doc_id, rank, 1 FROM b),
+raw AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS raw, min(list * 1000 + rank) AS first FROM lists GROUP BY ALL)
+SELECT * FROM (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 12) DESC, first, doc_id))::INT AS rank, doc_id, round(raw, 6) AS score FROM raw) WHERE rank <= 10""",
+        "hybrid_search": f"{_hybrid_sql(5, fused, order)} SELECT query_id, top.rank, doc_id, round(raw, 6) AS score, coalesce(bm25_rank, 0) AS bm25_rank, bm25_score, coalesce(dense_rank, 0) AS dense_rank, dense_score, source AS topic, {TITLE_SQL} AS title FROM top JOIN documents USING (doc_id)",
+        "hybrid_metadata": f"{_hybrid_sql(10, fused, order)} SELECT query_id, top.rank, doc_id, CASE WHEN bm25_rank IS NULL THEN lang ELSE source END AS topic, CASE WHEN bm25_rank IS NULL THEN '' ELSE {TITLE_SQL} END AS title, sha256(text) AS text_sha256 FROM top JOIN documents USING (doc_id)",
+        "embedding_match": _match_sql(),
+        "lexicon_text": _lexicon_sql(),
+        "lexicon_table_text": _lexicon_sql(),
+        "csv_round_trip": "SELECT doc_id, coalesce(source, '') AS source, sha256(coalesce(text, '')) AS text_sha256 FROM documents",
+        "gold_round_trip": f"WITH {GOLD_SQL} SELECT row_number() OVER (ORDER BY item_id) - 1 AS query_id, text AS query, coalesce((SELECT string_agg(doc_id, ',' ORDER BY doc_id) FROM gold WHERE query_id = item_id), '') AS relevant FROM benchmark",
+        "pages_round_trip": f"SELECT page_id, h || '__' || substr(CASE WHEN {slug} = '' THEN 'index' ELSE {slug} END, 1, 100) || '__' || substr(sha1('https://' || h || p), 1, 8) AS slug, regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1) AS host, sha256(html) AS html_sha256 FROM (SELECT page_id, url, html, {netloc} AS h, {trimmed} AS p FROM pages)",
+        "rouge_means": " UNION ALL ".join(f"SELECT 'rouge{n}' AS metric, round(avg(precision), 4) AS precision, round(avg(recall), 4) AS recall, round(avg(f), 4) AS f FROM ({_rouge_sql(n)})" for n in (1, 2)),
+        "answer_quality": _rouge_sql(1, f"""{text},\n{_plain_sql('hits', 'text', 3)}, pairs AS (SELECT item_id AS pair_id, {answer} AS prediction, b.text AS reference FROM benchmark b LEFT JOIN (SELECT query_id, text FROM {shown} WHERE rank = 1) h ON h.query_id = item_id)"""),
+        "relevant_ids": f"WITH {GOLD_SQL} SELECT item_id AS query_id, coalesce((SELECT string_agg(doc_id, ',' ORDER BY doc_id) FROM gold WHERE query_id = item_id), '') AS relevant FROM benchmark",
+        "robots_allowed": f"SELECT page_id, starts_with(p, '/fr/1') OR NOT (starts_with(p, '/fr/') OR starts_with(p, '/de')) AS allowed FROM (SELECT page_id, {path} AS p FROM pages)",
+        "crawl_chain": f"""SELECT 'https://talk.example.com/c' || conv_id || '/0' AS seed_url, 'https://talk.example.com/c' || conv_id || '/' || turn AS url, depth, CASE WHEN parent >= 0 THEN 'https://talk.example.com/c' || conv_id || '/' || parent ELSE '' END AS parent_url,
+  sha256(trim(regexp_replace(text, '{SPACE_SQL}', ' ', 'g'))) AS article_hash
+FROM conversations JOIN (VALUES (0, 0, -1), (1, 1, 0), (2, 1, 0), (4, 2, 2), (5, 3, 4), (6, 3, 4), (7, 4, 5)) AS place(turn, depth, parent) USING (turn)""",
+        "crawl_pages": f"""SELECT u AS seed_url, u AS url, 0 AS depth, NULL::VARCHAR AS parent_url, sha256({_plain_html_sql(article)}) AS article_hash FROM (SELECT DISTINCT 'https://' || {netloc} || {trimmed} AS u, html FROM pages)""",
+        "html_articles": f"""SELECT page_id, NULL::VARCHAR AS canonical, sha256({_plain_html_sql(article)}) AS article_hash, len(list_distinct(regexp_extract_all(html, '<a href="([^"#]+)"', 1)))::INT AS n_links FROM pages""",
+        "html_blocks": f"""WITH parts AS (SELECT page_id, {_plain_html_sql(f"regexp_extract({article}, '(?s)<h1>(.*?)</h1>', 1)")} AS title, {_plain_html_sql(f"regexp_replace({article}, '(?s)<h1>.*?</h1>', '')")} AS text FROM pages),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY page_id) AS r FROM parts WHERE title <> '' AND text <> '')
+SELECT row_number() OVER (ORDER BY page_id) - 1 AS doc_id, '' AS topic, title, '' AS section, text FROM firsts WHERE r = 1""",
         "rouge1": _rouge_sql(1),
         "rouge2": _rouge_sql(2),
     }

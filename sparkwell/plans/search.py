@@ -2,35 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_query
 from ..operators import bm25, dense, fusion, generate
 from ..operators.index import Index
 
 
 @dataclass(frozen=True)
 class HybridSearch:
-    """BM25 and dense candidates, fused. ``embeddings`` has (doc_id, embedding)."""
+    """BM25 and dense candidates, fused. ``embeddings`` has (doc_id, embedding).
+
+    ``lexicon``: the one that the index was built with, so that queries and documents are
+    cleaned alike. ``dense_store``: (doc_id and what is shown) of the dense side's rows, for
+    hits that the index's store lacks; without it the store serves both.
+    """
 
     index: Index
     embeddings: DataFrame
     encoder: dense.Encoder | None = None
     config: fusion.FusionConfig = field(default_factory=fusion.FusionConfig)
+    lexicon: Mapping[str, Mapping[str, str]] | None = None
+    dense_store: DataFrame | None = None
+
+    def keywords(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
+        """BM25 alone, of queries cleaned as the documents were."""
+        return bm25.search(self.index, queries, top_k, tokenize=lambda c: F.split(clean_query(c, self.lexicon), " "))
 
     def sides(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The two candidate lists of (query_id, query); a blank query has none on either side."""
         asked = queries.where(F.trim(F.coalesce("query", F.lit(""))) != "")
-        left = bm25.search(self.index, asked, self.config.candidates)
+        left = self.keywords(asked, self.config.candidates)
         vectors = dense.encode(asked.select("query_id", "query"), "query", encoder=self.encoder, instruction=dense.INSTRUCTION)
         return left, dense.search(self.embeddings, vectors, self.config.candidates)
 
     def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """Each query's hits with both ranks and scores, and what is shown of them."""
-        left, right = self.sides(queries)
-        return bm25.with_store(fusion.hybrid(left, right, top_k, self.config), self.index)
+        fused = fusion.hybrid(*self.sides(queries), top_k, self.config)
+        shown = ("topic", "title", "section", "text", "raw_document")
+        if self.dense_store is None:
+            return bm25.with_store(fused, self.index, shown)
+        left = bm25.with_store(fused.where("bm25_rank IS NOT NULL").select("query_id", "doc_id"), self.index, shown)
+        own = [c for c in shown if c in self.dense_store.columns]
+        right = fused.where("dense_rank IS NOT NULL").select("query_id", "doc_id").join(self.dense_store.select("doc_id", *own), "doc_id", "left")
+        return fusion.with_metadata(fused, left, right)
 
     def answer(self, queries: DataFrame, top_k: int = 5, generator: generate.Generator | None = None) -> DataFrame:
         """(query_id, answer)."""
