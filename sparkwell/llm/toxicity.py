@@ -203,11 +203,9 @@ def _train(x, y, swapped, at, terms, prior, swap_weight, l2, rounds):
     return w.astype(np.float64), float(b)
 
 
-def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on)."""
+def _scored(docs: DataFrame, model: ToxicityModel, text: str) -> Column:
     small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    source = col(docs, text)
 
     @F.arrow_udf(T.DoubleType())
     def scored(texts: pa.Array) -> pa.Array:
@@ -216,5 +214,15 @@ def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold:
         tidy()
         return pa.array(scores, pa.float64())
 
-    base = docs.withColumn("score", scored(source))
+    return scored(col(docs, text))
+
+
+def score(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from ``threshold`` on)."""
+    base = docs.withColumn("score", _scored(docs, model, text))
     return base.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score below ``threshold``, with all their columns and no others."""
+    return docs.where(_scored(docs, model, text) < threshold)

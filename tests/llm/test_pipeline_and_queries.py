@@ -78,6 +78,76 @@ def test_each_stage_does_its_part(spark, small):
     assert ids(docs) - ids(free) == {300} and free.columns == columns
 
 
+def test_columns_of_any_names_pass_the_stages(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    extra = ("score", "predicted", "n_lines", "n_dropped", "component_id", "kept", "id", "ids", "a.b", "__gone", "item_id")
+    odd = docs.selectExpr("*", *(f"concat('{c}', doc_id) AS `{c}`" for c in extra))
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, odd, small)
+        assert out.columns == odd.columns, name
+        rows = out.toDF(*(f"c{i}" for i in range(len(odd.columns)))).collect()
+        assert rows and all(r[len(docs.columns) + k] == (f"{c}{r[0]}" if r[0] is not None else None) for r in rows for k, c in enumerate(extra)), name
+    assert P.STAGES[-1][1](spark, odd, small).count() == odd.count()
+
+
+def brute_stages(docs, benchmark, toxic):
+    """What should be left of (doc_id, text) rows after the first four stages, by plain Python."""
+    from .test_decontaminate import brute as leaks
+    from .test_line_dedup import brute as lined
+    from .test_near_dedup import brute as groups
+
+    left = [(i, t) for i, t in docs if not toxic(t)]
+    left = [(i, t) for i, t, _, _ in lined(left)]
+    kept = groups({i: t for i, t in left if i is not None})
+    left = [(i, t) for i, t in left if i is None or kept[i][2]]
+    gone = {i for i, _ in leaks(left, benchmark)}
+    return {(i, t) for i, t in left if i is None or i not in gone}
+
+
+def test_run_equals_brute_force(spark, small):
+    """The whole pipeline: rows that stay, with the library's ids of their texts."""
+    import base64
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from sparkwell.llm import toxicity
+
+    docs, labels, items = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels", "benchmark"))
+    model = toxicity.fit(docs, labels)
+    want = brute_stages([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()], lambda t: model.score(t) >= 0.5)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    digest = lambda t: hashlib.sha256(" ".join(map(str, library.encode_ordinary(t or ""))).encode()).hexdigest()
+    got = [(r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in P.run(spark, small).collect()]
+    assert sorted(got, key=repr) == sorted(((i, len(library.encode_ordinary(t or "")), digest(t), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in want), key=repr)
+
+
+@needs_tables
+def test_sharding_by_brute_force(spark):
+    """The law of op6: sizes near equal, gapless slots, equal texts together, sizes and checksums of whole texts."""
+    import zlib
+    from collections import Counter, defaultdict
+
+    path = DIR.replace("0.001", "0.01")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    rows = QUERIES["op6_sharding"](spark, path).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(texts.keys())
+    shards, places, homes = Counter(), defaultdict(list), defaultdict(set)
+    for r in rows:
+        t = texts[r["doc_id"]]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(t) + 1, zlib.crc32(t), "bytes", None) and 0 <= r["shard"] < 8
+        shards[r["shard"]] += r["size"]
+        places[r["shard"]].append(r["slot"])
+        homes[t].add(r["shard"])
+    mean = sum(shards.values()) / 8
+    heaviest = max(n * (len(t) + 1) for t, n in Counter(texts.values()).items())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values()) and len(shards) == 8
+    assert max(abs(v - mean) for v in shards.values()) <= 0.05 * mean + heaviest and all(len(h) == 1 for h in homes.values())
+
+
 def test_run(spark, small):
     assert [n for n, _ in P.STAGES] == ["toxicity", "line dedup", "near dedup", "decontamination", "byte BPE"]
     rows = {r["doc_id"]: r for r in P.run(spark, small).collect()}
