@@ -6,7 +6,8 @@ but the last return the columns of ``documents``.
 
 Nulls and odd inputs: rows with a null id pass the filters that work by id; a null text is
 empty once lines have been filtered; of several rows with one id, all stay or all go. Empty
-tables give empty results. Columns beyond those of ``documents`` are dropped by the last stage alone.
+tables give empty results. Columns beyond those of ``documents``, whatever their names, pass all
+stages as they are and are dropped by the last alone.
 """
 
 from __future__ import annotations
@@ -16,32 +17,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkwell.llm import byte_bpe, toxicity
-from sparkwell.llm.common import Workspace
+from sparkwell.llm.common import Workspace, col
 from sparkwell.llm.decontaminate import decontaminate
 from sparkwell.llm.line_dedup import dedup_lines
 from sparkwell.llm.near_dedup import dedup_near
 
 
+def _by_place(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` under names that clash with nothing, and those of the text and the id."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")], names[docs.columns.index("doc_id")]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't take for toxic; it learns from ``labels`` outside the held-out fifth."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    return toxicity.without_toxic(docs, model)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that five or more documents share; ``n_chars`` follows the text."""
-    out = dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    plain, text, doc_id = _by_place(docs)
+    out = dedup_lines(plain, text, doc_id).select(*plain.columns).toDF(*docs.columns)
+    return out.select(*(F.length(col(out, "text")).cast("long").alias(c) if c == "n_chars" else col(out, c) for c in docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    return dedup_near(docs).select(*docs.columns)
+    plain, text, doc_id = _by_place(docs)
+    return dedup_near(plain, text, doc_id).select(*plain.columns).toDF(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of ``benchmark``."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    plain, text, doc_id = _by_place(docs)
+    return decontaminate(plain, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), text, doc_id).select(*plain.columns).toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
