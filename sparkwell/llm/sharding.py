@@ -23,6 +23,7 @@ from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,6 +58,15 @@ def _histogram(rows: DataFrame, value: str, bits: int) -> list[tuple[int, int, i
     return sorted((r["bin"], r["size"], r["n"]) for r in found)
 
 
+def _inside(rows: DataFrame, value: str, bits: int, bins: list[int]) -> DataFrame:
+    """The rows of these bins; many bins are sent as a table, not as literals of the plan."""
+    own = F.shiftright(value, bits)
+    if len(bins) <= 1000:
+        return rows.where(own.isin(bins))
+    wanted = rows.sparkSession.createDataFrame(pd.DataFrame({"__bin": np.array(bins, np.int64)}))
+    return rows.join(F.broadcast(wanted), own == F.col("__bin"), "left_semi")  # as many as boundaries
+
+
 def _refine(rows: DataFrame, value: str, targets: dict[int, tuple[float, float]], below: tuple[int, int], width: int = 64) -> tuple[dict[int, tuple[int, int, int]], dict[int, tuple[int, int, int, int, int]]]:
     """Find, for each target (bytes below, tolerance), a boundary of ``value``, whose values differ in the lowest ``width`` bits alone.
 
@@ -69,7 +79,7 @@ def _refine(rows: DataFrame, value: str, targets: dict[int, tuple[float, float]]
     while open_:
         step = max(2, min(STEP_BITS, (MAX_BINS // len(open_)).bit_length() - 1))
         bits = max(0, open_[0][1] - step)
-        scope = rows if open_[0][0] is None else rows.where(F.shiftright(value, open_[0][1]).isin([o[0] for o in open_]))
+        scope = rows if open_[0][0] is None else _inside(rows, value, open_[0][1], [o[0] for o in open_])
         bins = _histogram(scope, value, bits)
         later: dict[int, tuple[int, int, tuple[int, int], list[int]]] = {}
         for parent, width, (base, n_base), names in open_:
@@ -146,7 +156,7 @@ def range_of(key: Column, id_: Column, cuts: list[Boundary], spark: SparkSession
 
 
 def shard_by_bytes(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shards: int = 8, tolerance: float = 0.02, part_bytes: int = 32 << 20, max_ranges: int = 16_384
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", *, shards: int = 8, tolerance: float = 0.02, part_bytes: int = 16 << 20, max_ranges: int = 1 << 18
 ) -> DataFrame:
     """``docs`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (the row's place in its shard, from 0).
 

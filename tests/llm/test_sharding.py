@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import pytest
 
-from sparkwell.llm.sharding import shard_by_bytes, write_shards
+from sparkwell.llm.sharding import boundaries, shard_by_bytes, write_shards
 
 
 def run(spark, rows, **options):
@@ -54,3 +55,17 @@ def test_shards_on_disk(spark, tmp_path):
     write_shards(df, str(tmp_path))
     back = spark.read.parquet(str(tmp_path))
     assert back.count() == 400 and set(back.columns) == {"doc_id", "text", "other", "shard", "slot"}
+
+
+def test_very_many_boundaries(spark):
+    """Each states exactly what lies below it, and none is far from its target."""
+    rng = random.Random(2)
+    rows = [(rng.getrandbits(63) * rng.choice((1, -1)), i, rng.randint(1, 200)) for i in range(20_000)]
+    total = sum(r[2] for r in rows)
+    cuts = boundaries(spark.createDataFrame(rows, "key long, id long, size long"), total, len(rows), 2400, 8, 0.02)
+    rows.sort()
+    keys, below = [r[0] for r in rows], [0]
+    for r in rows:
+        below.append(below[-1] + r[2])
+    assert len(cuts) == 2399 and all(c.id is None and c.rows == bisect_left(keys, c.key) and c.bytes == below[c.rows] for c in cuts)
+    assert max(abs(c.bytes - total * (i + 1) / 2400) for i, c in enumerate(cuts)) <= 0.02 * total / 8
