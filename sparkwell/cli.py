@@ -14,6 +14,12 @@ def parser() -> argparse.ArgumentParser:
     b.add_argument("pages")
     b.add_argument("out")
     b.add_argument("--title-tag", default="h2")
+    c = sub.add_parser("crawl", help="fetch the pages below the seeds of a CSV (url, path_prefix)")
+    c.add_argument("seeds")
+    c.add_argument("out")
+    c.add_argument("--max-depth", type=int, default=8)
+    c.add_argument("--max-pages", type=int, default=80)
+    c.add_argument("--delay", type=float, default=1.5)
     s = sub.add_parser("search", help="search with the queries given")
     s.add_argument("store")
     s.add_argument("query", nargs="+")
@@ -45,6 +51,14 @@ def main(argv: list[str] | None = None) -> None:
     from .sources import readers
 
     spark = SparkSession.builder.appName("sparkwell").getOrCreate()
+    if args.command == "crawl":
+        from .operators.crawl import crawl
+        from .sources.sinks import write_pages
+
+        seeds = readers.read_csv(spark, args.seeds)
+        robots = readers.robots_by_host([r["url"] for r in seeds.select("url").collect()])  # seeds are a list made by hand
+        write_pages(crawl(seeds, readers.live(delay=args.delay), args.max_depth, args.max_pages, robots), args.out)
+        return
     if args.command == "build":
         from .plans.build import build
 

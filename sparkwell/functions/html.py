@@ -205,6 +205,27 @@ def page_facts(html):
     return facts(html)
 
 
+PAGE = T.StructType([T.StructField("canonical", T.StringType()), T.StructField("blocks", T.ArrayType(BLOCK)), T.StructField("error", T.StringType())])
+
+
+def parse_page(html, title_tag: str = "h2", section_tag: str = "h3"):
+    """A struct of the canonical link, the article's blocks and what went wrong, if anything: a page that can't be parsed has no blocks."""
+
+    @F.arrow_udf(PAGE)
+    def parsed(pages: pa.Array) -> pa.Array:
+        out = []
+        for page in pages.to_pylist():
+            try:
+                root = parse(page)
+                blocks = [{"pos": i, "title": a, "section": b, "text": c} for i, (a, b, c) in enumerate(article_blocks(root, title_tag, section_tag))]
+                out.append({"canonical": canonical(root), "blocks": blocks, "error": None})
+            except Exception as e:  # one bad page doesn't end the job
+                out.append({"canonical": None, "blocks": [], "error": repr(e)})
+        return pa.array(out, _arrow(PAGE))
+
+    return parsed(html)
+
+
 def parse_blocks(html, title_tag: str = "h2", section_tag: str = "h3"):
     """An array of (pos, title, section, text) of the article; a page that can't be parsed has none."""
 

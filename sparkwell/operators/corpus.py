@@ -16,9 +16,14 @@ from ..lineage import Workspace
 
 
 def structured_blocks(pages: DataFrame, path: str = "path", html: str = "html", title_tag: str = "h2", section_tag: str = "h3", anchor: str = "students") -> DataFrame:
-    """(path, pos, topic, title, section, text): the blocks of each page's article."""
-    facts = pages.select(F.col(path).alias("path"), F.explode(H.parse_blocks(F.col(html), title_tag, section_tag)).alias("b"), H.page_facts(F.col(html)).alias("f"))
-    return facts.select("path", "b.pos", topic_of(F.col("f.canonical"), anchor).alias("topic"), "b.title", "b.section", "b.text")
+    """(path, pos, topic, title, section, text): the blocks of each page's article. A page is parsed once."""
+    parsed = pages.select(F.col(path).alias("path"), H.parse_page(F.col(html), title_tag, section_tag).alias("p"))
+    return parsed.select("path", "p.canonical", F.explode("p.blocks").alias("b")).select("path", "b.pos", topic_of(F.col("canonical"), anchor).alias("topic"), "b.title", "b.section", "b.text")
+
+
+def failed_pages(pages: DataFrame, path: str = "path", html: str = "html") -> DataFrame:
+    """(path, error): the pages that can't be parsed and so have no blocks."""
+    return pages.select(F.col(path).alias("path"), H.parse_page(F.col(html))["error"].alias("error")).where("error IS NOT NULL")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
@@ -40,6 +45,7 @@ def number_rows(df: DataFrame, order: list[str], into: str = "doc_id") -> DataFr
     places are given out, so only one number a partition reaches the driver.
     """
     ws = Workspace(df.sparkSession, "number-rows")
+    df = ws.cut(df, "rows")  # the range exchange reads its input twice, once to sample it
     names, types = df.columns, df.schema
     by = [F.col(o).asc_nulls_first() for o in order]
     part = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id())
@@ -55,11 +61,11 @@ def number_rows(df: DataFrame, order: list[str], into: str = "doc_id") -> DataFr
     placed = ws.cut(part.mapInArrow(place, T.StructType([*types.fields, T.StructField("__part", T.IntegerType()), T.StructField("__at", T.LongType())])), "placed")
     counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("__at").alias("n")).collect()}
     starts, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        starts.append(total)
-        total += counts.get(p, 0)
-    offset = F.get(F.array(*(F.lit(s).cast("long") for s in starts)), F.col("__part")) if starts else F.lit(0).cast("long")
-    return placed.select((offset + F.col("__at")).alias(into), *names)
+    for p in sorted(counts):
+        starts.append((p, total))
+        total += counts[p]
+    offsets = df.sparkSession.createDataFrame(starts, "__part int, __start long")
+    return placed.join(F.broadcast(offsets), "__part").select((F.col("__start") + F.col("__at")).alias(into), *names)  # a row for each partition
 
 
 def structured_corpus(pages: DataFrame, **options) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from ..functions import urls as U
 from ..functions.html import page_facts
 from ..lineage import Workspace
 
-KEPT = "seed_url string, url string, depth int, parent_url string, seq long, canonical string, article_hash string, links array<string>, html string"
+KEPT = "seed_url string, url string, depth int, parent_url string, seq long, canonical string, article_hash string"
+#: What gives (url, html) for a table of distinct (url).
+Source = Callable[[DataFrame], DataFrame]
 
 
 def keep_new(rows: pd.DataFrame, max_pages: int) -> pd.DataFrame:
@@ -33,44 +37,57 @@ def keep_new(rows: pd.DataFrame, max_pages: int) -> pd.DataFrame:
     return rows.loc[kept].drop(columns="old")
 
 
-def crawl(seeds: DataFrame, pages: DataFrame, max_depth: int = 8, max_pages: int = 80, robots=None) -> DataFrame:
+def snapshot(pages: DataFrame, ws: Workspace) -> Source:
+    """Pages at hand as a source: URLs are normalised once; of several that are one then, the first in order holds."""
+    known = pages.where("html IS NOT NULL").select(U.normalize_url(F.col("url")).alias("url"), F.col("url").alias("raw"), "html")
+    held = ws.cut(known.groupBy("url").agg(F.min_by("html", F.struct("raw", F.xxhash64("html"))).alias("html")), "snapshot")
+    return lambda urls: urls.join(held, "url")
+
+
+def crawl(seeds: DataFrame, pages: DataFrame | Source, max_depth: int = 8, max_pages: int = 80, robots=None) -> DataFrame:
     """(seed_url, url, depth, parent_url, seq, canonical, article_hash, html) and the seed's further columns.
 
-    ``seeds`` has ``url`` and maybe ``path_prefix``; ``pages`` has ``url`` and ``html``: a
-    snapshot, or what ``sources.fetch`` gives for the URLs asked. Per seed at most
-    ``max_pages`` pages are kept; links are followed in document order from kept pages only.
+    ``seeds`` has ``url`` and maybe ``path_prefix``. ``pages``: a table of ``url`` and ``html``, or
+    a source that is asked for the URLs of each level and for no others, such as
+    ``sources.readers.live``, which fetches them. Per seed at most ``max_pages`` pages are kept,
+    and a seed that has as many asks for no more; links are followed in document order from kept pages only.
     ``robots``: a function from a URL column to a boolean column.
     """
     spark, ws = seeds.sparkSession, Workspace(seeds.sparkSession, "crawl")
     seed = seeds.withColumn("seed_url", U.normalize_url(F.col("url"))).withColumn("prefix", F.col("path_prefix") if "path_prefix" in seeds.columns else F.lit(None).cast("string"))
     rules = seed.select("seed_url", "prefix", U.parts(F.col("seed_url"))["authority"].alias("seed_host"))
-    snapshot = pages.select(U.normalize_url(F.col("url")).alias("url"), "html").where("html IS NOT NULL")
+    source = pages if callable(pages) else snapshot(pages, ws)
     frontier = seed.select("seed_url", F.col("seed_url").alias("url"), F.lit(None).cast("string").alias("parent_url"), F.lit(0).cast("long").alias("seq"))
-    visited, saved = spark.createDataFrame([], "seed_url string, url string"), spark.createDataFrame([], KEPT)
+    visited, saved = spark.createDataFrame([], "seed_url string, url string"), spark.createDataFrame([], f"{KEPT}, html string")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         return keep_new(rows, max_pages)
 
     for depth in range(max_depth + 1):
         first = frontier.groupBy("seed_url", "url").agg(F.min(F.struct("seq", "parent_url")).alias("x")).select("seed_url", "url", "x.parent_url", "x.seq")
-        asked = ws.cut(first.join(visited, ["seed_url", "url"], "left_anti"), f"asked-{depth}")
+        full = saved.groupBy("seed_url").agg(F.count("url").alias("n")).where(F.col("n") >= max_pages)
+        asked = ws.cut(first.join(visited, ["seed_url", "url"], "left_anti").join(full, "seed_url", "left_anti"), f"asked-{depth}")
         if asked.isEmpty():
             break
         visited = visited.union(asked.select("seed_url", "url"))
         fit = asked.join(rules, "seed_url").where(U.is_crawlable(F.col("url"), F.col("seed_host"), F.col("prefix")))
         if robots is not None:
             fit = fit.where(robots(F.col("url")))
-        got = fit.select("seed_url", "url", "parent_url", "seq").join(snapshot.dropDuplicates(["url"]), "url").withColumn("f", page_facts(F.col("html")))
-        new = got.select("seed_url", "url", F.lit(depth).alias("depth"), "parent_url", "seq", "f.canonical", F.sha2(F.encode("f.article", "UTF-8"), 256).alias("article_hash"), "f.links", "html")
-        both = new.withColumn("old", F.lit(False)).union(saved.withColumn("old", F.lit(True)).withColumns({"html": F.lit(None).cast("string"), "links": F.lit(None).cast("array<string>")}))
-        kept = ws.cut(both.groupBy("seed_url").applyInPandas(fold, KEPT), f"kept-{depth}")
-        saved = saved.union(kept)
+        fit = ws.cut(fit.select("seed_url", "url", "parent_url", "seq"), f"fit-{depth}")
+        # a page is had, parsed and written once, whichever seeds ask for it
+        had = source(fit.select("url").distinct()).where("html IS NOT NULL").select("url", "html")
+        facts = ws.cut(had.withColumn("f", page_facts(F.col("html"))).select("url", "html", "f.canonical", F.sha2(F.encode("f.article", "UTF-8"), 256).alias("article_hash"), "f.links"), f"pages-{depth}")
+        new = fit.join(facts.drop("html", "links"), "url").select("seed_url", "url", F.lit(depth).alias("depth"), "parent_url", "seq", "canonical", "article_hash")
+        both = new.withColumn("old", F.lit(False)).union(saved.drop("html").withColumn("old", F.lit(True)))
+        own = ws.cut(both.groupBy("seed_url").applyInPandas(fold, KEPT), f"kept-{depth}")
+        kept = own.join(facts.select("url", "html", "links"), "url").select(*own.columns, "html", "links")
+        saved = saved.union(kept.drop("links"))
         links = kept.select("seed_url", F.col("url").alias("parent_url"), "seq", F.posexplode("links").alias("pos", "href"))
         to = links.select("seed_url", "parent_url", "seq", "pos", U.normalize_url(U.resolve(F.col("href"), F.col("parent_url"))).alias("url"))
         order = Window.partitionBy("seed_url").orderBy("seq", "pos")
         frontier = to.select("seed_url", "url", "parent_url", F.row_number().over(order).cast("long").alias("seq"))
-    facts = [c for c in seeds.columns if c not in ("url", "path_prefix")]
-    return saved.drop("links").join(seed.select("seed_url", *facts), "seed_url", "left")
+    more = [c for c in seeds.columns if c not in ("url", "path_prefix")]
+    return saved.join(seed.select("seed_url", *more), "seed_url", "left")
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:

@@ -82,6 +82,30 @@ def fetch(urls: DataFrame, url: str = "url", fetcher: Fetcher = http_get, timeou
     return urls.select(url).mapInArrow(run, PAGE)
 
 
+def live(fetcher: Fetcher = http_get, timeout: float = 30.0, delay: float = 1.5) -> Callable[[DataFrame], DataFrame]:
+    """A source for ``crawl`` that fetches what is asked: a host's pages one after the other, ``delay`` seconds apart."""
+
+    def source(urls: DataFrame) -> DataFrame:
+        by_host = urls.repartition(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1))
+        return fetch(by_host, fetcher=fetcher, timeout=timeout, delay=delay).select("url", "html")
+
+    return source
+
+
+def robots_by_host(seed_urls: list[str], fetcher: Fetcher = http_get, timeout: float = 30.0) -> Callable[[Column], Column]:
+    """A column function: whether the robots rules of a URL's host, one of the seeds', let it be fetched."""
+    from urllib.parse import urlsplit
+
+    host = lambda u: urlsplit(u).netloc.lower().removeprefix("www.")
+    rules = {host(u): robots_rules(u, fetcher, timeout) for u in seed_urls}
+
+    @F.arrow_udf("boolean")
+    def may(urls: pa.Array) -> pa.Array:
+        return pa.array([u is not None and (r := rules.get(host(u))) is not None and r.can_fetch(AGENT, u) for u in urls.to_pylist()], pa.bool_())
+
+    return may
+
+
 def robots_rules(seed_url: str, fetcher: Fetcher = http_get, timeout: float = 30.0) -> robotparser.RobotFileParser:
     """The rules of the seed's host. If they can't be had, nothing may be fetched; 401 and 403 forbid all, other 4xx nothing."""
     from urllib.error import HTTPError

@@ -42,6 +42,32 @@ def test_limits(spark):
     assert set(saved(spark, robots=lambda u: ~u.endswith("/a"))) == {("/s", 0), ("/s/b", 1), ("/s/d", 2)}
 
 
+def test_live_crawl(spark, tmp_path):
+    """Only pages of the levels reached are asked for, once each, and robots rules hold."""
+    log = str(tmp_path / "log")
+
+    def get(url, timeout):
+        with open(log, "a") as f:
+            f.write(url + "\n")
+        if url.endswith("/robots.txt"):
+            return 200, "text/plain", b"User-agent: *\nDisallow: /s/d\n"
+        return (200, "text/html", WEB[url].encode()) if url in WEB else (404, "text/html", b"")
+
+    seeds = spark.createDataFrame([("https://x.com/s", "/s/"), ("https://www.x.com/s/b", "/s/")], "url string, path_prefix string")
+    robots = readers.robots_by_host(["https://x.com/s"], fetcher=get)
+    rows = crawl(seeds, readers.live(get, delay=0.0), robots=robots).collect()
+    assert {(r["seed_url"][13:], r["url"][13:], r["depth"]) for r in rows} == {("/s", "/s", 0), ("/s", "/s/a", 1), ("/s/b", "/s/b", 0)}
+    asked = open(log).read().split()
+    assert sorted(asked) == sorted(f"https://x.com{p}" for p in ("/robots.txt", "/s", "/s/a", "/s/b", "/s/b", "/s/c"))
+
+
+def test_one_of_pages_with_one_url(spark):
+    seeds = spark.createDataFrame([("https://x.com/s",)], "url string")
+    pages = [("https://www.x.com/s/", page(article="second")), ("https://x.com/s", page(article="third")), ("https://www.x.com/s", page(article="first"))]
+    for order in (pages, pages[::-1]):
+        assert "first" in crawl(seeds, spark.createDataFrame(order, "url string, html string").repartition(3)).first()["html"]
+
+
 def test_links(spark):
     df = spark.createDataFrame([("https://example.com/page", '<a href="/a">1</a><a href="/a#x">2</a><a href="https://example.com/b/">3</a><a href="#f">4</a><a href="tel:1">5</a>')], "url string, html string")
     assert [r["link"] for r in extract_links(df).orderBy("pos").collect()] == ["https://example.com/a", "https://example.com/b"]

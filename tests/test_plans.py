@@ -53,3 +53,22 @@ def test_cli_wants_something_to_evaluate(capsys):
         cli.main(["evaluate", "store", "--no-ir", "--no-summarizer"])
     assert "nothing to evaluate" in capsys.readouterr().err
     assert cli.parser().parse_args(["search", "store", "a", "b", "--top-k", "3"]).query == ["a", "b"]
+
+
+def test_queries_are_lemmatised_as_documents_are(spark, tmp_path):
+    lexicon = {"v": {"studies": "study", "studying": "study"}, "n": {"students": "student"}}
+    pages = [("a", "<article><h2>Work</h2><p>A student may study and work.</p></article>"), ("b", "<article><h2>Tax</h2><p>Forms are due in April.</p></article>")]
+    build(spark.createDataFrame(pages, "path string, html string"), str(tmp_path), hashing_encoder(64), lexicon)
+    stored, vectors = load_index(spark, f"{tmp_path}/bm25"), spark.read.parquet(f"{tmp_path}/embeddings")
+    asked = spark.createDataFrame([(1, "studies"), (2, "Studying students")], "query_id long, query string")
+    plain, own = (HybridSearch(stored, vectors, hashing_encoder(64), lexicon=x) for x in (None, lexicon))
+    assert plain.keywords(asked).count() == 0
+    assert {(r["query_id"], r["doc_id"]) for r in own.keywords(asked).collect()} == {(1, 0), (2, 0)}
+    assert own.search(asked).where("rank = 1 AND bm25_rank = 1").count() == 2
+
+
+def test_what_is_shown_comes_from_either_side(spark, engine):
+    store = spark.createDataFrame([(0, "dense topic", "dense title"), (2, "dense topic", None)], "doc_id long, topic string, title string")
+    both = HybridSearch(engine.index, engine.embeddings, engine.encoder, dense_store=store)
+    rows = {r["doc_id"]: r for r in both.search(spark.createDataFrame([(1, "OPT")], "query_id long, query string")).collect()}
+    assert rows[0]["title"] == "Training" and any(r["bm25_rank"] is None and r["topic"] == "dense topic" and r["title"] in ("dense title", None) for r in rows.values())
