@@ -212,7 +212,8 @@ def embedding_match(pairs: DataFrame, token_vectors: Callable[[], Callable[[list
                     continue
                 s = unit(p) @ unit(r).T
                 x, y = float(s.max(1).mean()), float(s.max(0).mean())
-                out.append(tuple(round(v, digits) for v in (x, y, 2 * x * y / (x + y) if x + y else 0.0)))
+                out.append((x, y, 2 * x * y / (x + y) if x + y else 0.0))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.float64()) for i in range(3))], [pair_id, "precision", "recall", "f"])
 
-    return tokens.mapInArrow(run, f"{pair_id} {kind}, precision double, recall double, f double")
+    scored = tokens.mapInArrow(run, f"{pair_id} {kind}, precision double, recall double, f double")
+    return scored.select(pair_id, *(F.round(c, digits).alias(c) for c in ("precision", "recall", "f")))
