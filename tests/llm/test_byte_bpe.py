@@ -53,10 +53,13 @@ def test_queue_is_empty_between_calls():
 
 
 def test_tables_are_bounded(monkeypatch, library):
-    monkeypatch.setattr(B, "HELD", 20)
+    monkeypatch.setattr(B, "HELD_BYTES", 4_000)
     e = B.ByteBPE(B.load_ranks(PATH), PATTERN)
     text = " ".join(f"w{chr(97 + i % 26)}{'xyz'[i % 3]}q{'k' * (i % 7)}" for i in range(500))
-    assert np.frombuffer(e.encode(text), "<i4").tolist() == library.encode_ordinary(text) and len(e.spaced) <= 20
+    assert np.frombuffer(e.encode(text), "<i4").tolist() == library.encode_ordinary(text)
+    held = [(k, v) for t in (e.plain, e.spaced, e.old_plain, e.old_spaced) for k, v in t.items()]
+    assert 0 < sum(B.ENTRY_BYTES + len(k) + len(v) for k, v in held) <= 2 * (4_000 + B.ENTRY_BYTES + 200) and e.old_spaced
+    assert np.frombuffer(e.encode(text[::-1] + " " + text), "<i4").tolist() == library.encode_ordinary(text[::-1] + " " + text)
 
 
 def test_tables(spark, library):
