@@ -9,9 +9,10 @@ that a data vector must have to reach it:
     p·c - U |c| - N d  <=  q·x  <=  p·c + U |c| + N d
 
 with query pivot p, data pivot c, greatest query distance U, greatest query norm N, and d the
-distance of x to c. Only data vectors that may reach the bound are copied to a query group,
-packed in blocks; blocks meet the group's queries in a join salted by block, each task keeps
-the best ``k`` of each query, and a ranked window merges the tasks' lists.
+distance of x to c. Only data vectors that may reach the bound of a group are copied to the set
+of query groups that it is in, packed in blocks; blocks meet the set's queries in a join salted
+by block, each task compares a group with those of a block that may reach its own bound and
+keeps the best ``k`` of each query, and a ranked window merges the tasks' lists.
 
 Vectors are integers; scores are exact. Bounds are widened by a relative 1e-9 for rounding.
 
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, col
 
 BLOCK = 2048
+SET = 1 << 15
 
 
 def quantize(embedding: Column, factor: float = 64.0) -> Column:
@@ -73,13 +75,23 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
 LOW = -(1 << 62)
 
 
+def _pivots(rows: DataFrame, n: int, n_rows: int) -> list[list[int]]:
+    """At most ``n`` vectors chosen by the hash of their ids. Tasks combine them, so the driver gets ``n`` whatever the number of tasks."""
+    at = F.xxhash64("id", F.lit(7))
+    for part in sorted({max(1, n_rows // (32 * n)), 1}, reverse=True):  # some 32 rows for each pivot; all rows where few ids repeat
+        few = rows.where(F.pmod(at, F.lit(part)) == 0).groupBy(F.pmod(F.shiftright(at, 20), F.lit(n)).alias("b")).agg(F.min(F.struct(at.alias("h"), "v")).alias("m"))
+        if found := few.orderBy("b").select("m.v").collect():
+            return [r["v"] for r in found]
+    return []
+
+
 def top_k(
     data: DataFrame, queries: DataFrame, k: int = 20, *, id_col: str = "vec_id", vector: str = "vector", queries_per_group: int = 500, max_pivots: int = 1024
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's best ``k`` of ``data`` but itself.
 
     ``vector`` is an array of 64-bit integers (``quantize``). The number of pivots follows the
-    number of queries, since a data vector is copied at most once a query group.
+    number of queries; a data vector is copied at most once a set of query groups.
     """
     spark, ws = data.sparkSession, Workspace(data.sparkSession, "top-k")
     take = lambda df: df.select(col(df, id_col).cast("long").alias("id"), col(df, vector).cast("array<bigint>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
@@ -90,15 +102,15 @@ def top_k(
     if not dims or not n_queries:
         return spark.createDataFrame([], out_schema)
     n_data = rows.count()
-    wide = "<i4" if (top or 0) < 2**31 else "<i8"
-    exact_floats = dims * (top or 0) ** 2 < 2**53
+    wide = next(w for w, bits in (("<i1", 7), ("<i2", 15), ("<i4", 31), ("<i8", 63)) if (top or 0) < 2**bits)
+    exact = next((t for t, bits in ((np.float32, 24), (np.float64, 53)) if dims * (top or 0) ** 2 < 2**bits), np.int64)
     if dims * (top or 0) ** 2 >= 2**62:
         raise ValueError("scores don't fit in 64 bits")
     n_pivots = max(1, min(max_pivots, n_queries // queries_per_group + 2))
-    chosen = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(n_pivots).select("v").collect()
+    chosen = _pivots(rows, n_pivots, n_data)
     pivots = np.zeros((max(len(chosen), 1), dims), np.float64)
-    for i, r in enumerate(chosen):
-        pivots[i, : len(r["v"])] = r["v"]
+    for i, v in enumerate(chosen):
+        pivots[i, : len(v)] = v
     sent = spark.sparkContext.broadcast(pivots)
 
     def assign(batches):
@@ -118,7 +130,8 @@ def top_k(
     small: dict[int, list[float]] = {}
     for r in nearest.select("cell", "d").toLocalIterator():
         small.setdefault(r["cell"], []).append(r["d"])
-    reach = {r["cell"]: (r["u"], r["n"]) for r in placed_q.groupBy("cell").agg(F.max("d").alias("u"), F.max("norm").alias("n")).collect()}
+    found = placed_q.groupBy("cell").agg(F.max("d").alias("u"), F.max("norm").alias("n"), F.count("*").alias("asked")).collect()
+    reach, asked_of = {r["cell"]: (r["u"], r["n"]) for r in found}, {r["cell"]: r["asked"] for r in found}
     lengths = np.sqrt((pivots**2).sum(1))
     least_d = np.full((len(pivots), len(pivots)), np.inf)  # [query group, data group]: the distance from which data are copied
     for i, (u, norm) in reach.items():
@@ -128,29 +141,37 @@ def top_k(
         slack = 1e-9 * (abs(bound) + 1) if np.isfinite(bound) else 0
         need = bound - slack - middle - u * lengths
         least_d[i] = np.where(need <= 0, -1.0, need / norm if norm else np.inf)
-    bounds = spark.sparkContext.broadcast(least_d)
+    # consecutive groups of at most SET queries (or one larger group) share their copies of the data; tasks look at each group's own bound again
+    set_of, n_sets, held = np.zeros(len(pivots), np.int32), 0, 0
+    for i in sorted(reach):
+        if held and held + asked_of[i] > SET:
+            n_sets, held = n_sets + 1, 0
+        set_of[i], held = n_sets, held + asked_of[i]
+    least_of_set = np.stack([least_d[set_of == s].min(0) for s in range(n_sets + 1)])
+    bounds = spark.sparkContext.broadcast((least_d, least_of_set, set_of))
 
     def replicate(batches):
         for b in batches:
             cell, d = b.column(2).to_numpy(), b.column(3).to_numpy()
-            for g in range(len(bounds.value)):
-                own = np.flatnonzero(d >= bounds.value[g][cell])
-                for s in range(0, len(own), BLOCK):
-                    part = b.take(pa.array(own[s : s + BLOCK]))
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([int(part.column(0)[0].as_py()) & 0x7FFFFFFF], pa.int64()), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b"".join(part.column(1).to_pylist())], pa.binary())], ["g", "at", "ids", "m"])
+            for s, least in enumerate(bounds.value[1]):
+                own = np.flatnonzero(d >= least[cell])
+                for at in range(0, len(own), BLOCK):
+                    part = b.take(pa.array(own[at : at + BLOCK]))
+                    ids, m, cells, ds = part.column(0).to_numpy(), b"".join(part.column(1).to_pylist()), part.column(2).to_numpy(), part.column(3).to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([int(ids[0]) & 0x7FFFFFFF], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), m, cells.tobytes(), ds.tobytes()))], ["set", "at", "ids", "m", "cells", "ds"])
 
     def pack(batches):
         for b in batches:
-            cell = b.column(2).to_numpy()
-            for g in np.unique(cell):
-                own = np.flatnonzero(cell == g)
-                for s in range(0, len(own), BLOCK):
-                    part = b.take(pa.array(own[s : s + BLOCK]))
-                    yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([b"".join(part.column(1).to_pylist())], pa.binary())], ["g", "q_ids", "q"])
+            sets = bounds.value[2][b.column(2).to_numpy()]
+            for s in np.unique(sets):
+                own = np.flatnonzero(sets == s)
+                for at in range(0, len(own), BLOCK):
+                    part = b.take(pa.array(own[at : at + BLOCK]))
+                    yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), *(pa.array([x], pa.binary()) for x in (part.column(0).to_numpy().tobytes(), b"".join(part.column(1).to_pylist()), part.column(2).to_numpy().tobytes()))], ["set", "q_ids", "q", "q_cells"])
 
     salts = max(1, min(64, n_data // 20_000 + 1))
-    blocks = placed.mapInArrow(replicate, "g int, at long, ids binary, m binary").withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")).drop("at")
-    groups = placed_q.mapInArrow(pack, "g int, q_ids binary, q binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    blocks = placed.mapInArrow(replicate, "set int, at long, ids binary, m binary, cells binary, ds binary").withColumn("salt", F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")).drop("at")
+    packs = placed_q.orderBy("cell", "id").mapInArrow(pack, "set int, q_ids binary, q binary, q_cells binary").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def solve(batches):
         best: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray]] = {}
@@ -162,27 +183,37 @@ def top_k(
                 yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(ids.ravel()[ok]), pa.array(scores.ravel()[ok])], ["query_id", "vec_id", "score"])
             best.clear()
 
+        held = 0
         for b in batches:
             for r in range(b.num_rows):
-                g, ids, m, q_ids, q = (b.column(c)[r].as_py() for c in range(5))
-                ids, names = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                m, q = np.frombuffer(m, wide).reshape(len(ids), dims), np.frombuffer(q, wide).reshape(len(names), dims)
-                for s in range(0, len(names), 256):
-                    if exact_floats:
-                        scores = (q[s : s + 256].astype(np.float64) @ m.astype(np.float64).T).astype(np.int64)
-                    else:
-                        scores = q[s : s + 256].astype(np.int64) @ m.astype(np.int64).T
-                    scores[names[s : s + 256, None] == ids[None, :]] = LOW
-                    found = _best(scores, ids, k)
-                    key = (g, names[s : s + 256].tobytes())
-                    if key in best:
-                        found = _best(np.concatenate([best[key][0], found[0]], 1), np.concatenate([best[key][1], found[1]], 1), k)
-                    best[key] = found
-                if len(best) > 256:
+                ids, m, cells, ds, q_ids, q, q_cells = (np.frombuffer(b.column(c)[r].as_buffer(), t) for c, t in enumerate((np.int64, wide, np.int32, np.float64, np.int64, wide, np.int32)))
+                m, q = m.reshape(len(ids), dims).astype(exact), q.reshape(len(q_ids), dims).astype(exact)
+                for g in np.unique(q_cells):
+                    near, own = np.flatnonzero(ds >= bounds.value[0][g][cells]), np.flatnonzero(q_cells == g)
+                    if not len(near):
+                        continue
+                    mine = m if len(near) == len(ids) else m[near]
+                    for s in range(0, len(own), 256):
+                        names, who = q_ids[own[s : s + 256]], ids[near]
+                        scores = (q[own[s : s + 256]] @ mine.T).astype(np.int64)
+                        scores[names[:, None] == who[None, :]] = LOW
+                        key = (g, names.tobytes())
+                        if (old := best.get(key)) is None:
+                            held += len(names)
+                        elif old[0].shape[1] == k:  # only what may enter some list
+                            may = np.flatnonzero((scores >= old[0][:, -1:]).any(0))
+                            if not len(may):
+                                continue
+                            scores, who = scores[:, may], who[may]
+                        found = _best(scores, who, k)
+                        best[key] = found if old is None else _best(np.concatenate([old[0], found[0]], 1), np.concatenate([old[1], found[1]], 1), k)
+                if held > 2 * SET:
                     yield from flush()
+                    held = 0
         yield from flush()
 
-    met = blocks.join(groups, ["g", "salt"]).select("g", "ids", "m", "q_ids", "q")
+    # never broadcast: Spark's estimate leaves the salts out, so the driver would hold all queries once a salt
+    met = blocks.join(packs.hint("merge"), ["set", "salt"]).select("ids", "m", "cells", "ds", "q_ids", "q", "q_cells")
     near = met.mapInArrow(solve, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").where(F.col("rank") <= k)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwell.llm.topk import quantize, top_k
+from sparkwell.llm.topk import _pivots, quantize, top_k
 
 
 def run(spark, rows, k=20, every=5, **options):
@@ -56,3 +56,36 @@ def test_pruning_leaves_data_out(spark):
     a, b = np.array([8.0, 0, 0, 0]), np.array([0, 8.0, 0, 0])
     rows = [(i, ((a if i % 2 else b) + 0.01 * rng.standard_normal(4)).tolist(), "s") for i in range(400)]
     assert run(spark, rows, k=5, queries_per_group=20) == brute(rows, k=5)
+
+
+def test_driver_holds_neither_salted_queries_nor_vectors_of_each_task(spark):
+    """Spark takes the queries for as small as they are before the salts multiply them, so it would broadcast them."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.integers(-60, 60, (500, 4)))], "vec_id long, vector array<long>")
+    plan = top_k(df, df.where("vec_id % 20 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_pivots_are_few_whatever_the_tasks_and_repeats(spark):
+    rows = spark.range(3000).selectExpr("id", "array(id, id + 1) AS v")
+    few, many = (_pivots(rows.repartition(n), 8, 3000) for n in (1, 16))
+    assert few == many and 1 <= len(few) <= 8 and all(v[1] == v[0] + 1 for v in few)
+    same = rows.selectExpr("7L AS id", "v")
+    assert len(_pivots(same, 8, 3000)) == 1 and _pivots(rows.where("id < 0"), 8, 0) == []
+
+
+@pytest.mark.parametrize("size", [1, 100, 30_000, 2**30])
+def test_exact_at_each_width(spark, size):
+    rng = np.random.default_rng(size)
+    v = rng.integers(-size, size, (200, 3), endpoint=True)
+    rows = [(i, (x / 64).tolist(), "s") for i, x in enumerate(v)]
+    assert run(spark, rows, queries_per_group=9) == brute(rows)
+
+
+def test_groups_in_several_sets(spark, monkeypatch):
+    """Data are sent once a set; each set's groups keep bounds of their own."""
+    monkeypatch.setattr("sparkwell.llm.topk.SET", 12)
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((5, 6))[rng.integers(0, 5, 500)] + 0.1 * rng.standard_normal((500, 6))
+    rows = [(i, x.tolist(), "s") for i, x in enumerate(v)]
+    assert run(spark, rows, k=7, queries_per_group=9) == brute(rows, k=7)
