@@ -28,8 +28,8 @@ def read_html(spark: SparkSession, folder: str, pattern: str = "*.html") -> Data
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header; fields may hold quotes and line breaks, all are strings, and empty ones stay empty."""
-    return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False).na.fill("")
+    """A CSV with a header; fields may hold quotes, line breaks and white space at their ends, all are strings, and empty ones stay empty."""
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).na.fill("")
 
 
 def read_gold_queries(spark: SparkSession, path: str) -> DataFrame:

@@ -15,8 +15,8 @@ def write_pages(pages: DataFrame, path: str, url: str = "url", mode: str = "over
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A CSV that ``read_csv`` and others read back as it was."""
-    df.write.mode(mode).csv(path, header=True, quoteAll=True, escape='"', emptyValue="")
+    """A CSV that ``read_csv`` and others read back as it was, white space at the ends of fields too."""
+    df.write.mode(mode).csv(path, header=True, quoteAll=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()) -> None:
