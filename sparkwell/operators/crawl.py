@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,28 +14,35 @@ from ..functions.html import page_facts
 from ..lineage import Workspace
 
 KEPT = "seed_url string, url string, depth int, parent_url string, seq long, canonical string, article_hash string"
+KEPT_NAMES = [c.split()[0] for c in KEPT.split(", ")]
 #: What gives (url, html) for a table of distinct (url).
 Source = Callable[[DataFrame], DataFrame]
 
 
-def keep_new(rows: pd.DataFrame, max_pages: int) -> pd.DataFrame:
-    """One seed's pages of a level, in order, after those kept before: duplicates by canonical link or article are left out.
+def keep_new(batches: Iterator[pa.RecordBatch], max_pages: int) -> Iterator[pa.RecordBatch]:
+    """Of each seed's pages of a level, those that are kept: duplicates by canonical link or article are left out.
 
-    A page left out registers nothing, so this is a fold, not two windows. Its input is
-    bounded by the page limit and the links of as many pages.
+    Rows are (seed_url, old, ..., canonical, article_hash), sorted by seed, those kept before (``old``) first, then by place.
+    A page left out registers nothing, so this is a fold, not two windows. What is held is one
+    seed's links and hashes of at most ``max_pages`` pages, however many seeds a task has.
     """
-    canonicals, hashes, kept, n = set(), set(), [], 0
-    for r in rows.sort_values(["old", "seq"], ascending=[False, True]).itertuples():
-        if not r.old and (n >= max_pages or (r.canonical and r.canonical in canonicals) or (r.article_hash and r.article_hash in hashes)):
-            continue
-        n += 1
-        if r.canonical:
-            canonicals.add(r.canonical)
-        if r.article_hash:
-            hashes.add(r.article_hash)
-        if not r.old:
-            kept.append(r.Index)
-    return rows.loc[kept].drop(columns="old")
+    at, n, canonicals, hashes = None, 0, set(), set()
+    for b in batches:
+        columns = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("seed_url", "old", "canonical", "article_hash"))
+        kept = []
+        for i, (seed, old, canonical, article) in enumerate(zip(*columns, strict=True)):
+            if seed != at:
+                at, n, canonicals, hashes = seed, 0, set(), set()
+            if not old and (n >= max_pages or (canonical and canonical in canonicals) or (article and article in hashes)):
+                continue
+            n += 1
+            if canonical:
+                canonicals.add(canonical)
+            if article:
+                hashes.add(article)
+            if not old:
+                kept.append(i)
+        yield b.take(pa.array(kept, pa.int64())).select(KEPT_NAMES)
 
 
 def snapshot(pages: DataFrame, ws: Workspace) -> Source:
@@ -58,10 +66,10 @@ def crawl(seeds: DataFrame, pages: DataFrame | Source, max_depth: int = 8, max_p
     rules = seed.select("seed_url", "prefix", U.parts(F.col("seed_url"))["authority"].alias("seed_host"))
     source = pages if callable(pages) else snapshot(pages, ws)
     frontier = seed.select("seed_url", F.col("seed_url").alias("url"), F.lit(None).cast("string").alias("parent_url"), F.lit(0).cast("long").alias("seq"))
-    visited, saved = spark.createDataFrame([], "seed_url string, url string"), spark.createDataFrame([], f"{KEPT}, html string")
+    visited, saved, pages_of = spark.createDataFrame([], "seed_url string, url string"), spark.createDataFrame([], KEPT), []
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        return keep_new(rows, max_pages)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return keep_new(batches, max_pages)
 
     for depth in range(max_depth + 1):
         first = frontier.groupBy("seed_url", "url").agg(F.min(F.struct("seq", "parent_url")).alias("x")).select("seed_url", "url", "x.parent_url", "x.seq")
@@ -78,16 +86,19 @@ def crawl(seeds: DataFrame, pages: DataFrame | Source, max_depth: int = 8, max_p
         had = source(fit.select("url").distinct()).where("html IS NOT NULL").select("url", "html")
         facts = ws.cut(had.withColumn("f", page_facts(F.col("html"))).select("url", "html", "f.canonical", F.sha2(F.encode("f.article", "UTF-8"), 256).alias("article_hash"), "f.links"), f"pages-{depth}")
         new = fit.join(facts.drop("html", "links"), "url").select("seed_url", "url", F.lit(depth).alias("depth"), "parent_url", "seq", "canonical", "article_hash")
-        both = new.withColumn("old", F.lit(False)).union(saved.drop("html").withColumn("old", F.lit(True)))
-        own = ws.cut(both.groupBy("seed_url").applyInPandas(fold, KEPT), f"kept-{depth}")
-        kept = own.join(facts.select("url", "html", "links"), "url").select(*own.columns, "html", "links")
-        saved = saved.union(kept.drop("links"))
+        both = new.withColumn("old", F.lit(False)).union(saved.withColumn("old", F.lit(True)))
+        in_order = both.repartition("seed_url").sortWithinPartitions("seed_url", F.desc("old"), "seq")
+        own = ws.cut(in_order.mapInArrow(fold, KEPT), f"kept-{depth}")
+        saved = saved.union(own)
+        pages_of.append(own.join(facts.select("url", "html"), "url").select(*KEPT_NAMES, "html"))
+        kept = own.join(facts.select("url", "links"), "url")
         links = kept.select("seed_url", F.col("url").alias("parent_url"), "seq", F.posexplode("links").alias("pos", "href"))
         to = links.select("seed_url", "parent_url", "seq", "pos", U.normalize_url(U.resolve(F.col("href"), F.col("parent_url"))).alias("url"))
         order = Window.partitionBy("seed_url").orderBy("seq", "pos")
         frontier = to.select("seed_url", "url", "parent_url", F.row_number().over(order).cast("long").alias("seq"))
     more = [c for c in seeds.columns if c not in ("url", "path_prefix")]
-    return saved.join(seed.select("seed_url", *more), "seed_url", "left")
+    found = reduce(DataFrame.union, pages_of) if pages_of else saved.withColumn("html", F.lit(None).cast("string"))
+    return found.join(seed.select("seed_url", *more), "seed_url", "left")
 
 
 def extract_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
