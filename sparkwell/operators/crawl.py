@@ -63,7 +63,7 @@ def crawl(seeds: DataFrame, pages: DataFrame | Source, max_depth: int = 8, max_p
     """
     spark, ws = seeds.sparkSession, Workspace(seeds.sparkSession, "crawl")
     seed = seeds.withColumn("seed_url", U.normalize_url(F.col("url"))).withColumn("prefix", F.col("path_prefix") if "path_prefix" in seeds.columns else F.lit(None).cast("string"))
-    rules = seed.select("seed_url", "prefix", U.parts(F.col("seed_url"))["authority"].alias("seed_host"))
+    rules = seed.select("seed_url", "prefix", U.parts(F.col("seed_url"))["authority"].alias("seed_host")).distinct()  # a seed given twice is crawled once
     source = pages if callable(pages) else snapshot(pages, ws)
     frontier = seed.select("seed_url", F.col("seed_url").alias("url"), F.lit(None).cast("string").alias("parent_url"), F.lit(0).cast("long").alias("seq"))
     visited, saved, pages_of = spark.createDataFrame([], "seed_url string, url string"), spark.createDataFrame([], KEPT), []
