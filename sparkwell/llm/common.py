@@ -9,14 +9,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import Workspace, hadoop_path, remove, shared_dir
+from ..lineage import Workspace, hadoop_path, remove, shared_dir, small_batches
 
 __all__ = ["Workspace", "col", "fresh", "hadoop_path", "lower_ascii", "map_batches", "mix64", "remove", "row_count_bound", "shared_dir", "small_batches", "tidy"]
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 U64 = np.uint64
-BATCH_ROWS = 2_000
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -53,16 +52,6 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).mapInArrow(run, schema)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Texts of 2 KB by the 10,000 are large Arrow batches, which the JVM and a worker each hold several times over.
-
-    Where the session has the default, batches are of ``BATCH_ROWS`` rows from here on; the plans that operators return need it too.
-    """
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000" and not spark.sparkContext.getConf().contains(key):
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def tidy() -> None:
     """Give freed memory back to the system, at the end of a task: workers wait for the next one with what they hold."""
     pa.default_memory_pool().release_unused()

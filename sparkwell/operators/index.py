@@ -7,7 +7,7 @@ avgdl); ``doc_store`` has what is shown of a hit.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_tokens
-from ..lineage import Workspace
+from ..lineage import Workspace, small_batches
 
 FIELDS = ("topic", "title", "text")
 K1, B = 1.5, 0.3
+#: Tokens that are counted at once.
+CHUNK = 200_000
 
 
 @dataclass(frozen=True)
@@ -43,19 +45,34 @@ def tokenized(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tokenize: Calla
     return rows.select("x.field", "doc_id", tokenize(F.col("x.value")).alias("tokens"))
 
 
-def term_counts(tokens: Column) -> Column:
-    """Each row's distinct terms with how often they occur in it: a row's tokens are in one place, so nothing moves."""
+def count_terms(rows: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(row, term, tf): each row's distinct terms with how often they occur in it; rows are arrays of tokens."""
+    sizes = np.asarray(rows.value_lengths().fill_null(0)).astype(np.int64)
+    words = rows.flatten().dictionary_encode()
+    n = max(len(words.dictionary), 1)
+    keys, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + words.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
+    return keys // n, words.dictionary.take(pa.array(keys % n)), counts
 
-    @F.arrow_udf("array<struct<term: string, tf: bigint>>")
-    def counted(rows: pa.Array) -> pa.Array:
-        sizes = np.asarray(rows.value_lengths().fill_null(0)).astype(np.int64)
-        words = rows.flatten().dictionary_encode()
-        n = max(len(words.dictionary), 1)
-        keys, counts = np.unique(np.repeat(np.arange(len(sizes)), sizes) * n + words.indices.to_numpy(zero_copy_only=False).astype(np.int64), return_counts=True)
-        pairs = pa.StructArray.from_arrays([words.dictionary.take(pa.array(keys % n)), pa.array(counts, pa.int64())], ["term", "tf"])
-        return pa.ListArray.from_arrays(pa.array(np.searchsorted(keys, np.arange(len(sizes) + 1) * n), pa.int32()), pairs)
 
-    return counted(tokens)
+def term_rows(tokens: DataFrame) -> DataFrame:
+    """(field, term, doc_id, tf, dl) of (field, doc_id, tokens): a row's tokens are in one place, so nothing moves.
+
+    Rows are counted ``CHUNK`` tokens at a time, so a task holds one batch and little more.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = np.asarray(b.column(2).value_lengths().fill_null(0)).astype(np.int64)
+            ends, start = np.cumsum(sizes), 0
+            while start < b.num_rows:
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] - sizes[start] + CHUNK, "right")))
+                row, term, tf = count_terms(b.column(2).slice(start, end - start))
+                at = pa.array(row + start)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), term, b.column(1).take(at), pa.array(tf, pa.int64()), pa.array(sizes[row + start], pa.int64())], ["field", "term", "doc_id", "tf", "dl"])
+                start = end
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("field", "doc_id", "tokens").mapInArrow(run, f"field string, term string, doc_id {kind}, tf bigint, dl bigint")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -72,9 +89,9 @@ def build_index(docs: DataFrame, fields: tuple[str, ...] = FIELDS, tokenize: Cal
     the field's total; documents without a token count in ``n`` alone.
     """
     ws = Workspace(docs.sparkSession, "index")
+    small_batches(docs.sparkSession)
     tokens = tokenized(spread(docs), fields, tokenize, doc_id)
-    each = tokens.select("field", "doc_id", F.size("tokens").cast("long").alias("dl"), term_counts(F.col("tokens")).alias("terms"))
-    postings = ws.cut(each.select("field", "doc_id", "dl", F.explode("terms").alias("x")).select("field", "x.term", "doc_id", "x.tf", "dl"), "postings")
+    postings = ws.cut(term_rows(tokens), "postings")
     n_docs = docs.count()
     totals = postings.groupBy("field").agg(F.sum("tf").alias("total"))
     names = docs.sparkSession.createDataFrame([(f,) for f in fields], "field string")
