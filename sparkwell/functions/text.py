@@ -43,6 +43,10 @@ def drop_stopwords(tokens: Column) -> Column:
     return F.filter(tokens, lambda t: (F.btrim(t, F.lit("-")) != "") & ~t.isin(*stopwords()))
 
 
+#: Surfaces of a lexicon that may be a literal of the plan.
+LITERAL_LEXICON = 1_000
+
+
 def lemmatize(tokens: Column, lexicon: Mapping[str, Mapping[str, str]] | None) -> Column:
     """Each token's lemma by a lexicon ``{"v": {surface: lemma}, "n": {...}}``: as a verb, or failing that as a noun.
 
@@ -62,17 +66,22 @@ def lemmatize(tokens: Column, lexicon: Mapping[str, Mapping[str, str]] | None) -
 
 
 def lemmatize_table(df: DataFrame, tokens: str, key: str, lexicon: DataFrame) -> DataFrame:
-    """``lemmatize`` by a lexicon table (pos, surface, lemma) of any size: (key, tokens) with each token's lemma.
+    """``lemmatize`` by a lexicon table (pos, surface, lemma) of any size: (key, tokens) with each token's lemma; [] for null.
 
-    Distinct tokens are looked up once; their lemmas go back to the rows in an equi-join.
+    A lexicon of at most ``LITERAL_LEXICON`` rows (counted) becomes a literal, and no token moves. Of a
+    larger one each row's distinct tokens are looked up, and those that it changes go back to the row.
     """
-    each = df.select(key, F.posexplode_outer(tokens).alias("__at", "__t"))
-    by_pos = lexicon.groupBy("surface").agg(*(F.max(F.when(F.col("pos") == pos, F.col("lemma"))).alias(f"__{pos}") for pos in "vn"))
-    known = each.select("__t").where("__t IS NOT NULL").distinct().join(by_pos, F.col("__t") == F.col("surface"))
-    lemma = F.when(F.col("__t").rlike("[-0-9]"), F.col("__t")).when(F.col("__v") != F.col("__t"), F.col("__v")).otherwise(F.coalesce("__n", "__t"))
-    found = each.join(known.select("__t", lemma.alias("__lemma")), "__t", "left")
-    rows = found.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("__at").isNotNull(), F.struct("__at", F.coalesce("__lemma", "__t").alias("__t"))))).alias("__x"))  # one row's tokens
-    return rows.select(key, F.transform("__x", lambda x: x["__t"]).alias(tokens))
+    own = lexicon.where("pos IN ('v', 'n') AND surface IS NOT NULL AND lemma IS NOT NULL").groupBy("surface").agg(*(F.max(F.when(F.col("pos") == pos, F.col("lemma"))).alias(f"__{pos}") for pos in "vn"))
+    rows, filled = df.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias(tokens)), F.col(tokens)
+    few = own.limit(LITERAL_LEXICON + 1).collect()
+    if len(few) <= LITERAL_LEXICON:
+        return rows.select(key, lemmatize(filled, {pos: {r["surface"]: r[f"__{pos}"] for r in few if r[f"__{pos}"] is not None} for pos in "vn"}).alias(tokens))
+    lemma = F.when(F.col("__v") != F.col("surface"), F.col("__v")).otherwise(F.coalesce("__n", "surface"))
+    changed = own.where(~F.col("surface").rlike("[-0-9]")).select("surface", lemma.alias("lemma")).where("lemma <> surface")
+    each = rows.select(F.col(key).alias("__key"), F.explode(F.array_distinct(filled)).alias("surface")).join(changed, "surface")
+    own_map = each.groupBy("__key").agg(F.map_from_entries(F.collect_set(F.struct("surface", "lemma"))).alias("__map"))  # one row's tokens
+    found = rows.join(own_map, F.col(key).eqNullSafe(F.col("__key")), "left")
+    return found.select(key, F.when(F.col("__map").isNull(), filled).otherwise(F.transform(filled, lambda t: F.coalesce(F.col("__map")[t], t))).alias(tokens))
 
 
 def clean_tokens(c: Column, lexicon: Mapping[str, Mapping[str, str]] | None = None) -> Column:
