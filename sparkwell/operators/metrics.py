@@ -9,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import small_batches
+
+#: Pairs whose tokens a worker holds as Python strings, and similarities that it holds at once.
+PAIRS, SIMILARITIES = 256, 1 << 20
 METRICS = ("precision", "recall", "rr", "hit", "f1")
 
 
@@ -194,6 +198,7 @@ def embedding_match(pairs: DataFrame, token_vectors: Callable[[], Callable[[list
 
     ``token_vectors`` is loaded once a task and gives a vector for each token.
     """
+    small_batches(pairs.sparkSession)
     tokens = pairs.select(pair_id, rouge_tokens(F.col("prediction")).alias("p"), rouge_tokens(F.col("reference")).alias("r"))
     kind = pairs.schema[pair_id].dataType.simpleString()
 
@@ -204,16 +209,25 @@ def embedding_match(pairs: DataFrame, token_vectors: Callable[[], Callable[[list
             v = np.asarray(embed(words), np.float64)
             return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
-        for b in batches:
-            out = []
-            for p, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if not p or not r:
-                    out.append((0.0, 0.0, 0.0))
-                    continue
-                s = unit(p) @ unit(r).T
-                x, y = float(s.max(1).mean()), float(s.max(0).mean())
-                out.append((x, y, 2 * x * y / (x + y) if x + y else 0.0))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.float64()) for i in range(3))], [pair_id, "precision", "recall", "f"])
+        def matched(p: np.ndarray, r: np.ndarray) -> tuple[float, float]:
+            """Mean of the best of each token of either side; similarities are held for some tokens at a time."""
+            step, own, other = max(1, SIMILARITIES // len(r)), [], np.full(len(r), -np.inf)
+            for start in range(0, len(p), step):
+                s = p[start : start + step] @ r.T
+                own.append(s.max(1))
+                other = np.maximum(other, s.max(0))
+            return float(np.concatenate(own).mean()), float(other.mean())
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, PAIRS):
+                b, out = whole.slice(start, PAIRS), []
+                for p, r in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                    if not p or not r:
+                        out.append((0.0, 0.0, 0.0))
+                        continue
+                    x, y = matched(unit(p), unit(r))
+                    out.append((x, y, 2 * x * y / (x + y) if x + y else 0.0))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([o[i] for o in out], pa.float64()) for i in range(3))], [pair_id, "precision", "recall", "f"])
 
     scored = tokens.mapInArrow(run, f"{pair_id} {kind}, precision double, recall double, f double")
     return scored.select(pair_id, *(F.round(c, digits).alias(c) for c in ("precision", "recall", "f")))
