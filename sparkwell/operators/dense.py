@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import small_batches
+
 #: What the query side is prefixed with before it is encoded.
 INSTRUCTION = "Represent this sentence for searching relevant passages: "
 
@@ -21,12 +24,17 @@ def hashing_encoder(dims: int = 384) -> Encoder:
     """A deterministic stand-in for a model: hashed words, signed and added. Its scores are no model's."""
 
     def load():
+        @lru_cache(50_000)
+        def place(w: str) -> tuple[int, int]:
+            h = hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+            return int(h[:7], 16) % dims, 1 if h[7] > "7" else -1
+
         def encode(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dims), np.float32)
             for i, t in enumerate(texts):
                 for w in t.lower().split():
-                    h = hashlib.md5(w.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
-                    out[i, int(h[:7], 16) % dims] += 1 if h[7] > "7" else -1
+                    at, sign = place(w)
+                    out[i, at] += sign
             return out
 
         return encode
@@ -40,15 +48,19 @@ def encode(df: DataFrame, text: str, into: str = "embedding", encoder: Encoder |
 
     load = encoder or hashing_encoder()
     names = df.columns
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for b in batches:
-            texts = [instruction + (t or "") for t in b.column(names.index(text)).to_pylist()]
-            parts = [model(texts[s : s + batch]) for s in range(0, len(texts), batch)]
-            v = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(v.astype(np.float32)), pa.list_(pa.float32()))], [*names, into])
+        for whole in batches:
+            for start in range(0, max(whole.num_rows, 1), 8 * batch):
+                b = whole.slice(start, 8 * batch)
+                texts = [instruction + (t or "") for t in b.column(names.index(text)).to_pylist()]
+                parts = [model(texts[s : s + batch]) for s in range(0, len(texts), batch)]
+                v = np.concatenate(parts) if parts else np.zeros((0, 1), np.float32)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                at = pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(at, pa.array(v.astype(np.float32).ravel()))], [*names, into])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))]))
 
