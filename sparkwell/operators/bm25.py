@@ -22,8 +22,8 @@ def query_terms(queries: DataFrame, tokenize: Callable[[Column], Column] | None
     return queries.select("query_id", F.explode(F.array_distinct(tokens)).alias("term")).where("term <> ''")
 
 
-def score_fields(index: Index, terms: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
-    """(query_id, doc_id, field, score): unweighted BM25 of each field (of ``fields``, if given) in which a query term occurs.
+def term_scores(index: Index, terms: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, field, s): what each query term adds to a field's score (of ``fields``, if given).
 
     Only postings of query terms are touched: the terms are sent to the postings' tasks if
     they are few (counted), else both sides are hashed by term.
@@ -38,7 +38,12 @@ def score_fields(index: Index, terms: DataFrame, fields: Iterable[str] | None =
     tf, norm = F.col("tf").cast("double"), F.when(F.col("avgdl") > 0, 1 - b + b * F.col("dl") / F.nullif("avgdl", F.lit(0.0))).otherwise(F.lit(1.0))
     postings = index.postings if fields is None else index.postings.where(F.col("field").isin(*fields))
     each = postings.join(stats, ["field", "term"]).select("field", "term", "doc_id", (F.col("idf") * tf * (k1 + 1) / (tf + k1 * norm)).alias("s"))
-    return each.join(side, "term").groupBy("query_id", "doc_id", "field").agg(F.sum("s").alias("score"))
+    return each.join(side, "term").select("query_id", "doc_id", "field", "s")
+
+
+def score_fields(index: Index, terms: DataFrame, fields: Iterable[str] | None = None) -> DataFrame:
+    """(query_id, doc_id, field, score): unweighted BM25 of each field in which a query term occurs."""
+    return term_scores(index, terms, fields).groupBy("query_id", "doc_id", "field").agg(F.sum("s").alias("score"))
 
 
 def search(
@@ -49,9 +54,9 @@ def search(
     Scores are rounded before they are ranked, so that the order doesn't hang on the order
     in which floats were added; ties go to smaller ids.
     """
-    fields = score_fields(index, terms if terms is not None else query_terms(queries, tokenize), weights)
-    by_field = {f: F.sum(F.when(F.col("field") == f, F.col("score"))) for f in weights}
-    both = fields.groupBy("query_id", "doc_id").agg(*(F.coalesce(c, F.lit(0.0)).alias(f"bm25_{f}") for f, c in by_field.items()))
+    each = term_scores(index, terms if terms is not None else query_terms(queries, tokenize), weights)
+    by_field = {f: F.sum(F.when(F.col("field") == f, F.col("s"))) for f in weights}  # all fields in one exchange
+    both = each.groupBy("query_id", "doc_id").agg(*(F.coalesce(c, F.lit(0.0)).alias(f"bm25_{f}") for f, c in by_field.items()))
     total = sum((F.lit(w) * F.col(f"bm25_{f}") for f, w in weights.items()), F.lit(0.0))
     scored = both.withColumn("score", F.round(total, digits))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -61,5 +66,12 @@ def search(
 
 def with_store(hits: DataFrame, index: Index, columns: tuple[str, ...] = ("topic", "title", "section", "text")) -> DataFrame:
     """What is shown of each hit, looked up after the cut; documents that the store lacks have nulls."""
-    shown = [c for c in columns if c in index.doc_store.columns]
-    return hits.join(index.doc_store.select("doc_id", *shown), "doc_id", "left")
+    return look_up(hits, index.doc_store.select("doc_id", *(c for c in columns if c in index.doc_store.columns)))
+
+
+def look_up(hits: DataFrame, store: DataFrame) -> DataFrame:
+    """``hits`` with the store's columns, or nulls. Where hits are few (counted), their ids go to the store, so that only rows that are shown move."""
+    hits = Workspace(hits.sparkSession, "hits").cut(hits, "hits")
+    few = hits.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    ids = hits.select("doc_id").distinct()
+    return hits.join(store.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi"), "doc_id", "left")

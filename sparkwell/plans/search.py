@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_query
+from ..lineage import Workspace
 from ..operators import bm25, dense, fusion, generate
 from ..operators.index import Index
 
@@ -43,12 +44,13 @@ class HybridSearch:
     def search(self, queries: DataFrame, top_k: int = 10) -> DataFrame:
         """Each query's hits with both ranks and scores, and what is shown of them."""
         fused = fusion.hybrid(*self.sides(queries), top_k, self.config)
+        fused = Workspace(fused.sparkSession, "hybrid").cut(fused, "fused") if self.dense_store is not None else fused  # both sides read it
         shown = ("topic", "title", "section", "text", "raw_document")
         if self.dense_store is None:
             return bm25.with_store(fused, self.index, shown)
         left = bm25.with_store(fused.where("bm25_rank IS NOT NULL").select("query_id", "doc_id"), self.index, shown)
         own = [c for c in shown if c in self.dense_store.columns]
-        right = fused.where("dense_rank IS NOT NULL").select("query_id", "doc_id").join(self.dense_store.select("doc_id", *own), "doc_id", "left")
+        right = bm25.look_up(fused.where("dense_rank IS NOT NULL").select("query_id", "doc_id"), self.dense_store.select("doc_id", *own))
         return fusion.with_metadata(fused, left, right)
 
     def answer(self, queries: DataFrame, top_k: int = 5, generator: generate.Generator | None = None) -> DataFrame:
